@@ -189,3 +189,18 @@ def dominant_class(counts: dict[str, str], order: Sequence[str]) -> Column:
     for c in order:
         out = out.when(F.coalesce(F.col(counts[c]), F.lit(0)) == best, c)
     return out
+
+
+def tier_order(col: str, order: Sequence[str]) -> Column:
+    """Place of a label in a given order; unknown labels come last."""
+    out = None
+    for i, name in enumerate(order):
+        out = F.when(F.col(col) == name, i) if out is None else out.when(F.col(col) == name, i)
+    return out.otherwise(len(order))
+
+
+def merge_summary(df: DataFrame, by: str, p: str, ratio: str) -> DataFrame:
+    """Shares below 0.05 and 0.01 and the median ratio of merged results."""
+    share = {f"share_{n}": F.avg(F.when(F.col(p) < cut, 1.0).otherwise(0.0)).alias(f"share_{n}") for n, cut in (("05", 0.05), ("01", 0.01))}
+    agg = df.where(F.col(p).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"), *share.values())
+    return agg.join(quantiles(df, ratio, {"median_or": 0.5}, [by]).drop("n"), by, "left")

@@ -9,6 +9,7 @@ import datetime
 import decimal
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -23,6 +24,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def duck(sf_dir):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"SET temp_directory = '{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}'")
+    con.execute("SET memory_limit = '8GB'")
+    con.execute("SET max_temp_directory_size = '4GB'")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return con
