@@ -1,6 +1,6 @@
 """Every operator bound to the driver's tables."""
 
-from . import joins, scalars, statistics, windows  # noqa: F401
+from . import aggregates, joins, scalars, statistics, windows  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

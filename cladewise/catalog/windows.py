@@ -13,7 +13,7 @@ C = F.col
 @query("w01_bh_fdr", """
 WITH r AS (SELECT pair_id, fisher_p AS p, row_number() OVER (ORDER BY fisher_p, pair_id) AS rk, count(*) OVER () AS n FROM prx_tested WHERE status <> 'P'),
 q AS (SELECT pair_id, min(p * n / rk) OVER (ORDER BY p DESC, pair_id DESC ROWS UNBOUNDED PRECEDING) AS fdr FROM r)
-SELECT pair_id, round(least(1.0, fdr), 6) AS fdr FROM prx_tested LEFT JOIN q USING (pair_id)""")
+SELECT pair_id, CASE WHEN fdr IS NOT NULL THEN round(least(1.0, fdr), 6) END AS fdr FROM prx_tested LEFT JOIN q USING (pair_id)""")
 def _(t):
     p = t.tested.select("pair_id", F.when(C("status") != "P", C("fisher_p")).alias("p"))
     return ranking.bh_fdr(p, "p").select("pair_id", F.round("fdr", 6).alias("fdr"))

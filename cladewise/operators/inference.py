@@ -152,3 +152,49 @@ def significance_view(df: DataFrame, phylo: Sequence[str], fallback: str, low_po
     best = F.least(*[F.col(c) for c in phylo])
     chosen = F.when(used, best).otherwise(F.col(fallback))
     return df.where(~F.coalesce(F.col(low_power), F.lit(False)) & (chosen <= cutoff))
+
+
+def testable_reason(conditions: dict[str, Column], ok: str = "testable") -> Column:
+    """Name of the first condition that rules a pair out."""
+    out = None
+    for name, c in conditions.items():
+        hit = F.coalesce(c, F.lit(False))
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise(ok)
+
+
+def multi_origin_binomial(df: DataFrame, observed: DataFrame, keys: Sequence[str], n: str, k: str, rate_keys: Sequence[str], has_alt: str,
+                          tie: str, least: int = 2) -> DataFrame:
+    """One-sided binomial test of k events in n origins against the share of leaves with the residue.
+
+    The representative row of a physical pair is the one with most origins.
+    """
+    from ..functions.special import binom_test
+    from .ranking import best_row
+
+    rep = best_row(df.select(*keys, n, k, tie), list(keys), [-F.col(n), F.col(tie)]).where(F.col(n) >= least)
+    rate = observed.groupBy(*rate_keys).agg(F.avg(has_alt).alias("expected_rate")).where("expected_rate > 0")
+    return rep.join(rate, list(rate_keys)).withColumns({
+        "observed_rate": F.col(k) / F.col(n), "binom_p": binom_test(k, n, "expected_rate", "greater")})
+
+
+def verdict(df: DataFrame, by: str, ratio: str, p: str, alpha: float = 0.05) -> DataFrame:
+    """Thresholds set beforehand: median ratio above 5 with most tests significant, 2 or more, else."""
+    from .ranking import quantiles
+
+    share = df.groupBy(by).agg(F.avg(F.when(F.col(p) < alpha, 1.0).otherwise(0.0)).alias("share_sig"))
+    out = quantiles(df, ratio, {"median_or": 0.5}, [by]).join(share, by)
+    strong = (F.col("median_or") > 5) & (F.col("share_sig") > 0.5)
+    return out.withColumn("verdict", F.when(strong, "strong").when(F.col("median_or") >= 2, "moderate").otherwise("weak"))
+
+
+def branch_cooccurrence(matched_a: DataFrame, matched_b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Co-occurrence of origins on matching clades, per pair.
+
+    Both inputs hold (keys, matched), one row per origin. The table is [[a, b], [c, d]] with
+    d = origins - a, hence c = d; p is 1 where a = 0, null without origins.
+    """
+    a = matched_a.groupBy(*keys).agg(F.count_if("matched").alias("a"), F.count_if(~F.col("matched")).alias("c"))
+    b = matched_b.groupBy(*keys).agg(F.count_if(~F.col("matched")).alias("b"))
+    out = a.join(b, list(keys), "left").fillna(0, ["b"]).withColumn("d", F.col("c"))
+    return out.withColumn("branch_p", F.when(F.col("a") == 0, 1.0).otherwise(fisher_exact("a", "b", "c", "d")))

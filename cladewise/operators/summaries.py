@@ -16,7 +16,6 @@ from .inference import mann_whitney, two_by_two, with_fisher
 from .ranking import quantiles
 
 C = F.col
-ONE = F.lit(1)
 
 
 def label_list(c, sep: str = ",") -> Column:
@@ -28,7 +27,7 @@ def status_summary(df: DataFrame, group: str, status: str, aa: str, nt: str) ->
     """Per group: total, classified, unresolved, skipped, and seen/unseen counts of both levels."""
     ok = C(status) == "classified"
     return df.groupBy(group).agg(
-        F.count(ONE).alias("rows_total"), F.count_if(ok).alias("classified"), F.count_if(C(status) == "unresolved").alias("unresolved"),
+        F.count("*").alias("rows_total"), F.count_if(ok).alias("classified"), F.count_if(C(status) == "unresolved").alias("unresolved"),
         F.count_if(C(status) == "skipped_by_policy").alias("skipped"),
         F.count_if(ok & C(aa)).alias("aa_cdav"), F.count_if(ok & ~C(aa)).alias("aa_udav"),
         F.count_if(ok & C(nt)).alias("nt_cdav"), F.count_if(ok & ~C(nt)).alias("nt_udav"))
@@ -36,7 +35,7 @@ def status_summary(df: DataFrame, group: str, status: str, aa: str, nt: str) ->
 
 def link_duplicates(df: DataFrame, key: str, source: str, ident: str, required: Sequence[str]) -> DataFrame:
     """One row per match key: its sources, row and id counts, and whether all required sources meet."""
-    per = df.where(C(key).isNotNull()).groupBy(key, source, ident).agg(F.count(ONE).alias("n"))
+    per = df.where(C(key).isNotNull()).groupBy(key, source, ident).agg(F.count("*").alias("n"))
     # First by (key, source), so that one crowded key is summed in parts.
     by_source = per.groupBy(key, source).agg(F.sum("n").alias("n"))
     ids = per.select(key, ident).distinct().groupBy(key).agg(F.count(ident).alias("n_ids"))
@@ -67,7 +66,7 @@ def overlap_summary(df: DataFrame, ident: str, status: str) -> DataFrame:
 
 def dominant_value(df: DataFrame, key: str, value: str) -> DataFrame:
     """Most frequent value per key; ties go to the larger one."""
-    n = df.where(C(value).isNotNull()).groupBy(key, value).agg(F.count(ONE).alias("n"))
+    n = df.where(C(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
     return n.groupBy(key).agg(F.max_by(value, F.struct("n", value)).alias(value))
 
 
@@ -88,21 +87,21 @@ def qc_check(name: str, df: DataFrame, failed: Column, ident: str, examples: int
     first = bad.select(ident).orderBy(ident).limit(examples)
     shown = first.agg(F.array_join(F.array_sort(F.collect_list(C(ident).cast("string"))), ",").alias("e")).scalar()
     n = C("n_failed")
-    return bad.agg(F.count(ONE).alias("n_failed")).select(
+    return bad.agg(F.count("*").alias("n_failed")).select(
         F.lit(name).alias("check_name"), F.when(n == 0, "pass").otherwise("fail").alias("status"), n, F.coalesce(shown, F.lit("")).alias("examples"))
 
 
 def exception_audit(df: DataFrame, status: str, subset: str, keys: Sequence[str]) -> DataFrame:
     """Unresolved and warning rows counted per key; null keys keep their row."""
     chosen = df.where((C(status) == "unresolved") | (C(subset) == "classified_warning"))
-    return chosen.groupBy(*keys).agg(F.count(ONE).alias("n_rows")).orderBy(C("n_rows").desc(), *keys)
+    return chosen.groupBy(*keys).agg(F.count("*").alias("n_rows")).orderBy(C("n_rows").desc(), *keys)
 
 
 def mismatch_summary(df: DataFrame, kind: str, kinds: Sequence[str]) -> DataFrame:
     """Counts in a fixed order of kinds; kinds that do not occur count zero."""
-    n = df.groupBy(C(kind).alias("kind")).agg(F.count(ONE).alias("n"))
+    n = df.groupBy(C(kind).alias("kind")).agg(F.count("*").alias("n"))
     listed = F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(k).alias("kind")) for i, k in enumerate(kinds)])
-    fixed = df.agg(F.count(ONE).alias("_all")).select(F.inline(listed))
+    fixed = df.agg(F.count("*").alias("_all")).select(F.inline(listed))
     return fixed.join(n, "kind", "left").select("nth", "kind", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -110,7 +109,7 @@ def contact_universe(df: DataFrame, keys: Sequence[str], flag: str, label: str,
     """Distinct pairs: any flag, labels, first of the other fields, source rows."""
     return df.groupBy(*keys).agg(
         F.bool_or(F.coalesce(C(flag), F.lit(False))).alias(f"any_{flag}"), F.count_distinct(label).alias("n_classes"),
-        label_list(label).alias("classes"), F.count(ONE).alias("n_rows"), *[F.min_by(c, order).alias(c) for c in first])
+        label_list(label).alias("classes"), F.count("*").alias("n_rows"), *[F.min_by(c, order).alias(c) for c in first])
 
 
 def best_per_pair(df: DataFrame, keys: Sequence[str], minima: Sequence[str], by: str, take: Sequence[str], tie: str) -> DataFrame:
@@ -134,7 +133,7 @@ def model_support_summary(df: DataFrame, key: str, role: str, status: str, flags
 
 
 def composite_key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(ONE).alias("n")).orderBy(C("n").desc(), *keys)
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(C("n").desc(), *keys)
 
 
 def mapping_rate(df: DataFrame, ident: str, eligible: Column, mapped: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -165,7 +164,7 @@ def likely_incompatible(cls, sensitivity, specificity, classes: Sequence[str] =
 def concordance_summary(df: DataFrame, key: str, sig: Column, kind: str, gene: str) -> DataFrame:
     """Tested and significant contacts per variant, within and across genomes, and their genes."""
     cross = C(kind) == "mt-nuc"
-    return df.groupBy(key).agg(F.count(ONE).alias("n_tested"), F.count_if(sig).alias("n_sig"), F.count_if(sig & ~cross).alias("intra_sig"),
+    return df.groupBy(key).agg(F.count("*").alias("n_tested"), F.count_if(sig).alias("n_sig"), F.count_if(sig & ~cross).alias("intra_sig"),
                                F.count_if(sig & cross).alias("inter_sig"), label_list(F.when(sig, C(gene))).alias("sig_genes"))
 
 
@@ -174,7 +173,7 @@ def independent_origins(timing: DataFrame, pairs: DataFrame, key: Sequence[str],
     n = F.when(C("is_ancestral"), C("n_losses")).otherwise(C("n_gains"))
     o = timing.groupBy(*key).agg(F.max(F.struct(n.alias("n"), "is_ancestral")).alias("_o")).select(
         *key, C("_o.n").alias("n_origins"), C("_o.is_ancestral").alias("is_ancestral"))
-    t = pairs.groupBy(*key).agg(F.count(ONE).alias("n_tested"), F.count_if(sig).alias("n_sig"))
+    t = pairs.groupBy(*key).agg(F.count("*").alias("n_tested"), F.count_if(sig).alias("n_sig"))
     out = o.join(t, list(key), "left").fillna(0, ["n_tested", "n_sig"])
     return out.withColumn("has_compensation", C("n_sig") > 0)
 
@@ -195,7 +194,7 @@ def stratified_2x2(df: DataFrame, flag: Column, sig: Column, strata: dict[str, C
 def decomposed_rates(df: DataFrame, by: str, **flags: Column) -> DataFrame:
     """Count and rate of each flag per value of a column, and over all rows as "all"."""
     agg = df.withColumns({f"_{k}": F.coalesce(v, F.lit(False)) for k, v in flags.items()}).rollup(by).agg(
-        F.grouping(by).alias("_g"), F.count(ONE).alias("n"), *[F.count_if(f"_{k}").alias(f"n_{k}") for k in flags])
+        F.grouping(by).alias("_g"), F.count("*").alias("n"), *[F.count_if(f"_{k}").alias(f"n_{k}") for k in flags])
     label = F.when(C("_g") == 1, "all").otherwise(C(by))
     return agg.select(label.alias(by), "n", *[f"n_{k}" for k in flags], *[(C(f"n_{k}") / C("n")).alias(f"rate_{k}") for k in flags])
 
@@ -214,7 +213,7 @@ def excluding_group(df: DataFrame, col: str, members: Sequence[str]) -> dict[str
 
 
 def complex_breakdown(df: DataFrame, keys: Sequence[str], gene: str, p: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(ONE).alias("n"), label_list(gene, ", ").alias("genes"), F.min(p).alias("p_min"), F.max(p).alias("p_max"))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), label_list(gene, ", ").alias("genes"), F.min(p).alias("p_min"), F.max(p).alias("p_max"))
 
 
 def class_distribution(df: DataFrame, label: str, sig: Column) -> DataFrame:
@@ -230,7 +229,7 @@ def compartment_summary(df: DataFrame, strata: dict[str, Column], flag: str, mea
     """Per slice: counts, significance rates among flagged rows, medians of both sides, rank test."""
     x = explode_strata(df.withColumns({f"_{k}": F.coalesce(v, F.lit(False)) for k, v in sig.items()}), strata)
     f = C(flag)
-    counts = x.groupBy("stratum").agg(F.count(ONE).alias("n_total"), F.count_if(f).alias("n_flag"),
+    counts = x.groupBy("stratum").agg(F.count("*").alias("n_total"), F.count_if(f).alias("n_flag"),
                                       *[F.count_if(f & C(f"_{k}")).alias(f"n_{k}") for k in sig])
     q = quantiles(x.where(C(measure).isNotNull()).withColumn("_side", F.when(f, "flag").otherwise("rest")), measure,
                   {"median": 0.5, "p95": 0.95}, ["stratum", "_side"])
@@ -243,7 +242,7 @@ def compartment_summary(df: DataFrame, strata: dict[str, Column], flag: str, mea
 def rate_bins(df: DataFrame, value: str, bins, group: str, sig: Column, measure: str, closed: str = "both") -> DataFrame:
     """Per bin and group: rows, significant ones, percentage, median; empty bins stay."""
     labelled = df.withColumns({"bin": rules.bin_label(value, bins, closed), "_s": F.coalesce(sig, F.lit(False))}).where("bin is not null")
-    agg = labelled.groupBy("bin", group).agg(F.count(ONE).alias("n"), F.count_if("_s").alias("n_sig"))
+    agg = labelled.groupBy("bin", group).agg(F.count("*").alias("n"), F.count_if("_s").alias("n_sig"))
     med = quantiles(labelled, measure, {"median": 0.5}, ["bin", group]).drop("n")
     grid = df.select(group).distinct().withColumn("bin", F.explode(F.array(*[F.lit(b[2]) for b in bins])))
     out = grid.join(agg, ["bin", group], "left").join(med, ["bin", group], "left").fillna(0, ["n", "n_sig"])
@@ -254,7 +253,7 @@ def meff_bins(df: DataFrame, gene: str, meff: str, measure: str, bins) -> tuple[
     """Medians per gene, and per bin of the gene's effective count: genes, rows, median of medians."""
     med = quantiles(df, measure, {"median_measure": 0.5}, [gene]).join(quantiles(df, meff, {"median_meff": 0.5}, [gene]).drop("n"), gene)
     labelled = med.withColumn("bin", rules.bin_label("median_meff", bins, "right")).where("bin is not null")
-    agg = labelled.groupBy("bin").agg(F.count(ONE).alias("n_genes"), F.sum("n").alias("n_rows"))
+    agg = labelled.groupBy("bin").agg(F.count("*").alias("n_genes"), F.sum("n").alias("n_rows"))
     return med, agg.join(quantiles(labelled, "median_measure", {"median": 0.5}, ["bin"]).drop("n"), "bin")
 
 
@@ -277,7 +276,7 @@ def offset_decision(observed: DataFrame, annotated: DataFrame, gene: str) -> Dat
 
 def timing_rollup(df: DataFrame, by: str, permissive: Sequence[str]) -> DataFrame:
     """Branch events per direction and refined class, with the permissive share."""
-    n = df.groupBy(by, "refined").agg(F.count(ONE).alias("n"))
+    n = df.groupBy(by, "refined").agg(F.count("*").alias("n"))
     tot = n.groupBy(by).agg(F.sum("n").alias("n_events"), F.sum(F.when(C("refined").isin(list(permissive)), C("n")).otherwise(0)).alias("n_permissive"))
     return n.join(tot, by).withColumns({"share": C("n") / C("n_events"), "permissive_share": C("n_permissive") / C("n_events")})
 
@@ -285,7 +284,7 @@ def timing_rollup(df: DataFrame, by: str, permissive: Sequence[str]) -> DataFram
 def header_manifest(df: DataFrame, file: str) -> DataFrame:
     """Headers, unresolved ones and schemas per file; input from parse_seq_header."""
     lost = C("header").contains("UNKNOWN") | (C("taxid") == "")
-    return df.groupBy(file).agg(F.count(ONE).alias("n_headers"), F.count_if(lost).alias("n_unresolved"), label_list("header_schema").alias("schemas"))
+    return df.groupBy(file).agg(F.count("*").alias("n_headers"), F.count_if(lost).alias("n_unresolved"), label_list("header_schema").alias("schemas"))
 
 
 def alignment_integrity(aa: DataFrame, codon: DataFrame, aa_letters: str, min_species: int = 100) -> DataFrame:
@@ -293,21 +292,21 @@ def alignment_integrity(aa: DataFrame, codon: DataFrame, aa_letters: str, min_sp
     def foreign(c, letters):
         return F.length(F.translate(c, letters, "")) > 0
 
-    a = aa.groupBy("gene").agg(F.count(ONE).alias("n_aa"), F.count_if(C("header").startswith("Homo_sapiens")).alias("n_reference"),
+    a = aa.groupBy("gene").agg(F.count("*").alias("n_aa"), F.count_if(C("header").startswith("Homo_sapiens")).alias("n_reference"),
                                F.count_if(F.length("seq") == 0).alias("n_empty"), F.count_if(foreign("seq", aa_letters)).alias("n_foreign"))
-    c = codon.groupBy("gene").agg(F.count(ONE).alias("n_codon"), F.count_if(F.length("seq") % 3 != 0).alias("n_bad_length"))
-    ids = aa.select("gene", "species", ONE.alias("_a")).join(codon.select("gene", "species", ONE.alias("_c")), ["gene", "species"], "full_outer")
+    c = codon.groupBy("gene").agg(F.count("*").alias("n_codon"), F.count_if(F.length("seq") % 3 != 0).alias("n_bad_length"))
+    ids = aa.select("gene", "species", F.lit(1).alias("_a")).join(codon.select("gene", "species", F.lit(1).alias("_c")), ["gene", "species"], "full_outer")
     m = ids.groupBy("gene").agg(F.count_if(C("_c").isNull()).alias("only_aa"), F.count_if(C("_a").isNull()).alias("only_codon"))
     return a.join(c, "gene", "full_outer").join(m, "gene", "full_outer").fillna(0).withColumn("few_species", C("n_aa") < min_species)
 
 
 def character_inventory(aln: DataFrame) -> DataFrame:
-    return aln.select("gene", F.explode(F.split("seq", "")).alias("ch")).where("ch <> ''").groupBy("gene", "ch").agg(F.count(ONE).alias("n"))
+    return aln.select("gene", F.explode(F.split("seq", "")).alias("ch")).where("ch <> ''").groupBy("gene", "ch").agg(F.count("*").alias("n"))
 
 
 def field_coverage(df: DataFrame) -> DataFrame:
     """Non-null count and percentage of every field, from one pass."""
-    agg = df.agg(F.count(ONE).alias("_n"), *[F.count(c).alias(c) for c in df.columns])
+    agg = df.agg(F.count("*").alias("_n"), *[F.count(c).alias(c) for c in df.columns])
     rows = F.array(*[F.struct(F.lit(c).alias("field"), C(c).alias("n_present")) for c in df.columns])
     return agg.select("_n", F.inline(rows)).select("field", "n_present", F.when(C("_n") > 0, C("n_present") / C("_n") * 100.0).alias("pct_present"))
 
@@ -315,7 +314,7 @@ def field_coverage(df: DataFrame) -> DataFrame:
 def source_stats(df: DataFrame, dims: Sequence[str], top: int | None = None) -> DataFrame:
     """Counts per value of several columns as one long table; ``top`` keeps that many per report."""
     pairs = F.array(*[F.struct(F.lit(d).alias("dim"), C(d).cast("string").alias("value")) for d in dims])
-    n = df.select(F.inline(pairs)).groupBy("dim", "value").agg(F.count(ONE).alias("n"))
+    n = df.select(F.inline(pairs)).groupBy("dim", "value").agg(F.count("*").alias("n"))
     return n.orderBy(C("n").desc(), "value").limit(top) if top else n
 
 
@@ -347,14 +346,14 @@ def best_sequence(aln: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def species_rule(aln: DataFrame, gene: str = "gene", least: int = 20) -> DataFrame:
-    n = aln.groupBy(gene).agg(F.count(ONE).alias("n_species")).where(C("n_species") >= least)
+    n = aln.groupBy(gene).agg(F.count("*").alias("n_species")).where(C("n_species") >= least)
     return aln.join(n.select(gene), [gene], "left_semi")
 
 
 def reference_support(targets: DataFrame, indexed: DataFrame, selected: DataFrame) -> DataFrame:
     """Counts of targets, indexed genes, and targets with each kind of support."""
     def n(df, name):
-        return df.distinct().agg(F.count(ONE).alias("value")).select(F.lit(name).alias("metric"), "value")
+        return df.distinct().agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")
 
     g = [d.select("gene") for d in (targets, indexed, selected)]
     return n(g[0], "targets").union(n(g[1], "indexed")).union(n(g[0].intersect(g[1]), "targets_indexed")).union(
@@ -399,5 +398,5 @@ def registry_append(registry: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def metrics_by_group(df: DataFrame, keys: Sequence[str], aa: str, nt: str) -> DataFrame:
-    agg = df.groupBy(*keys).agg(F.count(ONE).alias("n_classified"), F.count_if(aa).alias("n_aa"), F.count_if(nt).alias("n_nt"))
+    agg = df.groupBy(*keys).agg(F.count("*").alias("n_classified"), F.count_if(aa).alias("n_aa"), F.count_if(nt).alias("n_nt"))
     return agg.withColumns({"pct_aa": C("n_aa") / C("n_classified") * 100.0, "pct_nt": C("n_nt") / C("n_classified") * 100.0})
