@@ -66,29 +66,34 @@ def chi2_sf(x, df) -> Column:
 
 def t_two_sided(t, df) -> Column:
     """Two-sided Student tail: incomplete beta by its continued fraction."""
-    t, v = _col(t).cast("double"), _col(df).cast("double")
-    x = v / (v + t * t)
-    a, b = v / 2.0, F.lit(0.5)
-    swap = x > (a + 1.0) / (a + b + 2.0)
-    p, q, z = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b), F.when(swap, 1.0 - x).otherwise(x)
-    front = F.exp(lgamma(a + 0.5) - lgamma(F.greatest(a, F.lit(0.5))) - 0.5723649429247001
-                  + a * F.log(x) + b * F.log(1.0 - x)) / p
-    start = F.struct(
-        F.lit(1.0).alias("c"), (1.0 / (1.0 - (p + q) * z / (p + 1.0))).alias("d"),
-        (1.0 / (1.0 - (p + q) * z / (p + 1.0))).alias("f"),
-    )
+    start = F.struct(_col(t).cast("double").alias("t"), _col(df).cast("double").alias("v"))
+
+    def sides(x):
+        z = x["v"] / (x["v"] + x["t"] * x["t"])
+        a, b = x["v"] / 2.0, F.lit(0.5)
+        swap = z > (a + 1.0) / (a + 1.5)
+        front = F.exp(lgamma(a + 0.5) - lgamma(F.greatest(a, F.lit(0.5))) - 0.5723649429247001 + a * F.log(z) + 0.5 * F.log(1.0 - z))
+        return F.struct(
+            x["t"].alias("t"), z.alias("z0"), swap.alias("swap"), front.alias("front"),
+            F.when(swap, b).otherwise(a).alias("p"), F.when(swap, a).otherwise(b).alias("q"), F.when(swap, 1.0 - z).otherwise(z).alias("z"),
+        )
+
+    def fraction(x):
+        p, q, z = x["p"], x["q"], x["z"]
+        first = 1.0 / (1.0 - (p + q) * z / (p + 1.0))
+
+        def step(s, m):
+            even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
+            odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+            half = F.struct((1.0 / (1.0 + even * s["d"])).alias("d"), (1.0 + even / s["c"]).alias("c"), s["f"].alias("f"))
+            whole = let(half, lambda h: F.struct((1.0 + odd / h["c"]).alias("c"), (1.0 / (1.0 + odd * h["d"])).alias("d"), (h["f"] * h["d"] * h["c"]).alias("f")))
+            return let(whole, lambda w: F.struct(w["c"].alias("c"), w["d"].alias("d"), (w["f"] * w["c"] * w["d"]).alias("f")))
+
+        run = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("f")), step, lambda s: s["f"])
+        part = x["front"] / p * run
+        return F.when(x["t"] == 0, F.lit(1.0)).when(x["z0"] == 0, F.lit(0.0)).otherwise(let(part, lambda v: F.when(x["swap"], 1.0 - v).otherwise(v)))
 
-    def step(s, m):
-        even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
-        d1 = 1.0 / (1.0 + even * s["d"])
-        c1 = 1.0 + even / s["c"]
-        odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
-        d2 = 1.0 / (1.0 + odd * d1)
-        c2 = 1.0 + odd / c1
-        return F.struct(c2.alias("c"), d2.alias("d"), (s["f"] * d1 * c1 * d2 * c2).alias("f"))
-
-    part = front * F.aggregate(F.sequence(F.lit(1), F.lit(120)), start, step, lambda s: s["f"])
-    return F.when(t == 0, F.lit(1.0)).when(x == 0, F.lit(0.0)).when(swap, 1.0 - part).otherwise(part)
+    return let(let(start, sides), fraction)
 
 
 def _tail(k, mode, lo, hi, up, down, side):

@@ -69,7 +69,9 @@ def map_from_gapped_pair(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     The running counts are taken inside one row's cells, so no group is larger than
     one sequence.
     """
-    cells = df.select(key, F.posexplode(F.arrays_zip(F.split(a, "").alias("a"), F.split(b, "").alias("b"))).alias("_c", "_x"))
+    both = F.least(F.length(a), F.length(b))
+    zipped = F.arrays_zip(F.split(F.substr(a, F.lit(1), both), "").alias("a"), F.split(F.substr(b, F.lit(1), both), "").alias("b"))
+    cells = df.where(both > 0).select(key, F.posexplode(zipped).alias("_c", "_x"))
     w = W.partitionBy(key).orderBy("_c").rowsBetween(W.unboundedPreceding, 0)
     ca, cb = F.col("_x.a"), F.col("_x.b")
     return cells.select(
@@ -344,3 +346,30 @@ def carriers(variants: DataFrame, cells: DataFrame, codons: DataFrame | None = N
         return out.select("vid", "species")
     clean = codons.where(~F.col("codon").rlike("[" + "".join("\\" + m for m in mask) + "]"))
     return out.join(clean, ["gene", "species", "col"]).select("vid", "species", (F.col("codon") == F.col("mut_codon")).alias("same_codon"))
+
+
+def mutual_information_between(cells: DataFrame, pairs: DataFrame, states: str = RESIDUES) -> DataFrame:
+    """Mutual information of columns of two genes (gene, i, gene_b, j) over their common species."""
+    st = F.when(F.col("ch").isin(*states), F.col("ch")).otherwise("-")
+    left = cells.select("gene", "species", F.col("col").alias("i"), st.alias("a"))
+    right = cells.select(F.col("gene").alias("gene_b"), "species", F.col("col").alias("j"), st.alias("b"))
+    key = ["gene", "i", "gene_b", "j"]
+    joint = pairs.select(*key).distinct().join(left, ["gene", "i"]).join(right, ["gene_b", "species", "j"]).groupBy(*key, "a", "b").agg(
+        F.count(F.lit(1)).alias("n"))
+    h = [_entropy(joint, key, "h_ij"), *[_entropy(joint.groupBy(*key, c).agg(F.sum("n").alias("n")), key, f"h_{c}") for c in "ab"]]
+    mi = F.greatest(F.lit(0.0), F.col("h_a") + F.col("h_b") - F.col("h_ij"))
+    return h[0].join(h[1], key).join(h[2], key).select(*key, mi.alias("mi"))
+
+
+def codon_cells(nt_cells: DataFrame, nt_map: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(gene, species, codon_no, codon) at the columns of the reference codons asked for.
+
+    ``nt_map`` is the position map of the reference bases; ``wanted`` holds (gene, codon_no),
+    numbered from 1. Only codons with all three reference bases have a row.
+    """
+    n = F.floor((F.col("pos") - 1) / 3) + 1
+    at = nt_map.select("gene", "col", n.alias("codon_no"), ((F.col("pos") - 1) % 3).alias("_o")).join(wanted.distinct(), ["gene", "codon_no"])
+    hit = nt_cells.join(at, ["gene", "col"])
+    parts = [F.max(F.when(F.col("_o") == i, F.col("ch"))).alias(f"_{i}") for i in range(3)]
+    whole = hit.groupBy("gene", "species", "codon_no").agg(*parts)
+    return whole.where("_0 is not null and _1 is not null and _2 is not null").select("gene", "species", "codon_no", F.concat("_0", "_1", "_2").alias("codon"))

@@ -36,16 +36,16 @@ def chi_square(cells: DataFrame, row: str, col: str, n: str, keys: Sequence[str]
     """
     keys = list(keys)
     agg = cells.groupBy(*keys, row, col).agg(F.sum(n).cast("double").alias("o")).where("o > 0")
-    rows = agg.groupBy(*keys, row).agg(F.sum("o").alias("r"))
-    cols = agg.groupBy(*keys, col).agg(F.sum("o").alias("c"))
-    n_row = rows.groupBy(*keys).agg(F.sum("r").alias("total"), F.count(F.lit(1)).alias("n_rows"))
+    rows = agg.groupBy(*keys, row).agg(F.sum("o").alias("_nr"))
+    cols = agg.groupBy(*keys, col).agg(F.sum("o").alias("_nc"))
+    n_row = rows.groupBy(*keys).agg(F.sum("_nr").alias("total"), F.count(F.lit(1)).alias("n_rows"))
     n_col = cols.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cols"))
     size = n_row.join(n_col, keys) if keys else n_row.withColumn("n_cols", n_col.select("n_cols").scalar())
     full = agg.join(rows, [*keys, row]).join(cols, [*keys, col])
     full = full.join(size, keys) if keys else full.withColumns(
         {c: size.select(c).scalar() for c in ("total", "n_rows", "n_cols")}
     )
-    e = F.col("r") * F.col("c") / F.col("total")
+    e = F.col("_nr") * F.col("_nc") / F.col("total")
     yates = F.when((F.col("n_rows") == 2) & (F.col("n_cols") == 2), F.least(F.lit(0.5), F.abs(F.col("o") - e))).otherwise(0.0)
     # An absent cell adds e (or, corrected, (e - 0.5)^2 / e); all absent ones add total - sum of e.
     stat = full.groupBy(*keys).agg(

@@ -334,7 +334,7 @@ def shift_diagnosis(df: DataFrame, seq: str, pos: str, base: str) -> DataFrame:
 def metric_table(df: DataFrame, **metrics: Column) -> DataFrame:
     """Named totals of one table as (metric, value) rows."""
     agg = df.agg(*[m.cast("double").alias(k) for k, m in metrics.items()])
-    return agg.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), C(k).alias("value")) for k in metrics])))
+    return agg.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), C(f"`{k}`").alias("value")) for k in metrics])))
 
 
 def best_sequence(aln: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -400,3 +400,22 @@ def registry_append(registry: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def metrics_by_group(df: DataFrame, keys: Sequence[str], aa: str, nt: str) -> DataFrame:
     agg = df.groupBy(*keys).agg(F.count("*").alias("n_classified"), F.count_if(aa).alias("n_aa"), F.count_if(nt).alias("n_nt"))
     return agg.withColumns({"pct_aa": C("n_aa") / C("n_classified") * 100.0, "pct_nt": C("n_nt") / C("n_classified") * 100.0})
+
+
+def compare_strata(df: DataFrame, flag: str, measure: str, strata: dict[str, Column], within: str | None = None, min_n: int = 3) -> DataFrame:
+    """Flagged against other rows per stratum: counts, medians, upper quartiles, one-sided rank test.
+
+    ``within`` adds one stratum per value of a column. Strata below ``min_n`` rows a side are left out.
+    """
+    known = df.where(C(measure).isNotNull())
+    if within:
+        labels = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in strata.items()],
+                                         F.concat(F.lit("within_"), C(within))))
+        x = known.withColumn("stratum", F.explode(labels))
+    else:
+        x = explode_strata(known, strata)
+    side = F.when(C(flag), "flag").otherwise("rest")
+    q = quantiles(x.withColumn("_side", side), measure, {"median": 0.5, "p75": 0.75}, ["stratum", "_side"])
+    wide = q.groupBy("stratum").agg(*[F.max(F.when(C("_side") == v, C(m))).alias(f"{m}_{v}") for v in ("flag", "rest") for m in ("n", "median", "p75")])
+    mw = mann_whitney(x, measure, C(flag), ["stratum"], "greater", min_n).select("stratum", "u", "p_value")
+    return wide.where((C("n_flag") >= min_n) & (C("n_rest") >= min_n)).join(mw, "stratum")
