@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment as al
 from ..operators import ranking
+from ..session import cut_lineage
 from .registry import query
 
 C = F.col
@@ -93,7 +94,7 @@ def _(t):
 @query("m08_apc_stats")
 def _(t):
     sampled = al.sample_pairs(sizes(t))
-    mi = al.mutual_information(cells(t).withColumn("col", C("col").cast("bigint")), sampled, sizes(t))
+    mi = cut_lineage(al.mutual_information(cells(t).withColumn("col", C("col").cast("bigint")), sampled, sizes(t)))
     row_means, grand = al.apc_stats(mi)
     return row_means.join(grand, "gene")
 
@@ -102,15 +103,15 @@ def _(t):
 WITH {MI_SQL}, e AS (SELECT gene, i AS col, mi FROM mi UNION ALL SELECT gene, j, mi FROM mi), r AS (SELECT gene, col, avg(mi) AS m FROM e GROUP BY 1, 2), g AS (SELECT gene, avg(mi) AS gm FROM mi GROUP BY 1)
 SELECT mi.gene, i, j, round(CASE WHEN gm = 0 THEN mi ELSE mi - r1.m * r2.m / gm END, 6) AS mi_apc FROM mi JOIN g USING (gene) JOIN r r1 ON r1.gene = mi.gene AND r1.col = i JOIN r r2 ON r2.gene = mi.gene AND r2.col = j""")
 def _(t):
-    mi = _mi(t)
+    mi = cut_lineage(_mi(t))
     return al.apc_correct(mi, *al.apc_stats(mi)).select("gene", "i", "j", F.round("mi_apc", 6).alias("mi_apc"))
 
 
 @query("m10_background_mi")
 def _(t):
     drawn = al.sample_pairs(sizes(t), n=500, full_below=1, seed=7)
-    bg = al.mutual_information(cells(t).withColumn("col", C("col").cast("bigint")), drawn, sizes(t))
-    asked = _mi(t)
+    bg = cut_lineage(al.mutual_information(cells(t).withColumn("col", C("col").cast("bigint")), drawn, sizes(t)))
+    asked = cut_lineage(_mi(t))
     return ranking.percentile_strict(asked, "mi", bg, "mi", ["gene"]).select("gene", "i", "j", "percentile")
 
 

@@ -256,7 +256,7 @@ def _(t):
 WITH r AS (SELECT ann_id, arg_min(timing, pair_id) AS refined FROM prx_tested GROUP BY 1), j AS (SELECT t.pair_id, t.pagel_fdr, t.contact_type, t.fisher_p, COALESCE(refined IN ('contact_first', 'co_occurring'), false) AS mild FROM prx_tested t LEFT JOIN r USING (ann_id))
 SELECT pair_id, CASE WHEN mild THEN '1A' ELSE '1B' END AS tier FROM j WHERE pagel_fdr <= 0.1 UNION ALL SELECT pair_id, '1C' FROM j WHERE contact_type = 'mt-nuc' AND fisher_p < 0.05 AND mild""")
 def _(t):
-    timing = t.tested.groupBy("ann_id").agg(F.min_by("timing", "pair_id").alias("refined"))
+    timing = t.tested.where("timing is not null").groupBy("ann_id").agg(F.min_by("timing", "pair_id").alias("refined"))
     pairs = t.tested.select("pair_id", "ann_id", "pagel_fdr", "contact_type", C("fisher_p").alias("perm_p"))
     return g.tier_pairs(pairs, timing, ["ann_id"], ("contact_first", "co_occurring")).select("pair_id", "tier")
 

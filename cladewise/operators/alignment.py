@@ -134,37 +134,44 @@ def mutual_information(cells: DataFrame, pairs: DataFrame, sizes: DataFrame, sta
     their counts follow from the column totals and ``sizes`` (gene, n_species).
     """
     st = F.when(F.col("ch").isin(*states), F.col("ch")).otherwise("-")
-    cols = pairs.select("gene", F.col("i").alias("col")).union(pairs.select("gene", F.col("j").alias("col"))).distinct()
+    key, gap = ["gene", "i", "j"], F.lit("-")
+    one = pairs.select(*key).distinct()
+    cols = one.select("gene", F.explode(F.array("i", "j")).alias("col")).distinct()
     used = cells.join(cols, ["gene", "col"]).select("gene", "species", "col", st.alias("st"))
     left = used.select("gene", "species", F.col("col").alias("i"), F.col("st").alias("a"))
     right = used.select("gene", "species", F.col("col").alias("j"), F.col("st").alias("b"))
-    key = ["gene", "i", "j"]
-    both = (
-        pairs.select(*key).distinct().join(left, ["gene", "i"]).join(right, ["gene", "species", "j"])
-        .groupBy(*key, "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    )
+    both = one.join(left, ["gene", "i"]).join(right, ["gene", "species", "j"]).groupBy(*key, "a", "b").agg(F.count(F.lit(1)).alias("n"))
     per_col = used.groupBy("gene", "col", "st").agg(F.count(F.lit(1)).alias("n"))
-    gap = F.lit("-")
-    one = pairs.select(*key).distinct()
-    only_i = one.join(per_col.select("gene", F.col("col").alias("i"), F.col("st").alias("a"), "n"), ["gene", "i"]).select(*key, "a", gap.alias("b"), "n")
-    only_j = one.join(per_col.select("gene", F.col("col").alias("j"), F.col("st").alias("b"), "n"), ["gene", "j"]).select(*key, gap.alias("a"), "b", "n")
-    neither = one.join(sizes, "gene").select(*key, gap.alias("a"), gap.alias("b"), F.col("n_species").alias("n"))
-    minus = -F.col("n")
+
+    def cell(a, b, n):
+        return F.struct(a.alias("a"), b.alias("b"), n.alias("n"))
+
+    def spread(df, *rows):
+        return df.select(*key, F.inline(F.array(*rows)))
+
+    n, a, b = F.col("n"), F.col("a"), F.col("b")
+    ends_i = one.join(per_col.select("gene", F.col("col").alias("i"), F.col("st").alias("a"), "n"), ["gene", "i"])
+    ends_j = one.join(per_col.select("gene", F.col("col").alias("j"), F.col("st").alias("b"), "n"), ["gene", "j"])
+    whole = one.join(sizes.select("gene", F.col("n_species").alias("n")), "gene")
+    # Rows present on one side only, and on neither, follow by subtraction.
     joint = (
-        both
-        .unionByName(only_i).unionByName(both.select(*key, "a", gap.alias("b"), minus.alias("n")))
-        .unionByName(only_j).unionByName(both.select(*key, gap.alias("a"), "b", minus.alias("n")))
-        .unionByName(neither)
-        .unionByName(only_i.select(*key, gap.alias("a"), gap.alias("b"), minus.alias("n")))
-        .unionByName(only_j.select(*key, gap.alias("a"), gap.alias("b"), minus.alias("n")))
-        .unionByName(both.select(*key, gap.alias("a"), gap.alias("b"), "n"))
+        spread(both, cell(a, b, n), cell(a, gap, -n), cell(gap, b, -n), cell(gap, gap, n))
+        .unionByName(spread(ends_i, cell(a, gap, n), cell(gap, gap, -n)))
+        .unionByName(spread(ends_j, cell(gap, b, n), cell(gap, gap, -n)))
+        .unionByName(spread(whole, cell(gap, gap, n)))
         .groupBy(*key, "a", "b").agg(F.sum("n").alias("n"))
     )
     h_ij = _entropy(joint, key, "h_ij")
-    h_i = _entropy(joint.groupBy(*key, "a").agg(F.sum("n").alias("n")), key, "h_i")
-    h_j = _entropy(joint.groupBy(*key, "b").agg(F.sum("n").alias("n")), key, "h_j")
-    mi = F.greatest(F.lit(0.0), F.col("h_i") + F.col("h_j") - F.col("h_ij"))
-    return h_ij.join(h_i, key).join(h_j, key).select(*key, mi.alias("mi"))
+    column = (
+        per_col.select("gene", "col", "st", "n")
+        .unionByName(per_col.select("gene", "col", gap.alias("st"), (-n).alias("n")))
+        .unionByName(cols.join(sizes, "gene").select("gene", "col", gap.alias("st"), F.col("n_species").alias("n")))
+        .groupBy("gene", "col", "st").agg(F.sum("n").alias("n"))
+    )
+    h = _entropy(column, ["gene", "col"], "h")
+    out = h_ij.join(h.select("gene", F.col("col").alias("i"), F.col("h").alias("h_i")), ["gene", "i"]).join(
+        h.select("gene", F.col("col").alias("j"), F.col("h").alias("h_j")), ["gene", "j"])
+    return out.select(*key, F.greatest(F.lit(0.0), F.col("h_i") + F.col("h_j") - F.col("h_ij")).alias("mi"))
 
 
 def sample_pairs(sizes: DataFrame, n: int = 5000, full_below: int = 100, seed: int = 42) -> DataFrame:
@@ -173,14 +180,15 @@ def sample_pairs(sizes: DataFrame, n: int = 5000, full_below: int = 100, seed: i
     ``sizes`` holds (gene, length). The draw is arithmetic on the draw number, so it is
     the same on every run and needs no driver-side random stream.
     """
-    k, length = F.col("_k"), F.col("length")
+    k, length = F.col("_k").cast("bigint"), F.col("length")
     drawn = sizes.where(length > full_below).select("gene", "length", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_k"))
     a = (k * 48271 + seed * 7919) % 2147483647 * 16807 % 2147483647 % length
     b = (k * 69621 + seed * 104729) % 2147483647 * 39373 % 2147483647 % length
     drawn = drawn.select("gene", F.least(a, b).alias("i"), F.greatest(a, b).alias("j"))
     short = sizes.where((length <= full_below) & (length >= 2))
-    every = short.select("gene", "length", F.explode(F.sequence(F.lit(0), length - 2)).alias("i"))
-    every = every.select("gene", F.col("i").cast("bigint").alias("i"), F.explode(F.sequence(F.col("i") + 1, length - 1)).cast("bigint").alias("j"))
+    every = short.select("gene", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), length - 2)).alias("i"))
+    every = every.select("gene", "i", F.explode(F.sequence(F.col("i") + 1, length - 1)).alias("j"))
+    every = every.select("gene", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"))
     return drawn.where("i <> j").distinct().unionByName(every)
 
 

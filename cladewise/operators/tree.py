@@ -331,14 +331,15 @@ def prune_tree(clo: DataFrame, edges: DataFrame, keep: DataFrame, min_tips: int
 
     A node stays if it is a kept leaf or two of its children lead to kept leaves; each
     staying node hangs on its lowest staying ancestor. Trees below ``min_tips`` are left out.
+    The kept leaves and the staying nodes are read several times, so both are checkpointed.
     """
     tips = leaves(edges).join(keep.select("tree", "leaf"), ["tree", "leaf"], "left_semi")
     enough = tips.groupBy("tree").agg(F.count(F.lit(1)).alias("n_tips")).where(C("n_tips") >= min_tips)
-    tips = tips.join(enough.select("tree"), "tree", "left_semi")
+    tips = cut_lineage(tips.join(enough.select("tree"), "tree", "left_semi"))
     over = clo.join(tips.select("tree", C("leaf").alias("node")), ["tree", "node"], "left_semi").select("tree", C("ancestor").alias("child")).distinct()
     alive = over.unionByName(tips.select("tree", C("leaf").alias("child"))).distinct()
     forks = edges.join(alive, ["tree", "child"], "left_semi").groupBy("tree", "parent").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    stay = forks.select("tree", C("parent").alias("node")).unionByName(tips.select("tree", C("leaf").alias("node")))
+    stay = cut_lineage(forks.select("tree", C("parent").alias("node")).unionByName(tips.select("tree", C("leaf").alias("node"))))
     pairs = clo.join(stay, ["tree", "node"], "left_semi").join(stay.select("tree", C("node").alias("ancestor")), ["tree", "ancestor"], "left_semi")
     return pairs.groupBy("tree", "node").agg(F.min_by("ancestor", "depth").alias("parent")).select("tree", "parent", C("node").alias("child"))
 
