@@ -57,7 +57,7 @@ def read_lenient_tsv(spark: SparkSession, path: str, encoding: str = "windows-12
 def read_gz_tsv(spark: SparkSession, path: str, partitions: int | None = None, **options) -> DataFrame:
     """Gzip cannot be split: one task inflates a file, then its rows are spread out."""
     df = spark.read.csv(path, sep="\t", header=True, **options)
-    return df.repartition(partitions) if partitions else df.repartition()
+    return df.repartition(partitions) if partitions else df.hint("rebalance")
 
 
 def normalise_nulls(df: DataFrame, words: Sequence[str] = NULL_WORDS) -> DataFrame:
@@ -174,12 +174,13 @@ STANDARD_RESIDUES = {
 
 
 def read_atom_table(spark: SparkSession, path: str, model: str = "1") -> DataFrame:
-    """Atoms of the _atom_site loop of each file: standard residues of one model.
+    """Atoms of the _atom_site loop of each data block: standard residues of one model.
 
-    A file states its own column order, so a file is one row until its loop is split.
+    A block states its own column order, so a block is one row until its loop is split;
+    files are cut at block starts and need not fit in one row.
     """
-    files = spark.read.option("wholetext", True).text(path).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("pdb"), "value")
+    blocks = spark.read.option("lineSep", "\ndata_").text(path)
+    files = blocks.select(F.regexp_extract("value", r"^(?:data_)?(\S+)", 1).alias("pdb"), "value")
     names = F.transform(F.regexp_extract_all("value", F.lit(r"(?m)^_atom_site\.(\S+)"), F.lit(1)), lambda t: F.trim(t))
     rows = files.select("pdb", names.alias("names"), F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^((?:ATOM|HETATM)\b.*)$"), F.lit(1))).alias("line"))
     rows = rows.select("pdb", F.map_from_arrays("names", F.slice(F.split(F.trim("line"), r"\s+"), F.lit(1), F.size("names"))).alias("a"))
@@ -201,9 +202,12 @@ def beta_atoms(atoms: DataFrame, residue: str = "resname", glycine: str = "GLY")
     return atoms.where(F.col("atom") == F.when(F.col(residue) == glycine, "CA").otherwise("CB"))
 
 
-def read_annotation_json(spark: SparkSession, path: str, key: str = "_id") -> DataFrame:
-    """(key, doc): records of JSON arrays as variants, without those marked as not found."""
-    df = spark.read.option("singleVariantColumn", "doc").json(path, multiLine=True)
+def read_annotation_json(spark: SparkSession, path: str, key: str = "_id", arrays: bool = True) -> DataFrame:
+    """(key, doc): records as variants, without those marked as not found.
+
+    A file is one JSON array, or with ``arrays`` off one record per line (splittable).
+    """
+    df = spark.read.option("singleVariantColumn", "doc").json(path, multiLine=arrays)
     lost = F.coalesce(F.try_variant_get("doc", "$.notfound", "boolean"), F.lit(False))
     return df.where(~lost).select(F.variant_get("doc", f"$.{key}", "string").alias(key), "doc")
 
