@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import tree as g
+from ..session import cut_lineage
 from .registry import query
 
 C = F.col
@@ -85,7 +86,7 @@ PROP_SQL = f"{SELF_SQL}, {ROOTS_SQL}, {NEAR_SQL}, nd AS (SELECT node FROM cs WHE
 
 @query("g07_propagate_changes", f"WITH {PROP_SQL} SELECT node, pos, aa FROM pa")
 def _(t):
-    return g.propagate_changes(clo_self(t), root_states(t), changes(t)).drop("tree")
+    return g.propagate_changes(cut_lineage(clo_self(t)), root_states(t), changes(t)).drop("tree")
 
 
 @query("g07b_propagate_observed", f"""
@@ -95,7 +96,7 @@ SELECT nd.node, ps.pos, CASE WHEN nd.node NOT IN (SELECT parent FROM prx_edge) T
 def _(t):
     # Position 3 has no root state anywhere: it stays null.
     asked = root_states(t).select("tree", "pos").unionByName(root_states(t).where("pos = 1").select("tree", F.lit(3).alias("pos")))
-    return g.propagate_observed(clo_self(t), t.edge, asked, root_states(t), changes(t), observed(t)).drop("tree")
+    return g.propagate_observed(cut_lineage(clo_self(t)), t.edge, asked, root_states(t), changes(t), observed(t)).drop("tree")
 
 
 @query("g07c_propagate_tiers", f"""
@@ -104,9 +105,9 @@ ch AS (SELECT c.* FROM prx_change c WHERE NOT EXISTS (SELECT 1 FROM lb WHERE lb.
 nc AS (SELECT cs.node, c.pos, arg_min(c.aa_to, cs.depth) AS changed FROM cs JOIN ch c ON c.child = cs.ancestor GROUP BY 1, 2), nd AS (SELECT node FROM cs WHERE depth = 0),
 lw AS (SELECT DISTINCT cs.node FROM cs JOIN lb ON lb.child = cs.ancestor) SELECT node, rs.pos, COALESCE(changed, rs.aa, '-') AS aa, node IN (SELECT node FROM lw) AS is_low FROM nd CROSS JOIN rs LEFT JOIN nc USING (node, pos)""")
 def _(t):
-    ch = changes(t)
+    ch = cut_lineage(changes(t))
     low = ch.where((C("pos") == 2) & C("child").startswith("C"))
-    return g.propagate_tiers(clo_self(t), root_states(t).select("tree", "pos"), root_states(t), ch, low).drop("tree")
+    return g.propagate_tiers(cut_lineage(clo_self(t)), root_states(t).select("tree", "pos"), root_states(t), ch, low).drop("tree")
 
 
 ALT_SQL = "aq AS (SELECT 1 AS pos, 'C' AS alt UNION ALL SELECT 1, 'D' UNION ALL SELECT 2, 'C')"
@@ -129,7 +130,7 @@ WITH {PROP_SQL}, {ALT_SQL}, ic AS (SELECT * FROM prx_change WHERE child NOT LIKE
 UNION SELECT s.pos, alt, e.parent, e.child FROM prx_state s JOIN aq ON aq.pos = s.pos AND s.aa = alt JOIN prx_edge e ON e.child = s.node AND s.node LIKE 'O%' JOIN pa ON pa.node = e.parent AND pa.pos = s.pos WHERE pa.aa <> alt""")
 def _(t):
     inner = changes(t).where(~C("child").startswith("O"))
-    st = g.propagate_changes(clo_self(t), root_states(t), inner)
+    st = cut_lineage(g.propagate_changes(clo_self(t), root_states(t), inner))
     return g.gains_with_leaves(inner, alts(t), t.edge, observed(t), st).drop("tree")
 
 
@@ -151,7 +152,7 @@ sh AS (SELECT a.node AS node_a, b.node AS node_b, count(*) AS shared FROM l1 a J
 def leafsets(t):
     a = g.descendant_leaves(clo(t), t.edge).where(C("leaf").startswith("O"))
     b = g.descendant_leaves(g.closure(t.edge2, max_depth=4), t.edge2)
-    return a, b
+    return cut_lineage(a), cut_lineage(b)
 
 
 @query("j21_node_match_jaccard", f"""
@@ -194,8 +195,8 @@ FROM ct JOIN pa p ON p.node = ct.parent AND p.pos = ct.cpos JOIN pa k ON k.node
 
 
 def branch_timing(t):
-    cs, ch = clo_self(t), changes(t)
-    st = g.propagate_changes(cs, root_states(t), ch)
+    cs, ch = cut_lineage(clo_self(t)), cut_lineage(changes(t))
+    st = cut_lineage(g.propagate_changes(cs, root_states(t), ch))
     br = g.gains(ch, alts(t)).withColumns({"contact_pos": 3 - C("pos"), "contact_alt": F.when(C("pos") == 2, "D").otherwise("C")})
     return g.timing_same_labels(br, st, cs)
 

@@ -341,6 +341,17 @@ def trait_tables(traits: DataFrame, pair: Sequence[str], species: str) -> DataFr
     return agg.select(*pair, F.col("n_members").alias("n_species"), key.alias("set_key"))
 
 
+def wanted_cells(variants: DataFrame, cells: DataFrame, mask: str) -> DataFrame:
+    """Readable cells of other species that hold a residue some variant asks for.
+
+    The distinct asked (gene, col, residue) are few beside the cells, so most cells are
+    dropped before any of them is shuffled.
+    """
+    asked = variants.select("gene", "col", "alt_aa").distinct()
+    seen = cells.where(~F.col("is_ref") & ~F.col("ch").isin(*mask)).select("gene", "species", "col", F.col("ch").alias("alt_aa"))
+    return seen.join(asked, ["gene", "col", "alt_aa"], "left_semi")
+
+
 def carriers(variants: DataFrame, cells: DataFrame, codons: DataFrame | None = None, mask: str = "-!*X") -> DataFrame:
     """(variant, species) rows of non-reference species that carry the new residue.
 
@@ -348,7 +359,7 @@ def carriers(variants: DataFrame, cells: DataFrame, codons: DataFrame | None = N
     col, ch, is_ref); ``codons`` holds (gene, species, col, codon) per residue column. The
     join key includes the residue, so only carriers are shuffled.
     """
-    found = cells.where(~F.col("is_ref") & ~F.col("ch").isin(*mask)).select("gene", "species", "col", F.col("ch").alias("alt_aa"))
+    found = wanted_cells(variants, cells, mask)
     out = variants.join(found, ["gene", "col", "alt_aa"])
     if codons is None:
         return out.select("vid", "species")
