@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, quality, token_counts
+from . import decontaminate, langid, licenses, line_templates, mixing, near_dups, neighbours, pii, quality, token_counts
 from .columns import learns, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,20 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+@query
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(read(spark, sf_dir, "documents")).drop("_key")
+
+
+@query
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_templates.strip_templates(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_records", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+ORACLES["op4_line_templates"] = line_templates.ORACLE
+
+
 @query
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -45,8 +59,26 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
+@query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_mixing"] = mixing.ORACLE
+
+
 @query
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = langid.identify(docs, docs.where(learns(5, 0)))
     return out.select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
