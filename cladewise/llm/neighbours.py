@@ -22,7 +22,7 @@ from .columns import cut_lineage, map_arrow, ship
 #: Pivots: the power of two next to n^0.4 for n vectors, between these bounds (the bounds hold the model, not the rows).
 PIVOTS = (16, 1024)
 #: Files that a vector is posted in and a query reads; pivots compared by the footrule; share of a file that is ranked again.
-POST, READ, ORDER, SHARE = 6, 12, 32, 0.5
+POST, READ, ORDER, SHARE = 6, 14, 32, 0.55
 #: Vectors and queries of one task's block.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 
