@@ -69,22 +69,26 @@ def _sketch(words: int, k: int):
     return run
 
 
+#: Pairs whose texts are hashed at once.
+TRY_ROWS = 400
+
+
 def _confirm(words: int, percent: int):
     def run(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            a, b, ta, tb = batch.columns
-            ids = a.to_pylist()
-            if len(held) > 200:
-                held = {}
-            # A pivot's text comes in many rows: its set is made once.
-            first = {x: i for i, x in reversed(list(enumerate(ids))) if x not in held}
-            held.update(zip(first, shingle_sets(ta.take(pa.array(list(first.values()), pa.int64())), words), strict=True))
-            ok = []
-            for x, s in zip(ids, shingle_sets(tb, words), strict=True):
-                both = len(np.intersect1d(held[x], s, assume_unique=True))
-                ok.append(100 * both >= percent * (len(held[x]) + len(s) - both))
-            yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok)), b.filter(pa.array(ok))], names=["a", "b"])
+            for at in range(0, len(batch), TRY_ROWS):
+                a, b, ta, tb = batch.slice(at, TRY_ROWS).columns
+                ids = a.to_pylist()
+                # A pivot's text comes in many rows: its set is made once.
+                held = {x: held[x] for x in set(ids) if x in held}
+                first = {x: i for i, x in reversed(list(enumerate(ids))) if x not in held}
+                held.update(zip(first, shingle_sets(ta.take(pa.array(list(first.values()), pa.int64())), words), strict=True))
+                ok = []
+                for x, s in zip(ids, shingle_sets(tb, words), strict=True):
+                    both = len(np.intersect1d(held[x], s, assume_unique=True))
+                    ok.append(100 * both >= percent * (len(held[x]) + len(s) - both))
+                yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok)), b.filter(pa.array(ok))], names=["a", "b"])
 
     return run
 

@@ -15,7 +15,7 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
 #: Bytes of text that are worked on at once; a longer text stands alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def _table(separators: list[int]) -> np.ndarray:
