@@ -14,7 +14,7 @@ from ..session import cut_lineage
 __all__ = ["cut_lineage", "guarded", "keyed", "learns", "map_arrow", "read", "share_of", "ship", "text_or_empty"]
 
 #: Largest number of narrow rows that a hint may broadcast; above it the join is left to a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def ship(spark: SparkSession) -> None:

@@ -20,21 +20,27 @@ MIN_TOKENS, DEPTH, WILD = 6, 4, 0.25
 MIN_DOCS, REPEATED = 3, 0.6
 #: Records end behind a line end, and behind a sentence mark and a space.
 ENDS = r"(?<=\n)|(?<=[.!?] )"
-MASK = "<*>"
+MASK, MARK = "<*>", "\x01"
 
 
 def records(text: Column) -> Column:
     """The records of a text; concatenated they are the text."""
-    return F.split(text, ENDS, -1)
+    marked = text
+    for end in (". ", "! ", "? ", "\n"):
+        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    # Plain replacements and a one-character split are far cheaper than the look-behind, which serves texts that hold the mark.
+    return F.when(F.contains(text, F.lit(MARK)), F.split(text, ENDS, -1)).otherwise(F.split(marked, MARK, -1))
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """(_key, i, size, doc_size, n, leaf, form, masked) of each record with enough tokens."""
+    """(_key, i, size, doc_size, n, leaf, form, masked) of each record; leaf is 0 for one with too few tokens."""
     cut = rows.select("_key", F.length("text").alias("doc_size"), F.posexplode(records(F.col("text"))).alias("i", "unit"))
-    cut = cut.select("_key", "doc_size", "i", F.length("unit").alias("size"), F.regexp_replace(F.regexp_replace("unit", r"^\s+|\s+$", ""), r"\S*[0-9]\S*", MASK).alias("masked"))
-    tokens = F.split("masked", r"\s+")
-    cut = cut.select("*", F.size(tokens).alias("n"), F.array_join(F.slice(tokens, 1, DEPTH), " ").alias("lead")).where(F.col("n") >= MIN_TOKENS)
-    return cut.select("_key", "i", "size", "doc_size", "n", F.xxhash64("n", "lead").alias("leaf"), F.xxhash64("masked", "n").alias("form"), "masked")
+    bare = F.trim(F.col("unit"), F.lit(" \n\t\r\f"))
+    masked = F.when(bare.rlike("[0-9]"), F.regexp_replace(bare, r"\S*[0-9]\S*", MASK)).otherwise(bare)
+    cut = cut.select("_key", "doc_size", "i", F.length("unit").alias("size"), masked.alias("masked"))
+    cut = cut.select("*", F.split("masked", r"\s+").alias("tokens"))
+    leaf = F.when(F.size("tokens") >= MIN_TOKENS, F.xxhash64(F.size("tokens"), F.array_join(F.slice("tokens", 1, DEPTH), " "))).otherwise(F.lit(0).cast("long"))
+    return cut.select("_key", "i", "size", "doc_size", F.size("tokens").alias("n"), leaf.alias("leaf"), F.xxhash64("masked").alias("form"), "masked")
 
 
 def templates(held: DataFrame, min_docs: int = MIN_DOCS, wild: float = WILD) -> DataFrame:
@@ -53,14 +59,14 @@ def dropped(rows: DataFrame, min_docs: int = MIN_DOCS, repeated: float = REPEATE
     """(_key, drop): the indices of the records that go, for each text that loses any. ``rows`` has _key and text."""
     cut = parsed(rows)
     # A leaf with fewer records than that can hold no recurring template; most of the text goes no further.
-    leaves = cut_lineage(cut.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_docs).select("leaf"))
+    leaves = cut_lineage(cut.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).where((F.col("c") >= min_docs) & (F.col("leaf") != 0)).select("leaf"))
     held = cut_lineage(cut.join(guarded(leaves), "leaf"))
     places = cut_lineage(held.drop("masked").join(templates(held, min_docs), ["leaf", "form"]).select("_key", "i", "size", "doc_size", "template"))
     docs = places.select("_key", "template").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"))
-    again = cut_lineage(places.join(docs.where(F.col("docs") >= min_docs), "template").drop("docs"))
+    again = cut_lineage(places.join(guarded(cut_lineage(docs.where(F.col("docs") >= min_docs).select("template"))), "template"))
     own = again.select("_key", "i", "size", "doc_size").distinct().groupBy("_key", "doc_size").agg(F.sum("size").alias("said")).where(F.col("said") <= repeated * F.col("doc_size"))
     carried = again.select("_key", "template").distinct().join(own.select("_key"), "_key").groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
-    return again.join(carried.select("template"), "template").groupBy("_key").agg(F.collect_set("i").alias("drop"))
+    return again.join(guarded(cut_lineage(carried.select("template"))), "template").groupBy("_key").agg(F.collect_set("i").alias("drop"))
 
 
 def strip_templates(docs: DataFrame, *keep: str, min_docs: int = MIN_DOCS, repeated: float = REPEATED) -> DataFrame:
@@ -83,7 +89,7 @@ WITH rows_ AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 keyed AS (SELECT DISTINCT doc_id, text FROM rows_),
 units AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?] |\n)', '\1' || chr(1), 'g'), chr(1)) AS u FROM keyed),
 cut AS (SELECT doc_id, text, unnest(range(len(u))) AS i, unnest(u) AS unit FROM units),
-masked AS (SELECT doc_id, text, i, length(unit) AS size, regexp_replace(regexp_replace(unit, '^\s+|\s+$', '', 'g'), '\S*[0-9]\S*', '{MASK}', 'g') AS m FROM cut),
+masked AS (SELECT doc_id, text, i, length(unit) AS size, regexp_replace(regexp_replace(unit, '^[ \n\t\r\f]+|[ \n\t\r\f]+$', '', 'g'), '\S*[0-9]\S*', '{MASK}', 'g') AS m FROM cut),
 parsed AS (SELECT *, string_split_regex(m, '\s+') AS tokens FROM masked),
 units6 AS (SELECT doc_id, text, i, size, m, tokens, len(tokens) AS n, len(tokens) || ' ' || array_to_string(tokens[1:{DEPTH}], ' ') AS leaf FROM parsed WHERE len(tokens) >= {MIN_TOKENS}),
 leaves AS (SELECT leaf FROM units6 GROUP BY 1 HAVING count(*) >= {MIN_DOCS}),
