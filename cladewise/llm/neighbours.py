@@ -53,10 +53,20 @@ def _orders(pivots: np.ndarray, order: int):
 
 
 def _places(orders: np.ndarray, pivots: int) -> np.ndarray:
-    """Place of each pivot in each order; pivots beyond it stand at its end."""
-    out = np.full((len(orders), pivots), orders.shape[1], dtype=np.float32)
-    np.put_along_axis(out, orders, np.arange(orders.shape[1], dtype=np.float32)[None, :], axis=1)
-    return out
+    """Place of each pivot (row) in each order (column); pivots that an order lacks stand behind its end."""
+    out = np.full((len(orders), pivots), orders.shape[1], dtype=np.int8)
+    np.put_along_axis(out, orders, np.arange(orders.shape[1], dtype=np.int8)[None, :], axis=1)
+    return np.ascontiguousarray(out.T)
+
+
+def footrules(places: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Footrule distance of ``order`` from each column's order, less what is the same for all of them.
+
+    A pivot that only the other order holds stands behind this one's end; those terms are a constant less the
+    places of the pivots that both hold, so they come with the sum over this order's pivots.
+    """
+    part = places[order]
+    return (np.abs(part - np.arange(len(order), dtype=np.int8)[:, None]) + part).sum(axis=0, dtype=np.int16)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, own: int, k: int) -> np.ndarray:
@@ -78,12 +88,9 @@ def _search(pivots: int, k: int, share: float):
             if share < 1:
                 theirs, own = np.stack(files.nearest), np.stack(asked.q_nearest)
                 places = _places(theirs, pivots)
-                size = theirs.shape[1]
                 keep = max(int(np.ceil(share * len(ids))), min(len(ids), 4 * k))
                 for i, q in enumerate(asked.q_vec_id):
-                    # Footrule over the query's pivots, and what the other order has beside them.
-                    part = places[:, own[i]]
-                    far = np.abs(part - np.arange(size, dtype=np.float32)).sum(axis=1) + np.where(part < size, 0, 1).sum(axis=1)
+                    far = footrules(places, own[i])
                     near = np.argpartition(far, keep - 1)[:keep] if keep < len(ids) else np.arange(len(ids))
                     at = near[_best(ids[near], scores[i, near], q, k)]
                     out.append((np.full(len(at), q), ids[at], at, i))
