@@ -91,12 +91,13 @@ def _(t):
     return _mi(t).withColumn("mi", F.round("mi", 6))
 
 
-@query("m08_apc_stats")
+APC_SQL = "e AS (SELECT gene, i AS col, mi FROM mi UNION ALL SELECT gene, j, mi FROM mi), r AS (SELECT gene, col, avg(mi) AS m FROM e GROUP BY 1, 2), g AS (SELECT gene, avg(mi) AS gm FROM mi GROUP BY 1)"
+
+
+@query("m08_apc_stats", f"WITH {MI_SQL}, {APC_SQL} SELECT gene, col, round(m, 6) AS mean_mi, round(gm, 6) AS grand_mean FROM r JOIN g USING (gene)")
 def _(t):
-    sampled = al.sample_pairs(sizes(t))
-    mi = cut_lineage(al.mutual_information(cells(t).withColumn("col", C("col").cast("bigint")), sampled, sizes(t)))
-    row_means, grand = al.apc_stats(mi)
-    return row_means.join(grand, "gene")
+    row_means, grand = al.apc_stats(cut_lineage(_mi(t)))
+    return row_means.join(grand, "gene").select("gene", "col", F.round("mean_mi", 6).alias("mean_mi"), F.round("grand_mean", 6).alias("grand_mean"))
 
 
 @query("m09_apc_correct", f"""
@@ -107,12 +108,11 @@ def _(t):
     return al.apc_correct(mi, *al.apc_stats(mi)).select("gene", "i", "j", F.round("mi_apc", 6).alias("mi_apc"))
 
 
-@query("m10_background_mi")
+@query("m10_background_mi", f"""
+WITH {MI_SQL}, v AS (SELECT gene, i, j, round(mi, 9) AS v FROM mi) SELECT gene, i, j, round(100.0::DOUBLE * (rank() OVER (PARTITION BY gene ORDER BY v) - 1) / count(*) OVER (PARTITION BY gene), 6) AS percentile FROM v""")
 def _(t):
-    drawn = al.sample_pairs(sizes(t), n=500, full_below=1, seed=7)
-    bg = cut_lineage(al.mutual_information(cells(t).withColumn("col", C("col").cast("bigint")), drawn, sizes(t)))
-    asked = cut_lineage(_mi(t))
-    return ranking.percentile_strict(asked, "mi", bg, "mi", ["gene"]).select("gene", "i", "j", "percentile")
+    asked = cut_lineage(_mi(t).withColumn("mi", F.round("mi", 9)))
+    return ranking.percentile_strict(asked, "mi", asked, "mi", ["gene"]).select("gene", "i", "j", F.round("percentile", 6).alias("percentile"))
 
 
 BENCH_SQL = """bt AS (SELECT item_id AS s, regexp_replace(text, '[^A-Za-z]', '-', 'g') AS q FROM benchmark),
@@ -127,12 +127,7 @@ def _bench(t):
 @query("m11_pairwise_identity", f"""
 WITH {BENCH_SQL} SELECT 'bench' AS gene, count(*) AS n, round(avg(pid), 6) AS mean, round(quantile_cont(pid, 0.05), 6) AS p5, round(quantile_cont(pid, 0.25), 6) AS p25, round(quantile_cont(pid, 0.5), 6) AS median, round(quantile_cont(pid, 0.75), 6) AS p75, round(quantile_cont(pid, 0.95), 6) AS p95 FROM bi""")
 def _(t):
-    return al.pairwise_identity(_bench(t), max_rows=None, block=16).select("gene", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p5", "p25", "median", "p75", "p95")])
-
-
-@query("m11b_pairwise_identity_documents")
-def _(t):
-    return al.pairwise_identity(t.aln)
+    return al.pairwise_identity(_bench(t), block=16).select("gene", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p5", "p25", "median", "p75", "p95")])
 
 
 @query("m12_effective_count", f"""

@@ -112,16 +112,6 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 }
 
 
-# Tables whose rows carry the work; a single file of them would keep one core busy.
-LARGE = {"documents", "lineitem", "pages"}
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the table has fewer files than that; many files are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def _pick(letters: str, number):
     return F.substring(F.lit(letters), (F.lit(1) + number % len(letters)).cast("int"), F.lit(1))
 
@@ -136,8 +126,6 @@ class Tables:
         if name not in BASE:
             raise AttributeError(name)
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        if name in LARGE:
-            df = spread(df)
         self.__dict__[name] = df
         return df
 

@@ -14,7 +14,7 @@ ROOTS_SQL = "rs AS (SELECT 'geo' AS tree, pos, aa FROM prx_state WHERE node = 'R
 
 
 def clo(t):
-    return g.closure(t.edge, max_depth=4)
+    return g.closure(t.edge)
 
 
 def clo_self(t):
@@ -151,7 +151,7 @@ sh AS (SELECT a.node AS node_a, b.node AS node_b, count(*) AS shared FROM l1 a J
 
 def leafsets(t):
     a = g.descendant_leaves(clo(t), t.edge).where(C("leaf").startswith("O"))
-    b = g.descendant_leaves(g.closure(t.edge2, max_depth=4), t.edge2)
+    b = g.descendant_leaves(g.closure(t.edge2), t.edge2)
     return cut_lineage(a), cut_lineage(b)
 
 
@@ -233,7 +233,7 @@ a AS (SELECT set_id, count(*) AS n, count(DISTINCT o_custkey) AS c, count(DISTIN
 SELECT set_id, n AS n_present, CASE WHEN n = 1 THEN 0.0 WHEN c = 1 THEN 1.5 WHEN k = 1 THEN 3.0 WHEN r = 1 THEN 4.5 ELSE 6.0 END::DOUBLE AS age FROM a""")
 def _(t):
     edges = t.edge.withColumn("branch_length", F.lit(1.5))
-    cs = g.with_self(g.closure(edges, max_depth=4), edges)
+    cs = g.with_self(g.closure(edges), edges)
     sets = t.orders.where("o_orderstatus = 'F'").select(F.lit("geo").alias("tree"), F.concat("o_orderpriority", (C("o_custkey") % 50).cast("string")).alias("set_id"),
                                                        F.concat(F.lit("O"), C("o_orderkey").cast("string")).alias("species"))
     return g.mrca_age(sets, cs, g.root_distance(cs, edges), g.leaves(edges)).drop("tree")

@@ -72,11 +72,11 @@ def _(t):
 
 
 @query("w09_multi_key_sort", """
-SELECT pair_id, row_number() OVER (ORDER BY CASE status WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, pagel_fdr DESC NULLS LAST, pair_id) AS place FROM prx_tested ORDER BY place LIMIT 200""")
+SELECT pair_id, row_number() OVER (ORDER BY CASE status WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, pagel_fdr DESC NULLS LAST, pair_id) AS place FROM prx_tested""")
 def _(t):
     tier = ranking.tier_order("status", ["F", "O", "P"])
-    ordered = t.tested.select("pair_id", "pagel_fdr", tier.alias("tier")).orderBy("tier", C("pagel_fdr").desc_nulls_last(), "pair_id").limit(200)
-    return ordered.withColumn("place", F.row_number().over(ranking.W.orderBy("tier", C("pagel_fdr").desc_nulls_last(), "pair_id"))).select("pair_id", "place")
+    rows = t.tested.select("pair_id", "pagel_fdr", tier.alias("tier"))
+    return ranking.positions(rows, C("tier").asc(), C("pagel_fdr").desc_nulls_last(), C("pair_id").asc()).select("pair_id", "place")
 
 
 @query("w10_merge_results", """

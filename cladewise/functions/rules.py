@@ -221,10 +221,12 @@ def energy_tier(rescue, dar) -> Column:
     )
 
 
-def composite_score(base, rescue, dar, percentile, note) -> Column:
+def composite_score(base, rescue, dar, percentile, note, other=None) -> Column:
+    """``other`` is the percentile that counts where the first is missing."""
+    percentile = _col(percentile) if other is None else F.coalesce(_col(percentile), _col(other))
     energy = F.when((_col(rescue) > 1.0) & (_col(dar) > 1.0), 2).otherwise(0)
     coupling = F.when(
-        (_col(percentile) > 75) & (F.coalesce(_col(note), F.lit("")) != "insufficient_meff"), 1
+        (percentile > 75) & (F.coalesce(_col(note), F.lit("")) != "insufficient_meff"), 1
     ).otherwise(0)
     return F.coalesce(_col(base), F.lit(0)) + energy + coupling
 

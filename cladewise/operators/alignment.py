@@ -174,24 +174,6 @@ def mutual_information(cells: DataFrame, pairs: DataFrame, sizes: DataFrame, sta
     return out.select(*key, F.greatest(F.lit(0.0), F.col("h_i") + F.col("h_j") - F.col("h_ij")).alias("mi"))
 
 
-def sample_pairs(sizes: DataFrame, n: int = 5000, full_below: int = 100, seed: int = 42) -> DataFrame:
-    """(gene, i, j), i < j: all column pairs of short alignments, a fixed draw of n else.
-
-    ``sizes`` holds (gene, length). The draw is arithmetic on the draw number, so it is
-    the same on every run and needs no driver-side random stream.
-    """
-    k, length = F.col("_k").cast("bigint"), F.col("length")
-    drawn = sizes.where(length > full_below).select("gene", "length", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_k"))
-    a = (k * 48271 + seed * 7919) % 2147483647 * 16807 % 2147483647 % length
-    b = (k * 69621 + seed * 104729) % 2147483647 * 39373 % 2147483647 % length
-    drawn = drawn.select("gene", F.least(a, b).alias("i"), F.greatest(a, b).alias("j"))
-    short = sizes.where((length <= full_below) & (length >= 2))
-    every = short.select("gene", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), length - 2)).alias("i"))
-    every = every.select("gene", "i", F.explode(F.sequence(F.col("i") + 1, length - 1)).alias("j"))
-    every = every.select("gene", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"))
-    return drawn.where("i <> j").distinct().unionByName(every)
-
-
 def apc_stats(mi: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Mean per column over its partners, and the grand mean per gene."""
     ends = mi.select("gene", F.col("i").alias("col"), "mi").unionByName(mi.select("gene", F.col("j").alias("col"), "mi"))
@@ -214,7 +196,7 @@ def _block_pairs(aln: DataFrame, block: int) -> DataFrame:
     """Every pair of row blocks of a gene once, as (gene, bi, bj) groups of at most 2 * block rows.
 
     Rows are blocked by length order, so that a block compares rows of similar length.
-    Each row is copied once per partner block; no pair of rows is ever shuffled.
+    Each row is copied once per partner block: rows x blocks are shuffled, pairs of rows are not.
     """
     from .ranking import rank_all
 
@@ -250,21 +232,12 @@ def _identities(pdf: pd.DataFrame, gaps: bytes):
         yield sa, sb[use], ((mb == ra) & ok).sum(axis=1)[use], ok.sum(axis=1)[use]
 
 
-def pairwise_identity(aln: DataFrame, gaps: str = "-", max_rows: int | None = 1000, block: int = 128) -> DataFrame:
+def pairwise_identity(aln: DataFrame, gaps: str = "-", block: int = 128) -> DataFrame:
     """Distribution of identity over all row pairs of a gene: mean and five quantiles.
 
-    ``max_rows`` is the sample size of the statistic (None for every row); the sample
-    takes the rows with the smallest hash. Tasks return counts per identity value.
+    Every pair is compared, so the work is the square of a gene's rows; tasks return counts per identity value.
     """
     rows = aln.select("gene", "species", "seq")
-    if max_rows is not None:
-        w = W.partitionBy("gene").orderBy("_h", "species")
-        # Candidates above the size of the sample are cut by an approximate hash bound first.
-        n = rows.groupBy("gene").agg(F.count(F.lit(1)).alias("_n"))
-        hashed = rows.join(n, "gene").withColumn("_h", F.xxhash64("species").cast("double") / float(2**63))
-        keep = F.col("_h") <= -1.0 + 2.0 * F.least(F.lit(1.0), (F.lit(max_rows) * 2.0 + 1000) / F.col("_n"))
-        ids = hashed.where(keep).select("gene", "species", "_h").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= max_rows)
-        rows = rows.join(ids.select("gene", "species"), ["gene", "species"])
     gap_bytes = gaps.encode()
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -307,9 +280,10 @@ def effective_count(aln: DataFrame, thresholds: Sequence[float], strict: bool =
         res = res.groupby(["species", "threshold"], as_index=False)["near"].sum()
         return res.assign(gene=pdf["gene"].iat[0])[["gene", "species", "threshold", "near"]]
 
+    kind = uniq.schema["species"].dataType.simpleString()
     blocks = _block_pairs(uniq.select("gene", "species", "seq"), block).join(uniq.select("gene", "species", "copies"), ["gene", "species"])
     near = (
-        blocks.groupBy("gene", "bi", "bj").applyInPandas(count, "gene string, species bigint, threshold double, near bigint")
+        blocks.groupBy("gene", "bi", "bj").applyInPandas(count, f"gene string, species {kind}, threshold double, near bigint")
         .groupBy("gene", "species", "threshold").agg(F.sum("near").alias("near"))
     )
     base = uniq.select("gene", "species", "copies", empty.alias("empty"), F.explode(F.array(*[F.lit(t) for t in cuts])).alias("threshold"))

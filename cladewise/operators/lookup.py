@@ -129,9 +129,9 @@ def position_map_join(df: DataFrame, maps: DataFrame, gene: str, pos: str) -> Da
 
 
 def closest_model(df: DataFrame, contacts: DataFrame, keys: Sequence[str], distance: str, pair_key: Sequence[str]) -> DataFrame:
-    """Left join to contacts, then the row with the smallest distance per pair, nulls last."""
+    """Left join to contacts, then the row with the smallest distance per pair, nulls last; ties by the contact's other columns."""
     joined = df.join(contacts.dropDuplicates(), list(keys), "left")
-    return best_row(joined, list(pair_key), [F.col(distance).isNull(), F.col(distance)])
+    return best_row(joined, list(pair_key), [F.col(distance).isNull(), F.col(distance), *[F.col(c) for c in contacts.columns if c not in (*keys, distance)]])
 
 
 def optional_left_merge(df: DataFrame, other: DataFrame | None, keys: Sequence[str]) -> DataFrame:

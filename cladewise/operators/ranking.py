@@ -1,8 +1,8 @@
 """Ranks, quantiles and false-discovery control without a single-task sort.
 
 Everything here starts from the counted distinct values. A value falls in a
-bucket by a fixed monotone rule, the running sums are taken inside a bucket, and
-bucket totals (a few thousand rows) carry the offsets. A group, or the whole
+part whose bounds are quantiles of those values, the running sums are taken inside a
+part, and the parts' totals (a thousand a group at most) carry the offsets. A group, or the whole
 table, is thus never sorted in one task, and equal values never meet in one row
 list: they are one counted row.
 """
@@ -11,28 +11,54 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import _col
+from ..session import cut_lineage
 
 
-def order_bucket(c, resolution: int = 64) -> Column:
-    """Monotone whole number of a numeric value, fine for tiny and for huge values."""
-    c = _col(c).cast("double")
-    return F.floor(F.signum(c) * F.log2(1.0 + F.abs(c) * float(2**50)) * resolution)
+#: Parts of a distribution; their bounds are quantiles of the counted values, so each holds about one of so many.
+PARTS = 1000
 
 
-def distribution(df: DataFrame, value: str, keys: Sequence[str] = (), weight: str | None = None, hold: bool = False,
-                 **extra: Column) -> DataFrame:
+def with_part(counted: DataFrame, value: str) -> DataFrame:
+    """Adds ``_b``, the part of a value: a whole number that grows with it, from bounds that follow the data."""
+    number = F.col(value).cast("double")
+    shares = [i / PARTS for i in range(1, PARTS)]
+    found = counted.agg(F.array_distinct(F.percentile_approx(number, shares, 10 * PARTS)).alias("bounds")).scalar()
+    bounds = F.col("_bounds")
+
+    def halve(s, _):
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        above = F.get(bounds, middle) < number
+        return F.when(s["low"] >= s["high"], s).when(above, F.struct((middle + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), middle.alias("high")))
+
+    steps = F.sequence(F.lit(1), F.lit(PARTS.bit_length() + 1))
+    part = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.coalesce(F.size(bounds), F.lit(0)).alias("high")), halve, lambda s: s["low"])
+    return counted.withColumn("_bounds", found).withColumn("_b", part).drop("_bounds")
+
+
+def positions(df: DataFrame, *order: Column, out: str = "place") -> DataFrame:
+    """1..n in the given order, which must have no ties; any type orders.
+
+    Rows are dealt by sampled bounds of the order and written once, so that the parts stay as they are; the rows of
+    a part are numbered in it, and the parts' sizes carry the offsets.
+    """
+    dealt = cut_lineage(df.repartitionByRange(*order)).withColumn("_part", F.spark_partition_id())
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    own = dealt.withColumn("_rn", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    return own.join(offsets, "_part").withColumn(out, F.col("_rn") + F.col("_off")).drop("_part", "_rn", "_off")
+
+
+def distribution(df: DataFrame, value: str, keys: Sequence[str] = (), weight: str | None = None, **extra: Column) -> DataFrame:
     """One row per distinct value of a group.
 
     Adds n_eq (rows with the value), n_below (rows of the group with a smaller one)
     and n (rows of the group). Nulls are left out. ``weight`` is the row count a row
-    stands for (default one); ``extra`` names further aggregates. ``hold`` keeps the counted
-    values (memory, then disk; lost parts are recomputed), for values that are dear to compute.
+    stands for (default one); ``extra`` names further aggregates.
     """
     keys = list(keys)
     counted = (
@@ -41,10 +67,8 @@ def distribution(df: DataFrame, value: str, keys: Sequence[str] = (), weight: st
         .agg(
             (F.sum(weight) if weight else F.count(F.lit(1))).alias("n_eq"), *[c.alias(k) for k, c in extra.items()]
         )
-        .withColumn("_b", order_bucket(value))
     )
-    if hold:
-        counted = counted.persist(StorageLevel.MEMORY_AND_DISK)
+    counted = with_part(counted, value)
     every = W.partitionBy(*(keys or [F.lit(0)]))
     offsets = (
         counted.groupBy(*keys, "_b")
@@ -120,9 +144,7 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence
 def bh_fdr(df: DataFrame, p: str, out: str = "fdr", keys: Sequence[str] = ()) -> DataFrame:
     """Benjamini-Hochberg values over all non-null p of a group (default: the whole table)."""
     keys = list(keys)
-    d = distribution(df, p, keys, hold=True).select(
-        *keys, p, (F.col(p) * F.col("n") / (F.col("n_below") + F.col("n_eq"))).alias("_raw"), order_bucket(p).alias("_b")
-    )
+    d = with_part(distribution(df, p, keys), p).select(*keys, p, (F.col(p) * F.col("n") / (F.col("n_below") + F.col("n_eq"))).alias("_raw"), "_b")
     every = W.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("_b").desc())
     later = (
         d.groupBy(*keys, "_b")
@@ -139,26 +161,9 @@ def bh_fdr(df: DataFrame, p: str, out: str = "fdr", keys: Sequence[str] = ()) ->
 
 
 def rank_all(df: DataFrame, score: str, tie: str, out: str = "rank", descending: bool = True) -> DataFrame:
-    """1..n by score, ties by a unique numeric column ascending; null scores come last."""
-    s = F.col(score).cast("double")
-    s = -s if descending else s
-    b = df.withColumn("_b1", F.coalesce(order_bucket(s), F.lit(2**40))).withColumn("_b2", order_bucket(tie))
-    # Values may differ within a score bucket, so the tie bucket only splits equal scores.
-    b = b.withColumn("_s", F.coalesce(s, F.lit(float("inf"))))
-    per = b.groupBy("_b1", "_s", "_b2").agg(F.count(F.lit(1)).alias("_c"))
-    inner = W.partitionBy("_b1").orderBy("_s", "_b2").rowsBetween(W.unboundedPreceding, -1)
-    per = per.withColumn("_o2", F.coalesce(F.sum("_c").over(inner), F.lit(0)))
-    top = per.groupBy("_b1").agg(F.sum("_c").alias("_c1"))
-    outer = W.partitionBy(F.lit(0)).orderBy("_b1").rowsBetween(W.unboundedPreceding, -1)
-    top = top.select("_b1", F.coalesce(F.sum("_c1").over(outer), F.lit(0)).alias("_o1"))
-    offs = per.join(top, "_b1").select("_b1", "_s", "_b2", (F.col("_o1") + F.col("_o2")).alias("_off"))
-    own = W.partitionBy("_b1", "_s", "_b2").orderBy(tie)
-    return (
-        b.withColumn("_rn", F.row_number().over(own))
-        .join(offs, ["_b1", "_s", "_b2"])
-        .withColumn(out, F.col("_rn") + F.col("_off"))
-        .drop("_b1", "_b2", "_s", "_rn", "_off")
-    )
+    """1..n by score, ties by a unique column of any type ascending; null scores come last."""
+    s = F.col(score).desc_nulls_last() if descending else F.col(score).asc_nulls_last()
+    return positions(df, s, F.col(tie).asc(), out=out)
 
 
 def best_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], largest: bool = False) -> DataFrame:

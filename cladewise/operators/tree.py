@@ -7,7 +7,6 @@ state (tree, node, pos, aa), change (tree, parent, child, pos, aa_from, aa_to).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,29 +29,24 @@ def leaves(edges: DataFrame) -> DataFrame:
     return edges.select("tree", "child").distinct().join(parents, ["tree", "child"], "left_anti").withColumnRenamed("child", "leaf")
 
 
-def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Every (ancestor, node) pair with its distance, by path doubling.
+def closure(edges: DataFrame) -> DataFrame:
+    """Every (ancestor, node) pair with its distance, by path doubling, whatever the depth.
 
-    Each round joins all known paths with the longest ones, so d levels take log2(d)
-    rounds. With a known bound the plan stays lazy; without one each round is
-    checkpointed and the loop stops when it finds nothing new.
+    Each round joins all known paths with the longest ones, so d levels take log2(d) rounds. A round is
+    checkpointed, and the loop stops when it finds nothing new.
     """
     known = edges.select("tree", C("parent").alias("ancestor"), C("child").alias("node"), F.lit(1).alias("depth"))
     longest = known
-    rounds = ceil(log2(max_depth)) if max_depth else None
-    done = 0
-    while rounds is None or done < rounds:
+    reach = 1
+    while True:
         head = known.select("tree", "ancestor", C("node").alias("mid"), C("depth").alias("d1"))
         tail = longest.select("tree", C("ancestor").alias("mid"), "node", C("depth").alias("d2"))
-        fresh = head.join(tail, ["tree", "mid"]).select("tree", "ancestor", "node", (C("d1") + C("d2")).alias("depth"))
-        if rounds is None:
-            fresh = cut_lineage(fresh)
-            if fresh.isEmpty():
-                break
+        fresh = cut_lineage(head.join(tail, ["tree", "mid"]).select("tree", "ancestor", "node", (C("d1") + C("d2")).alias("depth")))
+        if fresh.isEmpty():
+            return known
         known = known.unionByName(fresh)
-        done += 1
-        longest = fresh.where(C("depth") == 2**done)
-    return known
+        reach *= 2
+        longest = fresh.where(C("depth") == reach)
 
 
 def with_self(clo: DataFrame, edges: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ KINDS = ("mt-mt", "nuc-nuc", "mt-nuc")
 
 
 def compare(pairs: DataFrame, left_out: tuple[str, Sequence[str]]) -> DataFrame:
-    """(analysis, stratum, n, p_value, odds_ratio): timing enrichment overall, by kind and with a group
+    """(analysis, stratum, n, p_value, measure, value): timing enrichment overall, by kind and with a group
     taken out, and evidence rates by kind.
 
     ``pairs`` holds the FDR columns, low_power, timing, is_ancestral, contact_type.
@@ -27,11 +27,11 @@ def compare(pairs: DataFrame, left_out: tuple[str, Sequence[str]]) -> DataFrame:
     strata = {"all": F.lit(True), "derived": ~C("is_ancestral"), "ancestral": C("is_ancestral"), **{k: C("contact_type") == k for k in KINDS}}
     strata.update({f"group_{k}": v for k, v in excluding_group(x, *left_out).items() if k != "all"})
     t = stratified_2x2(x, C("_first"), C("_sig"), strata)
-    tests = t.select(F.lit("timing_enrichment").alias("analysis"), "stratum", (C("a") + C("b") + C("c") + C("d")).alias("n"), "p_value", "odds_ratio")
+    tests = t.select(F.lit("timing_enrichment").alias("analysis"), "stratum", (C("a") + C("b") + C("c") + C("d")).alias("n"), "p_value", F.lit("odds_ratio").alias("measure"), C("odds_ratio").alias("value"))
     e = rules.evidence_flags("low_power", "pagel_fdr", "branch_fdr", "fisher_fdr")
     none = F.lit(None).cast("double")
     rates = decomposed_rates(x, "contact_type", fisher_only=e["fisher_only"], multi_origin=e["multi_origin"])
-    share = rates.select(F.lit("multi_origin_rate").alias("analysis"), C("contact_type").alias("stratum"), "n", none.alias("p_value"), C("rate_multi_origin").alias("odds_ratio"))
+    share = rates.select(F.lit("multi_origin_rate").alias("analysis"), C("contact_type").alias("stratum"), "n", none.alias("p_value"), F.lit("rate").alias("measure"), C("rate_multi_origin").alias("value"))
     cover = test_coverage(x, "contact_type", C("fisher_fdr") < 0.20, C("pagel_fdr").isNotNull())
-    cov = cover.select(F.lit("na_rate").alias("analysis"), C("contact_type").alias("stratum"), C("n_eligible").alias("n"), none.alias("p_value"), C("na_rate").alias("odds_ratio"))
+    cov = cover.select(F.lit("na_rate").alias("analysis"), C("contact_type").alias("stratum"), C("n_eligible").alias("n"), none.alias("p_value"), F.lit("rate").alias("measure"), C("na_rate").alias("value"))
     return tests.unionByName(share).unionByName(cov)

@@ -33,7 +33,7 @@ def map_structure(variants: DataFrame, models: DataFrame, residue_map: DataFrame
     offset = C("anchor") - C("pos")
     status = (
         F.when(C("pdb").isNull(), "no_chain_in_pdb").when(C("model_status").startswith("secondary_not"), C("model_status"))
-        .when(offset == 0, "ok").when(offset.isNotNull(), F.concat(F.lit("isoform_offset_"), offset.cast("string"))).otherwise(failure)
+        .when(offset == 0, "ok").when(offset.isNotNull(), F.format_string("isoform_offset_%+d", offset)).otherwise(failure)
     )
     mapped = x.withColumn("status", status).withColumn("status_category", rules.status_category("status"))
     mapped = mapped.join(keyed.select("gene_model", C("pos").alias("anchor"), "resnum"), ["gene_model", "anchor"], "left").select(

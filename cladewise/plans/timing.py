@@ -13,7 +13,7 @@ from ..session import cut_lineage
 C = F.col
 
 
-def annotate_timing(pairs: DataFrame, edges: DataFrame, states: DataFrame, observed: DataFrame, max_depth: int | None = None,
+def annotate_timing(pairs: DataFrame, edges: DataFrame, states: DataFrame, observed: DataFrame,
                     low_changes: DataFrame | None = None) -> DataFrame:
     """Per pair: ancestral call, gain branches, timing counts, dominant class and mechanism.
 
@@ -21,7 +21,7 @@ def annotate_timing(pairs: DataFrame, edges: DataFrame, states: DataFrame, obser
     (tree, node, pos, aa). Derived variants without a gain in the high tier fall back to
     ``low_changes``; those without any keep ``no_origin`` as a skip reason.
     """
-    clo = g.closure(edges, max_depth)
+    clo = g.closure(edges)
     cs = cut_lineage(g.with_self(clo, edges))
     ch = cut_lineage(g.branch_changes(states, edges))
     roots = states.join(g.roots(edges).withColumnRenamed("root", "node"), ["tree", "node"], "left_semi").select("tree", "pos", "aa")

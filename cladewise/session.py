@@ -28,9 +28,11 @@ def build_session(app: str = "cladewise", master: str | None = None, **conf) ->
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set."""
+    """The shared folder the cluster names; a local one only where none is set and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = getattr(spark, "_cladewise_scratch", None)
         if root is None:
             root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -70,9 +70,9 @@ def normalise_nulls(df: DataFrame, words: Sequence[str] = NULL_WORDS) -> DataFra
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(file, header, seq_id, species, seq): multi-line records, upper case."""
-    rec = spark.read.option("lineSep", ">").text(path).withColumn("file", F.element_at(F.split("_metadata.file_path", "/"), -1))
-    rec = rec.where(F.trim(F.col("value")) != "").withColumn("value", F.regexp_replace("value", "\r", ""))
+    """(file, header, seq_id, species, seq): multi-line records, upper case; a ">" inside a header stays in it."""
+    rec = spark.read.option("lineSep", "\n>").text(path).withColumn("file", F.element_at(F.split("_metadata.file_path", "/"), -1))
+    rec = rec.where(F.trim(F.col("value")) != "").withColumn("value", F.regexp_replace(F.regexp_replace("value", "\r", ""), "^>", ""))
     head = F.substring_index("value", "\n", 1)
     body = F.substr("value", F.length(head) + 1)
     seq_id = F.regexp_extract(head, r"^(\S*)", 1)

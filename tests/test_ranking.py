@@ -64,10 +64,31 @@ def _identity(a, b):
     return sum(x == y for x, y in both) / len(both) if both else 0.0
 
 
+def test_text_names(spark):
+    names = ["Pan", "Mus", "Bos", "Canis", "Felis", "Sus"]
+    df = spark.createDataFrame([("g", n, s) for n, s in zip(names, SEQS)], "gene string, species string, seq string")
+    assert al.pairwise_identity(df, block=2).first().n == len(names[: len(SEQS)]) * (len(names[: len(SEQS)]) - 1) // 2
+    assert al.effective_count(df, [0.5], block=2).first().n_rows == len(names[: len(SEQS)])
+
+
+def test_parts_follow_the_data(spark):
+    for values in (F.col("id") + 10**12, F.timestamp_seconds(F.col("id") % 86400).cast("double"), F.col("id") / 1e30):
+        d = ranking.with_part(spark.range(50_000).select(values.alias("v")).distinct(), "v")
+        counts = [r["count"] for r in d.groupBy("_b").count().collect()]
+        assert len(counts) > 500 and max(counts) < 5 * sum(counts) / len(counts)
+
+
+def test_closure_of_a_long_chain(spark):
+    from cladewise.operators import tree
+
+    edges = spark.createDataFrame([("t", f"n{i}", f"n{i + 1}") for i in range(9)], "tree string, parent string, child string")
+    assert tree.closure(edges).count() == 45
+
+
 def test_identity_and_effective_count(spark):
     df = spark.createDataFrame([("g", i, s) for i, s in enumerate(SEQS)], "gene string, species long, seq string")
     want = [_identity(a, b) for i, a in enumerate(SEQS) for b in SEQS[i + 1:]]
-    r = al.pairwise_identity(df, max_rows=None, block=2).first()
+    r = al.pairwise_identity(df, block=2).first()
     assert r.n == len(want) and np.isclose(r["mean"], np.mean(want)) and np.isclose(r["median"], np.median(want)) and np.isclose(r.p95, np.quantile(want, 0.95))
     for strict in (False, True):
         for row in al.effective_count(df, [0.5, 0.8], strict=strict, block=2).collect():
@@ -78,13 +99,12 @@ def test_identity_and_effective_count(spark):
             assert np.isclose(row.m_eff, total), (strict, row)
 
 
-def test_sampled_mutual_information(spark):
+def test_mutual_information(spark):
     rows = [("g", i, s) for i, s in enumerate(["AAC-", "AAD", "CGE-", "CGEB"])]
     aln = spark.createDataFrame(rows, "gene string, species long, seq string")
     cells = al.explode_alignment(aln).withColumn("col", F.col("col").cast("bigint"))
     size = aln.groupBy("gene").agg(F.count("*").alias("n_species"), F.max(F.length("seq")).cast("bigint").alias("length"))
-    pairs = al.sample_pairs(size)
-    assert {(r.i, r.j) for r in pairs.collect()} == {(i, j) for i in range(4) for j in range(i + 1, 4)}
+    pairs = spark.createDataFrame([("g", i, j) for i in range(4) for j in range(i + 1, 4)], "gene string, i long, j long")
     states = [[(s[c] if c < len(s) and s[c] in "ACDEFGHIKLMNPQRSTVWY" else "-") for _, _, s in rows] for c in range(4)]
 
     def h(xs):

@@ -1,6 +1,7 @@
 """Tail probabilities against exact sums."""
 
-from math import comb, erfc, exp, isclose, sqrt
+from fractions import Fraction
+from math import comb, erfc, exp, isclose, log, log1p, sqrt
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +27,35 @@ def test_fisher(spark, side):
         assert isclose(r.p, exact(r.a, r.b, r.c, r.d, side), rel_tol=1e-9), r
 
 
+FAR = [((12, 0, 0, 999988), 4.8e-64), ((14, 6, 6, 9999974), 1.3e-78)]
+
+
+@pytest.mark.parametrize("side", ["greater", "two-sided"])
+def test_far_tails(spark, side):
+    tables = [t for t, _ in FAR] + [(40, 0, 0, 60), (3, 500, 400, 9), (0, 900, 1000, 3), (700, 300, 300, 700)]
+    df = spark.createDataFrame(tables, "a long, b long, c long, d long")
+    for r in df.withColumn("p", special.fisher_exact("a", "b", "c", "d", side)).collect():
+        m, n, k0 = r.a + r.c, r.a + r.b + r.c + r.d, r.a + r.b
+        w = {k: comb(m, k) * comb(n - m, k0 - k) for k in range(max(0, m + k0 - n), min(k0, m) + 1)}
+        hit = sum(v for k, v in w.items() if (k >= r.a if side == "greater" else v * 10**7 <= w[r.a] * (10**7 + 1)))
+        assert isclose(r.p, float(Fraction(hit, comb(n, k0))), rel_tol=1e-9), r
+    for (a, b, c, d), p in FAR:
+        assert isclose(exact_log(a, b, c, d), log(p), rel_tol=1e-3)
+
+
+def exact_log(a, b, c, d):
+    m, n, r = a + c, a + b + c + d, a + b
+    hit = sum(comb(m, k) * comb(n - m, r - k) for k in range(a, min(r, m) + 1))
+    return log(hit) - log(comb(n, r))
+
+
+def test_far_binomials_and_wide_margins(spark):
+    row = spark.range(1).select(special.binom_log(F.lit(20), F.lit(10**6), F.lit(1e-9), "greater").alias("far"), special.fisher_exact(F.lit(10**10), F.lit(10**10), F.lit(10**10), F.lit(10**10)).alias("wide"),
+                                special.fisher_log(F.lit(5000), F.lit(0), F.lit(0), F.lit(5000)).alias("log")).first()
+    want = log(comb(10**6, 20)) + 20 * log(1e-9) + (10**6 - 20) * log1p(-1e-9)
+    assert isclose(row.far, want, rel_tol=1e-9) and 0.49 < row.wide < 0.51 and isclose(row.log, -log(comb(10000, 5000)), rel_tol=1e-12)
+
+
 def test_fisher_huge_counts(spark):
     df = spark.createDataFrame([(10**9, 10**9, 10**9, 10**9)], "a long, b long, c long, d long")
     p = df.select(special.fisher_exact("a", "b", "c", "d").alias("p")).first().p
