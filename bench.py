@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 HEADLINE = [
     "q00_contingency_fdr", "p02_variant_flags", "p25_translate_sequence", "j02_locus_by_position", "j07_anchor_search_ascending", "j10_carrier_scan", "j11_spatial_contacts",
     "a02b_duplicate_status", "a14_contingency_alt", "a23_compartment_summary", "w01_bh_fdr", "w02_pct_rank_within", "w04_rank_all", "m06_column_entropy",
-    "t05_mann_whitney", "g02_closure", "g07_propagate_changes", "s04_read_fasta", "q07_prioritise",
+    "t05_mann_whitney", "g02_closure", "g07_propagate_changes", "s04_read_fasta", "q02_classify", "q07_prioritise", "m07_mutual_information",
 ]
 
 

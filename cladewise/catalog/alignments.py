@@ -187,5 +187,4 @@ def _(t):
     langs = F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")])
     v = t.variant.select("vid", F.element_at(langs, (C("pkey") % 4 + 1).cast("int")).alias("gene"), "pos", "alt_aa")
     m = al.position_map(al.reference_row(t.aln), "-X!*").select("gene", "pos", "col")
-    found = al.carriers(v.join(m, ["gene", "pos"]), cells(t))
-    return found.groupBy("vid").agg(F.count("*").alias("n_species"), F.sum("species").alias("species_sum"))
+    return al.carrier_counts(v.join(m, ["gene", "pos"]), cells(t), species_sum=F.sum("species"))

@@ -326,6 +326,16 @@ def wanted_cells(variants: DataFrame, cells: DataFrame, mask: str) -> DataFrame:
     return seen.join(asked, ["gene", "col", "alt_aa"], "left_semi")
 
 
+def carrier_counts(variants: DataFrame, cells: DataFrame, mask: str = "-!*X", **extra) -> DataFrame:
+    """(vid, n_species) and further aggregates over the carriers of each variant that has any.
+
+    Cells are counted per (gene, col, residue) before they meet the variants, so no (variant, species) row is made.
+    """
+    seen = cells.where(~F.col("is_ref") & ~F.col("ch").isin(*mask))
+    counts = seen.groupBy("gene", "col", F.col("ch").alias("alt_aa")).agg(F.count(F.lit(1)).alias("n_species"), *[c.alias(k) for k, c in extra.items()])
+    return variants.join(counts, ["gene", "col", "alt_aa"]).select("vid", "n_species", *extra)
+
+
 def carriers(variants: DataFrame, cells: DataFrame, codons: DataFrame | None = None, mask: str = "-!*X") -> DataFrame:
     """(variant, species) rows of non-reference species that carry the new residue.
 
