@@ -159,7 +159,7 @@ def fit(labelled: DataFrame, vocabulary_name: str = "piece_bpe_32k.model", fit_r
     ship(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    picked = rows.join(guarded(sizes), "lang").where(share_of(F.col("text")) * F.col("_n") < fit_rows).select("lang", "text")
+    picked = rows.join(guarded(sizes), "lang").where(share_of(F.col("text")) * F.col("_n") < fit_rows).select("lang", "text").distinct()
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         voc, counts = vocabulary(vocabulary_name), {}

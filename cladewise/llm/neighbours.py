@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import cut_lineage, map_arrow, ship
+from .columns import cut_lineage, map_arrow, share_of, ship
 
 #: Pivots: the power of two next to n^0.4 for n vectors, between these bounds (the bounds hold the model, not the rows).
 PIVOTS = (16, 1024)
@@ -27,9 +27,10 @@ POST, READ, ORDER, SHARE = 6, 14, 32, 0.55
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 
 
-def fit_pivots(vectors: DataFrame, count: int) -> np.ndarray:
-    """``count`` vectors with the smallest hash of their components, scaled to length 1: a bounded sample."""
-    rows = vectors.select("vec").dropDuplicates(["vec"]).orderBy(F.xxhash64("vec"), "vec").limit(count).collect()
+def fit_pivots(vectors: DataFrame, count: int, size: int) -> np.ndarray:
+    """Up to ``count`` of the ``size`` vectors, those with a small hash of their components, scaled to length 1: a bounded sample."""
+    likely = vectors.select("vec").where(share_of(F.col("vec")) * size < 4 * count).distinct()
+    rows = likely.orderBy(F.xxhash64("vec"), "vec").limit(count).collect() or vectors.select("vec").limit(1).collect()
     found = np.array([r.vec for r in rows], dtype=np.float64)
     return found / np.linalg.norm(found, axis=1, keepdims=True) if len(found) else found
 
@@ -147,7 +148,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_column: str = "vec_id",
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("vec") == lengths.d)
     count = min(max(PIVOTS[0], 2 ** round(0.4 * log2(lengths.n))), PIVOTS[1])
-    pivots = fit_pivots(rows, count)
+    pivots = fit_pivots(rows, count, lengths.n)
     size = min(ORDER, len(pivots))
     index = cut_lineage(map_arrow(rows, _orders(pivots, size), "vec_id long, vec array<double>, nearest array<int>"))
     asked = index.where(queries)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import guarded, map_arrow, text_or_empty
+from .columns import guarded, map_arrow, share_of, text_or_empty
 from .wordhash import BLANK_WORDS, mix, text_chunks, word_hashes, word_spans
 
 #: Buckets of hashed features; bound on the labelled rows that the hinge loss is fitted on.
@@ -122,8 +122,8 @@ def calibrate(margins: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Fit on rows (text, quality 0/1); rows with another or no label are left out.
 
-    Counts cover every row and meet as one row of each feature. The fitted sample is the ``fit_rows`` rows with
-    the smallest hash of their text; its feature numbers come to the driver.
+    Counts cover every row and meet as one row of each feature. The fitted sample is about ``fit_rows`` rows, those with a
+    small hash of their text, each text once; its feature numbers come to the driver.
     """
     rows = labelled.where(F.col("quality").isin(0, 1)).select(text_or_empty().alias("text"), F.col("quality").cast("int").alias("quality"))
 
@@ -141,7 +141,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     def number(batches):
         for batch in batches:
             found = [x.astype(np.int32) for x in features(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["found", "quality"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1), batch.column(2)], names=["found", "quality", "place"])
 
     sums = map_arrow(rows, count, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     counts, total = np.zeros((2, BUCKETS)), sums[sums.f == -1]
@@ -151,12 +151,15 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     if not n0 or not n1:  # one class or none: a constant
         return Model(np.zeros(BUCKETS), 0.0, 1.0, float(np.log((n1 + 1) / (n0 + 1))))
     ratio = np.log((counts[1] + ALPHA) / (n1 + 2 * ALPHA)) - np.log((counts[0] + ALPHA) / (n0 + 2 * ALPHA))
-    sample = map_arrow(rows.orderBy(F.xxhash64("text", "quality"), "text").limit(fit_rows), number, "found array<int>, quality int").toPandas()
+    picked = rows.where(share_of(F.col("text")) * (n0 + n1) < fit_rows).dropDuplicates(["text", "quality"]).withColumn("place", F.xxhash64("text", "quality"))
+    sample = map_arrow(picked, number, "found array<int>, quality int, place long").toPandas().sort_values("place")
     found = [np.asarray(x, dtype=np.int64) for x in sample.found]
     y = np.where(sample.quality.to_numpy() == 1, 1.0, -1.0)
     back = np.arange(len(y)) % 5 == 4
     if len(set(y[~back])) < 2 or len(set(y[back])) < 2:
         back[:] = False
+    if not len(y):
+        return Model(np.zeros(BUCKETS), 0.0, 1.0, float(np.log((n1 + 1) / (n0 + 1))))
     w, bias = descend([f for f, b in zip(found, back, strict=True) if not b], y[~back], ratio)
     use = back if back.any() else ~back
     margins = np.array([w[f].sum() / np.sqrt(max(len(f), 1)) + bias for f, u in zip(found, use, strict=True) if u])
