@@ -5,10 +5,11 @@ only classes are compared. A linked pair shares at least ``least_shared`` sketch
 shares one of the rarest (size - least_shared + 1) values of either sketch: only those are posted in the
 inverted lists, and values that stand in one sketch are not posted at all. In a list every class is
 tried against a pivot (the class whose values are most common), which links a group of near copies with
-one try a member. Then, where a list still holds several components, each class outside
-the list's largest component is tried against the classes of the other components. After that every pair
-that shares a list is in one component or was tried, so no link is lost and no group is spelled out
-as pairs. A try is first an estimate from the union's sketch, then the exact Jaccard of the full sets.
+one try a member. The classes of lists that still hold several components are posted again, under the rarest
+of all their shingles: so few that the bound is exact, and with their places, which bound what two classes
+can share beyond them. There each class outside a list's largest component is tried against the other
+components, if the places allow a link. After that every pair that may be linked is in one component or was tried,
+so no link is lost and no group is spelled out as pairs. A try is first an estimate from the union's sketch, then the exact Jaccard of the full sets.
 """
 
 from __future__ import annotations
@@ -114,6 +115,34 @@ def _tried(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, k
     return map_arrow(both.select("a", "b", "ta", "tb"), _confirm(words, percent), "a long, b long")
 
 
+def _shingles(words: int):
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for at in range(0, len(batch), TRY_ROWS):
+                sets = list(shingle_sets(batch.column(1).slice(at, TRY_ROWS), words))
+                sizes = [len(x) for x in sets]
+                if sum(sizes):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + TRY_ROWS], sizes)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "v"])
+
+    return run
+
+
+def _exact_postings(open_ids: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(v, id, root, n, at): the rarest shingles of each open class, as many as two linked sets must share one of.
+
+    ``at`` is the shingle's place (from 1) in its class, rarest first; rarity is counted over the open classes.
+    """
+    wanted = classes.select("id", "n", "_key").join(open_ids, "id")
+    held = texts.join(guarded(wanted.select("id", "_key")), "_key").dropDuplicates(["id"]).select("id", "text")
+    values = cut_lineage(map_arrow(held, _shingles(words), "id long, v long"))
+    common = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = Window.partitionBy("id")
+    posted = values.join(common, "v").withColumn("_r", F.row_number().over(own.orderBy("df", "v"))).withColumn("_m", F.count(F.lit(1)).over(own))
+    posted = posted.join(wanted.select("id", "n", "root"), "id").withColumn("at", F.col("_r") + F.col("n") - F.col("_m"))
+    return posted.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1).select("v", "id", "root", "n", "at")
+
+
 def links(classes: DataFrame, texts: DataFrame, words: int = WORDS, k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Links between classes (a, b), enough to connect every linked pair, and their components (node, root).
 
@@ -132,7 +161,6 @@ def links(classes: DataFrame, texts: DataFrame, words: int = WORDS, k: int = K,
     posted = posted.where(F.col("_r") + size - F.col("_m") <= size - need + 1).select("v", "id", "n", (F.col("_sum") / size).alias("typical"))
     posted = cut_lineage(posted)
     pivots = posted.groupBy("v").agg(F.max_by("id", F.struct("typical", "id")).alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    near = (100 * F.least("na", "n") >= percent * F.greatest("na", "n"))
     stars = posted.join(pivots, "v").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     found = cut_lineage(_tried(stars, classes, texts, words, k, percent))
     roots = components(found)
@@ -141,10 +169,16 @@ def links(classes: DataFrame, texts: DataFrame, words: int = WORDS, k: int = K,
     placed = posted.join(pivots.select("v"), "v").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("v", "id", "n", F.coalesce("root", "id").alias("root"))
     shares = placed.groupBy("v", "root").agg(F.count(F.lit(1)).alias("c"))
     largest = shares.groupBy("v").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_lists = placed.join(largest, "v")
-    outside = open_lists.where("root <> main").select("v", F.col("id").alias("b"), F.col("n").alias("na"), F.col("root").alias("other"))
-    rest = open_lists.join(outside, "v").where((F.col("root") != F.col("other")) & near & ((F.col("root") == F.col("main")) | (F.col("id") < F.col("b"))))
-    rest = rest.select(F.col("id").alias("a"), "b").distinct()
+    open_ids = placed.join(largest.select("v"), "v").select("id", "root").distinct()
+    exact = cut_lineage(_exact_postings(open_ids, classes, texts, words, percent))
+    shares = exact.groupBy("v", "root").agg(F.count(F.lit(1)).alias("c"))
+    largest = shares.groupBy("v").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    lists = exact.join(largest, "v")
+    outside = lists.where("root <> main").select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("root").alias("other"))
+    # If v is the first value that both hold, no more than this can be shared; at the pair's first common value it must do.
+    most = F.least(F.col("n") - F.col("at"), F.col("nb") - F.col("at_b")) + 1
+    may = (most * (100 + percent) >= percent * (F.col("n") + F.col("nb"))) & (F.col("root") != F.col("other")) & ((F.col("root") == F.col("main")) | (F.col("id") < F.col("b")))
+    rest = lists.alias("l").join(outside.alias("o"), (F.col("l.v") == F.col("o.v")) & may).select(F.col("id").alias("a"), "b").distinct()
     tried = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = cut_lineage(_tried(rest.join(tried, ["a", "b"], "left_anti"), classes, texts, words, k, percent))
     every = found.unionByName(more)
