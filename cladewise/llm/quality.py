@@ -80,19 +80,20 @@ class Model:
 
 def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, penalty: float = PENALTY, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss; rows are scaled indicators over the root of their number, and a constant."""
-    values = [ratio[r] / np.sqrt(max(len(r), 1)) for r in rows]
-    square = np.array([v @ v + 1.0 for v in values])
+    values = lambda r: ratio[r] / np.sqrt(max(len(r), 1))  # noqa: E731  made anew each time: the sample is held once
+    square = np.array([values(r) @ values(r) + 1.0 for r in rows])
     w, bias, dual = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
     share = np.where(y > 0, penalty * len(y) / max(2 * (y > 0).sum(), 1), penalty * len(y) / max(2 * (y < 0).sum(), 1))
     draw = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in draw.permutation(len(rows)):
-            slack = y[i] * (w[rows[i]] @ values[i] + bias) - 1.0
+            value = values(rows[i])
+            slack = y[i] * (w[rows[i]] @ value + bias) - 1.0
             new = min(max(dual[i] - slack / square[i], 0.0), share[i])
             if new != dual[i]:
                 step = (new - dual[i]) * y[i]
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * value
                 bias += step
                 moved, dual[i] = max(moved, abs(new - dual[i])), new
         if moved < 1e-3:
@@ -143,18 +144,20 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             found = [x.astype(np.int32) for x in features(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1), batch.column(2)], names=["found", "quality", "place"])
 
-    sums = map_arrow(rows, count, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    counts, total = np.zeros((2, BUCKETS)), sums[sums.f == -1]
-    sums = sums[sums.f >= 0]
-    counts[0, sums.f], counts[1, sums.f] = sums.n0, sums.n1
-    n0, n1 = (float(total[c].sum()) for c in ("n0", "n1"))
+    sums = map_arrow(rows, count, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    at, counts = sums["f"].to_numpy(), np.zeros((2, BUCKETS + 1))  # place -1 holds the rows
+    counts[0, at], counts[1, at] = sums["n0"].to_numpy(), sums["n1"].to_numpy()
+    n0, n1 = counts[:, -1].tolist()
+    counts = counts[:, :-1]
     if not n0 or not n1:  # one class or none: a constant
         return Model(np.zeros(BUCKETS), 0.0, 1.0, float(np.log((n1 + 1) / (n0 + 1))))
     ratio = np.log((counts[1] + ALPHA) / (n1 + 2 * ALPHA)) - np.log((counts[0] + ALPHA) / (n0 + 2 * ALPHA))
     picked = rows.where(share_of(F.col("text")) * (n0 + n1) < fit_rows).dropDuplicates(["text", "quality"]).withColumn("place", F.xxhash64("text", "quality"))
-    sample = map_arrow(picked, number, "found array<int>, quality int, place long").toPandas().sort_values("place")
-    found = [np.asarray(x, dtype=np.int64) for x in sample.found]
-    y = np.where(sample.quality.to_numpy() == 1, 1.0, -1.0)
+    sample = map_arrow(picked, number, "found array<int>, quality int, place long").toArrow().sort_by("place")
+    lists = sample["found"].combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    found = [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    y = np.where(sample["quality"].to_numpy() == 1, 1.0, -1.0)
     back = np.arange(len(y)) % 5 == 4
     if len(set(y[~back])) < 2 or len(set(y[back])) < 2:
         back[:] = False
