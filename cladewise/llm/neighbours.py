@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is described by its nearest pivots in order. It is posted in the inverted files of its first
-``post`` pivots; a query reads the files of its own first pivots. Within a file candidates are ranked by the footrule
+``post`` pivots; a query reads the files of its own first pivots, more of them the more pivots there are. Within a file candidates are ranked by the footrule
 distance of the two pivot orders, and the best share is ranked again by the exact inner product.
 Files are cut into blocks of bounded size, so that a file with most of the vectors is many tasks.
 A query that found fewer than k candidates is searched against all vectors, in the same blocks.
@@ -9,7 +9,7 @@ A query that found fewer than k candidates is searched against all vectors, in t
 
 from __future__ import annotations
 
-from math import log2
+from math import ceil, log2, sqrt
 
 import numpy as np
 import pandas as pd
@@ -21,12 +21,18 @@ from .columns import cut_lineage, map_arrow, share_of, ship
 
 #: Pivots: the power of two next to n^0.4 for n vectors, between these bounds (the bounds hold the model, not the rows).
 PIVOTS = (16, 1024)
-#: Files that a vector is posted in and a query reads; pivots compared by the footrule; share of a file that is ranked again.
+#: Files that a vector is posted in and a query reads (at up to ``READ_PIVOTS`` pivots, see ``files_read``); pivots compared by the footrule; share of a file that is ranked again.
 POST, READ, ORDER, SHARE = 6, 14, 32, 0.55
+READ_PIVOTS = 128
 #: Vectors and queries of one task's block.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 
 
+def files_read(pivots: int, read: int = READ) -> int:
+    """Files that a query reads of so many: with the root of the pivots, as a fixed number loses neighbours when the files grow finer."""
+    return min(pivots, max(read, ceil(read * sqrt(pivots / READ_PIVOTS))))
+
+
 def fit_pivots(vectors: DataFrame, count: int, size: int) -> np.ndarray:
     """Up to ``count`` of the ``size`` vectors, those with a small hash of their components, scaled to length 1: a bounded sample."""
     likely = vectors.select("vec").where(share_of(F.col("vec")) * size < 4 * count).distinct()
@@ -153,7 +159,10 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_column: str = "vec_id",
     index = cut_lineage(map_arrow(rows, _orders(pivots, size), "vec_id long, vec array<double>, nearest array<int>"))
     asked = index.where(queries)
     posted = index.select("*", F.explode(F.slice("nearest", 1, min(post, size))).alias("file"))
-    read_files = asked.select("*", F.explode(F.slice("nearest", 1, min(read, size))).alias("file"))
+    # A query may read more files than the footrule compares pivots: its longer order is made for the queries only.
+    wide = files_read(len(pivots), read)
+    longer = map_arrow(asked.select("vec_id", "vec"), _orders(pivots, max(wide, size)), "vec_id long, vec array<double>, nearest array<int>")
+    read_files = longer.select("vec_id", "vec", F.slice("nearest", 1, size).alias("nearest"), F.explode(F.slice("nearest", 1, wide)).alias("file"))
     found = cut_lineage(_ask(posted, read_files, len(pivots), k, share))
     counts = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.countDistinct("vec_id").alias("c")).where(F.col("c") >= k)
     short = asked.join(counts, "vec_id", "left_anti")

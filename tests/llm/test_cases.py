@@ -276,6 +276,34 @@ def test_footrule():
     assert len({g - w for g, w in zip(got, want, strict=True)}) == 1
 
 
+@pytest.mark.parametrize(("n", "pivots"), [(80_000, 128), (440_000, 256)])
+def test_files_read_hold_the_neighbours(n, pivots):
+    """Where a number of pivots begins to hold, which is where the recall is lowest."""
+    r = np.random.default_rng(2)
+    x = r.standard_normal((n, 64), dtype=np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked, chosen = x[:40], x[r.choice(n, pivots, replace=False)]
+    scores = asked @ x.T
+    scores[np.arange(40), np.arange(40)] = -2
+    best = np.argpartition(-scores, 20, axis=1)[:, :20]
+    read = np.argsort(-(asked @ chosen.T), axis=1)[:, : neighbours.files_read(pivots)]
+    hits = [bool(set(np.argsort(-(chosen @ x[b]))[: neighbours.POST]) & set(q)) for q, near in zip(read, best, strict=True) for b in near]
+    assert np.mean(hits) >= 0.92
+
+
+def test_more_files_than_compared_pivots(spark, monkeypatch):
+    """Queries may read beyond the footrule's pivots: all files read and whole files ranked is the exact search."""
+    monkeypatch.setattr(neighbours, "ORDER", 4)
+    r = np.random.default_rng(3)
+    x = r.standard_normal((300, 8))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(table, F.col("vec_id") < 5, k=5, post=1, read=16, share=1.0).collect()
+    for q in range(5):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        assert [v.vec_id for v in sorted((v for v in got if v.query_id == q), key=lambda v: v.rank)] == np.argsort(-scores)[:5].tolist()
+
+
 def test_nearest_odd_vectors(spark):
     rows = [(i, [float(i % 7), 1.0, float(-i)]) for i in range(40)] + [(40, None), (41, [0.0, 0.0, 0.0]), (42, [1.0, None, 1.0]), (43, [float("nan"), 1.0, 1.0]), (44, [float("inf"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (45, [1.0]), (46, [])]
     rows += [(50 + i, [1.0, 1.0, 1.0]) for i in range(30)] + [(0, [0.0, 1.0, 0.0])]
