@@ -22,8 +22,10 @@ from pyspark.sql import types as T
 from .columns import guarded, map_arrow, share_of, ship
 from .token_counts import vocabulary_path
 
-#: Bound on the labelled rows that one language's probabilities are fitted on.
+#: Bound on the distinct labelled texts that one language's probabilities are fitted on.
 FIT_ROWS = 400
+#: Letters (with the word start) of a word that are fitted as one; longer words are fitted in spans of that size.
+FIT_SPAN = 49
 ROUNDS = 3
 #: Added to every piece's expected count; the share of a character that is no piece.
 SMOOTH, UNKNOWN = 0.05, 1e-7
@@ -67,9 +69,9 @@ def vocabulary(name: str) -> Vocabulary:
 
 
 def _matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of U+2581 + word, one row each (0 behind the end), and the lengths."""
-    lengths = np.array([len(w) + 1 for w in words])
-    flat = np.frombuffer("".join("▁" + w for w in words).encode("utf-32-le"), dtype=np.uint32)
+    """Code points of the words, one row each (0 behind the end), and the lengths; a word start is a U+2581 in front."""
+    lengths = np.array([len(w) for w in words])
+    flat = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
     out = np.zeros((len(words), lengths.max()), dtype=np.uint64)
     out[np.arange(out.shape[1]) < lengths[:, None]] = flat
     return out, lengths
@@ -96,7 +98,7 @@ def forward(words: list[str], voc: Vocabulary, table: np.ndarray) -> np.ndarray:
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     for at in range(0, len(order), 4096):
         part = order[at : at + 4096]
-        codes, lengths = _matrix([words[i] for i in part])
+        codes, lengths = _matrix(["▁" + words[i] for i in part])
         out[part] = _forward(codes, lengths, voc, table)
     return out
 
@@ -119,10 +121,18 @@ def _forward(codes: np.ndarray, lengths: np.ndarray, voc: Vocabulary, table: np.
 
 
 def fit_pieces(counts: dict[str, int], voc: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities of one language from its word counts; the last entry is an unknown character."""
+    """Piece probabilities of one language from its word counts; the last entry is an unknown character.
+
+    Every letter counts: words beyond ``FIT_SPAN`` are cut into spans, of which only the first has the word start.
+    """
     size = len(voc.pieces)
     p = np.append(np.full(size, 1.0 / size), UNKNOWN)
-    words = sorted(w for w in counts if len(w) <= 48)
+    spans: dict[str, int] = {}
+    for w, c in counts.items():
+        w = "▁" + w
+        for at in range(0, len(w), FIT_SPAN):
+            spans[w[at : at + FIT_SPAN]] = spans.get(w[at : at + FIT_SPAN], 0) + c
+    words = sorted(spans)
     if not words:
         return p
     parts = []
@@ -130,7 +140,7 @@ def fit_pieces(counts: dict[str, int], voc: Vocabulary, rounds: int = ROUNDS) ->
     for at in range(0, len(words), 4096):
         part = words[at : at + 4096]
         codes, lengths = _matrix(part)
-        parts.append((lengths, np.array([counts[w] for w in part], dtype=float), list(_steps(codes, lengths, voc))))
+        parts.append((lengths, np.array([spans[w] for w in part], dtype=float), list(_steps(codes, lengths, voc))))
     for _ in range(rounds):
         expected = np.zeros(size + 1)
         for lengths, weight, steps in parts:
@@ -152,13 +162,13 @@ def fit_pieces(counts: dict[str, int], voc: Vocabulary, rounds: int = ROUNDS) ->
 
 
 def fit(labelled: DataFrame, vocabulary_name: str = "piece_bpe_32k.model", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """lang, piece number, probability: at most about ``fit_rows`` rows of each language, chosen by a hash of the text.
+    """lang, piece number, probability: about ``fit_rows`` distinct texts of each language, chosen by a hash of the text; all where it has fewer.
 
     The bound holds the fitted sample only; each language is one group of that size.
     """
     ship(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("_n"))
     picked = rows.join(guarded(sizes), "lang").where(share_of(F.col("text")) * F.col("_n") < fit_rows).select("lang", "text").distinct()
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 from .columns import guarded, map_arrow, share_of, text_or_empty
 from .wordhash import BLANK_WORDS, mix, text_chunks, word_hashes, word_spans
 
-#: Buckets of hashed features; bound on the labelled rows that the hinge loss is fitted on.
-BUCKETS, FIT_ROWS = 1 << 18, 4000
+#: Buckets of hashed features; bound on the distinct labelled texts that the hinge loss is fitted on; share of it that a rare class may fill.
+BUCKETS, FIT_ROWS, RARE = 1 << 18, 4000, 0.1
 #: Smoothing of counts, penalty, passes, share of the fitted weights against their mean size.
 ALPHA, PENALTY, EPOCHS, BETA = 1.0, 1.0, 12, 0.5
 
@@ -102,15 +102,15 @@ def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, penalty: f
     return ((1 - BETA) * mean + BETA * w) * ratio, bias
 
 
-def calibrate(margins: np.ndarray, good: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve through held-back margins (Newton's method on smoothed targets)."""
+def calibrate(margins: np.ndarray, good: np.ndarray, weight: np.ndarray | float = 1.0) -> tuple[float, float]:
+    """Slope and shift of the logistic curve through held-back margins (Newton's method on smoothed targets), rows weighted."""
     n1, n0 = good.sum(), (~good).sum()
     target = np.where(good, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * margins + b, -60, 60)))
-        g = np.array([((p - target) * margins).sum() + 1e-3 * a, (p - target).sum()])
-        v = np.maximum(p * (1 - p), 1e-9)
+        g = np.array([(weight * (p - target) * margins).sum() + 1e-3 * a, (weight * (p - target)).sum()])
+        v = weight * np.maximum(p * (1 - p), 1e-9)
         h = np.array([[(v * margins * margins).sum() + 1e-3, (v * margins).sum()], [(v * margins).sum(), v.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
         step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
@@ -123,8 +123,9 @@ def calibrate(margins: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Fit on rows (text, quality 0/1); rows with another or no label are left out.
 
-    Counts cover every row and meet as one row of each feature. The fitted sample is about ``fit_rows`` rows, those with a
-    small hash of their text, each text once; its feature numbers come to the driver.
+    Counts cover every row and meet as one row of each feature. The fitted sample is about ``fit_rows`` distinct texts, those with a
+    small hash of their text (all where there are fewer); its feature numbers come to the driver. A class with less than
+    ``RARE`` of the texts fills that share as far as it can, and the calibration weighs its texts down to their part.
     """
     rows = labelled.where(F.col("quality").isin(0, 1)).select(text_or_empty().alias("text"), F.col("quality").cast("int").alias("quality"))
 
@@ -152,7 +153,12 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     if not n0 or not n1:  # one class or none: a constant
         return Model(np.zeros(BUCKETS), 0.0, 1.0, float(np.log((n1 + 1) / (n0 + 1))))
     ratio = np.log((counts[1] + ALPHA) / (n1 + 2 * ALPHA)) - np.log((counts[0] + ALPHA) / (n0 + 2 * ALPHA))
-    picked = rows.where(share_of(F.col("text")) * (n0 + n1) < fit_rows).dropDuplicates(["text", "quality"]).withColumn("place", F.xxhash64("text", "quality"))
+    # Copies count in the classes' features, but the bound is one of distinct texts.
+    texts = {r.quality: r.n for r in rows.groupBy("quality").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
+    part = {c: fit_rows * n / sum(texts.values()) for c, n in texts.items()}
+    quota = {c: max(x, fit_rows * RARE) for c, x in part.items()}
+    bound = F.when(F.col("quality") == 1, F.lit(quota[1] / texts[1])).otherwise(F.lit(quota[0] / texts[0]))
+    picked = rows.where(share_of(F.col("text")) < bound).dropDuplicates(["text", "quality"]).withColumn("place", F.xxhash64("text", "quality"))
     sample = map_arrow(picked, number, "found array<int>, quality int, place long").toArrow().sort_by("place")
     lists = sample["found"].combine_chunks()
     ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
@@ -166,7 +172,8 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     w, bias = descend([f for f, b in zip(found, back, strict=True) if not b], y[~back], ratio)
     use = back if back.any() else ~back
     margins = np.array([w[f].sum() / np.sqrt(max(len(f), 1)) + bias for f, u in zip(found, use, strict=True) if u])
-    return Model(w.astype(np.float32), bias, *calibrate(margins, y[use] > 0))
+    weight = {c: min(part[c] / texts[c], 1.0) / min(quota[c] / texts[c], 1.0) for c in texts}
+    return Model(w.astype(np.float32), bias, *calibrate(margins, y[use] > 0, np.where(y[use] > 0, weight[1], weight[0])))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -93,6 +93,25 @@ def test_quality_learns_and_scores_empty_texts(spark):
     assert got[500].score == got[501].score
 
 
+def test_quality_learns_from_copies(spark):
+    """Few distinct texts on many rows, and a class that few texts have."""
+    few = [(f"{prose(30, i)}" if i % 2 else prose(30, i).upper() + "!!", i % 2) for i in range(4)]
+    model = quality.fit(spark.createDataFrame([few[i % 4] for i in range(2000)], "text string, quality int"), fit_rows=40)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(few)], "doc_id long, text string")
+    assert np.abs(model.weights).any() and all((r.quality_score > 0.5) == few[r.doc_id][1] for r in quality.score(docs, model).collect())
+    rare = [(prose(30, 100 + i), 1) for i in range(400)] + [(prose(30, i).upper() + "!!", 0) for i in range(4)]
+    model = quality.fit(spark.createDataFrame(rare, "text string, quality int"), fit_rows=40)
+    docs = spark.createDataFrame([(0, prose(30, 600).upper() + "!!"), (1, prose(30, 601))], "doc_id long, text string")
+    low, high = [r.quality_score for r in quality.score(docs, model).orderBy("doc_id").collect()]
+    assert np.abs(model.weights).any() and low < high and high > 0.5
+
+
+def test_calibration_weights_count_as_repeats():
+    margins, good = np.array([-2.0, -1.0, 0.5, 1.0, 2.0, -0.5]), np.array([False, False, False, True, True, True])
+    even, heavy = quality.calibrate(margins, good), quality.calibrate(margins, good, np.where(good, 3.0, 1.0))
+    assert np.allclose(even, quality.calibrate(margins, good, np.ones(6))) and heavy[1] > even[1]
+
+
 def test_dual_descent_separates():
     found = [np.array([i % 2, 2 + i % 3]) for i in range(30)]
     y = np.array([1.0 if i % 2 else -1.0 for i in range(30)])
@@ -266,6 +285,19 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(langid.forward(["ab" * 3000], voc, table)).all()
 
 
+def test_languages_of_copies_and_long_words(spark):
+    """A language with many rows of few texts is learned like one without copies, and words of any length count."""
+    few = [prose(12, 700 + i) for i in range(3)]
+    rows = [("en", f"the nation of people number {i}".replace(str(i), "abcdefghij"[i % 10])) for i in range(50)]
+    plain, copied = ([(lang, t) for lang, t in rows] + [("xx", few[i % 3]) for i in range(n)] for n in (3, 3000))
+    fitted = [sorted(map(tuple, langid.fit(spark.createDataFrame(x, "lang string, text string"), fit_rows=10).where("lang = 'xx'").collect())) for x in (plain, copied)]
+    assert fitted[0] and fitted[0] == fitted[1]
+    voc = langid.vocabulary("piece_bpe_32k.model")
+    none, long = langid.fit_pieces({}, voc), langid.fit_pieces({"nation" * 40: 3}, voc)
+    at = long[:-1].argmax()
+    assert set(voc.pieces[at]) <= set("nation▁") and long[at] > 100 * none[at] and abs(long.sum() - 1) < 1e-9
+
+
 # 10
 def test_footrule():
     r = np.random.default_rng(2)
