@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, line_templates, mixing, near_dups, neighbours, pii, quality, token_counts
+from . import decontaminate, langid, licenses, line_templates, mixing, near_dups, neighbours, pii, quality, substrings, token_counts
 from .columns import learns, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op12_substrings"] = substrings.ORACLE
