@@ -27,7 +27,7 @@ SPAN, K = 13, 4
 #: Words that an automaton holds on average; documents of an anchor beyond which its passages are cut into windows.
 SHARD_WORDS, HEAVY = 40_000, 1_000
 #: Largest bit table that is sent to the tasks (64 MB). It only spares shuffling: a set bit too many costs a row, never a result.
-MOST_BITS = 1 << 29
+MOST_BITS, BITS_A_KEY, CHUNK = 1 << 29, 16, 1 << 16
 
 #: Words [^\x20\x09-\x0D]+, unchanged; byte 0 is a word byte and takes a value that UTF-8 has not.
 EXACT_WORDS = np.arange(256, dtype=np.uint8)
@@ -48,7 +48,7 @@ class Automaton:
         self.least.append(owner)
         return len(self.length) - 1
 
-    def _split(self, at: int, word: int, to: int) -> int:
+    def _split(self, at: int, word: bytes, to: int) -> int:
         """A copy of ``to`` for the substrings that end in ``at`` followed by ``word``; the longer ones stay with ``to``."""
         steps, link = self.steps, self.link
         copy = self._state(self.length[at] + 1, dict(steps[to]), link[to], self.least[to])
@@ -58,7 +58,7 @@ class Automaton:
         link[to] = copy
         return copy
 
-    def add(self, words: list[int], owner: int) -> None:
+    def add(self, words: list[bytes], owner: int) -> None:
         steps, link, length, least = self.steps, self.link, self.length, self.least
         last = 0
         for word in words:
@@ -84,7 +84,7 @@ class Automaton:
             if to > 0 and self.least[at] < self.least[to]:
                 self.least[to] = self.least[at]
 
-    def first_owners(self, words: list[int], span: int) -> list[int | None]:
+    def first_owners(self, words: list[bytes], span: int) -> list[int | None]:
         """For each window of ``span`` words the smallest owner of it; None where the match that ends there is shorter."""
         steps, link, length = self.steps, self.link, self.length
         at, match, out = 0, 0, []
@@ -125,13 +125,13 @@ def hashes_at(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 
 def passages(texts: pa.Array, span: int, k: int):
-    """For each chunk of texts: first row, word hashes, and of each passage its text, first word, windows and anchor."""
+    """For each chunk of texts: first row, bytes, word spans and hashes, and of each passage its text, first word, windows and anchor."""
     for first, data, offsets in text_chunks(texts):
         low, starts, ends, bounds = word_spans(data, offsets, EXACT_WORDS)
         words, size = word_hashes(low, starts, ends), np.diff(bounds)
         none = np.zeros(0, dtype=np.int64)
         if not len(words) or size.max() < span:
-            yield first, words, bounds, none, none, none, np.zeros(0, dtype=np.uint64)
+            yield first, data, (starts, ends, bounds, words), none, none, none, np.zeros(0, dtype=np.uint64)
             continue
         grams = hashes_at(words, np.arange(max(len(words) - k + 1, 0)), k)
         best = least_of(grams, span - k + 1)
@@ -140,7 +140,7 @@ def passages(texts: pa.Array, span: int, k: int):
         at = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + bounds[text]
         anchor = best[at]
         new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]))))
-        yield first, words, bounds, text[new], at[new], np.diff(np.append(new, len(at))), grams[anchor[new]]
+        yield first, data, (starts, ends, bounds, words), text[new], at[new], np.diff(np.append(new, len(at))), grams[anchor[new]]
 
 
 def _anchors(span: int, k: int):
@@ -160,14 +160,18 @@ def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _listed(span: int, k: int, again, heavy):
-    """Passages whose anchor may stand in several documents: (doc_id, tag, start, n, anchor, route, passage)."""
+def _listed(span: int, k: int, again, heavy, chosen=None):
+    """Passages whose anchor may stand in several documents: (doc_id, tag, start, n, anchor, passage).
+
+    With ``chosen`` only passages that were chosen from their document, and with their words: (route, passage, owner, words).
+    """
 
     def run(batches):
         shared, many = (np.frombuffer(b.value, dtype=np.uint8) for b in (again, heavy))
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for first, words, bounds, text, at, n, anchor in passages(batch.column(2), span, k):
+            for first, data, spans, text, at, n, anchor in passages(batch.column(2), span, k):
+                starts, ends, bounds, words = spans
                 use = np.flatnonzero(_holds(shared, anchor))
                 text, at, n, anchor = text[use], at[use], n[use], anchor[use]
                 cut = _holds(many, anchor)
@@ -177,30 +181,15 @@ def _listed(span: int, k: int, again, heavy):
                 text, at, anchor, cut = text[row], at[row] + step, anchor[row], cut[row]
                 n = np.where(cut, 1, n[row])
                 passage = mix(hashes_at(words, at, span) * ODD + hashes_at(words, at + n - 1, span) + n.astype(np.uint64))
-                route = np.where(cut, passage, anchor)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[text + first]), pa.array(tags[text + first]), pa.array((at - bounds[text]).astype(np.int32)), pa.array(n.astype(np.int32)),
-                     pa.array(anchor.view(np.int64)), pa.array(route.view(np.int64)), pa.array(passage.view(np.int64))],
-                    names=["doc_id", "tag", "start", "n", "anchor", "route", "passage"])
-
-    return run
-
-
-def _words_of(span: int):
-    """The words of the passages that a text was chosen for: (route, passage, owner, words as bytes)."""
-
-    def run(batches):
-        for batch in batches:
-            ids, texts, asked = batch.columns
-            for first, data, offsets in text_chunks(texts):
-                low, starts, ends, bounds = word_spans(data, offsets, EXACT_WORDS)
-                words = word_hashes(low, starts, ends).view(np.int64)
-                part = asked.slice(first, len(offsets) - 1)
-                text, flat = np.repeat(np.arange(len(part)), pa.compute.list_value_length(part).to_numpy()), part.flatten()
-                start, n, route, passage = (flat.field(i).to_numpy() for i in range(4))
-                begin = bounds[text] + start
-                cells = [words[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + n + span - 1).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(passage), ids.take(pa.array(text + first)), pa.array(cells, pa.binary())], names=["route", "passage", "owner", "words"])
+                doc = ids[text + first]
+                if chosen is None:
+                    cells = [doc, tags[text + first], (at - bounds[text]).astype(np.int32), n.astype(np.int32), anchor.view(np.int64), passage.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["doc_id", "tag", "start", "n", "anchor", "passage"])
+                    continue
+                use = np.flatnonzero(_holds(np.frombuffer(chosen.value, dtype=np.uint8), passage ^ doc.view(np.uint64)))
+                route = np.where(cut, passage, anchor)[use].view(np.int64)
+                said = [data[x:y].tobytes() for x, y in zip(starts[at[use]].tolist(), ends[at[use] + n[use] + span - 2].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(passage[use].view(np.int64)), pa.array(doc[use]), pa.array(said, pa.binary())], names=["route", "passage", "owner", "words"])
 
     return run
 
@@ -209,27 +198,36 @@ def _match(span: int):
     """One shard: build its automaton, then stream its passages. ``owners``: the smallest id for each window of a passage."""
 
     def run(table: pa.Table) -> pa.Table:
-        machine = Automaton()
-        sequences = [np.frombuffer(w.as_py(), dtype=np.int64).tolist() for w in table.column("words")]
-        for words, owner in zip(sequences, table.column("owner").to_pylist(), strict=True):
-            machine.add(words, owner)
+        machine, said = Automaton(), {}
+        for passage, owner, words in zip(*(table.column(c).to_pylist() for c in ("passage", "owner", "words")), strict=True):
+            if passage not in said:
+                said[passage] = words.split()
+            machine.add(said[passage], owner)
         machine.settle()
-        owners = [machine.first_owners(words, span) for words in sequences]
-        return pa.table({"passage": table.column("passage"), "owners": pa.array(owners, pa.list_(pa.int64()))})
+        owners = [machine.first_owners(words, span) for words in said.values()]
+        return pa.table({"passage": pa.array(said, pa.int64()), "owners": pa.array(owners, pa.list_(pa.int64()))})
 
     return run
 
 
 def bit_table(keys: DataFrame, size: int) -> bytes:
-    """Bits of ``keys`` (hash) modulo a power of two that follows from ``size``; chunks are filled in tasks, the driver gets MOST_BITS at most."""
+    """Bits of ``keys`` (hash) modulo a power of two that follows from ``size``; tasks fill chunks, the driver gets MOST_BITS at most."""
     bits = 1 << 16
-    while bits < min(16 * size, MOST_BITS):
+    while bits < min(BITS_A_KEY * size, MOST_BITS):
         bits *= 2
-    words = keys.select(F.expr(f"shiftright(hash & {bits - 1}L, 6)").alias("w"), F.expr("shiftleft(1L, cast(hash & 63L AS int))").alias("b"))
-    table = np.zeros(bits // 64, dtype=np.int64)
-    for part in words.groupBy("w").agg(F.bit_or("b").alias("b")).select("w", "b").toPandas().itertuples(index=False):
-        table[part.w] = part.b
-    return table.tobytes()
+
+    def fill(table: pa.Table) -> pa.Table:
+        slots = np.unique(table.column("slot").to_numpy())
+        marked = np.zeros(CHUNK, dtype=bool)
+        marked[slots % CHUNK] = True
+        return pa.table({"chunk": [int(slots[0] // CHUNK)], "bits": [np.packbits(marked, bitorder="little").tobytes()]})
+
+    slot = F.expr(f"hash & {bits - 1}L")
+    chunks = keys.select(slot.alias("slot")).distinct().groupBy(F.floor(F.col("slot") / CHUNK)).applyInArrow(fill, "chunk long, bits binary")
+    table = bytearray(bits // 8)
+    for row in chunks.toLocalIterator():
+        table[row.chunk * CHUNK // 8 : (row.chunk + 1) * CHUNK // 8] = row.bits
+    return bytes(table)
 
 
 def covered(docs: DataFrame, span: int, k: int) -> DataFrame:
@@ -237,27 +235,24 @@ def covered(docs: DataFrame, span: int, k: int) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tag"), "text")
-    counted = map_arrow(rows.select("text"), _anchors(span, k), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = cut_lineage(counted)
-    many = again.where(F.col("n") > HEAVY)
+    again = cut_lineage(map_arrow(rows.select("text"), _anchors(span, k), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     n_again, n_many = again.agg(F.count(F.lit(1)), F.count_if(F.col("n") > HEAVY)).first()
-    shared = spark.sparkContext.broadcast(bit_table(again.select(F.col("anchor").alias("hash")), n_again))
-    heavy = spark.sparkContext.broadcast(bit_table(many.select(F.col("anchor").alias("hash")), n_many))
-    listed = map_arrow(rows, _listed(span, k, shared, heavy), "doc_id long, tag int, start int, n int, anchor long, route long, passage long")
+    hashes = again.select(F.col("anchor").alias("hash"), "n")
+    shared = spark.sparkContext.broadcast(bit_table(hashes, n_again))
+    heavy = spark.sparkContext.broadcast(bit_table(hashes.where(F.col("n") > HEAVY), n_many))
+    listed = map_arrow(rows, _listed(span, k, shared, heavy), "doc_id long, tag int, start int, n int, anchor long, passage long")
+    if BITS_A_KEY * n_again > MOST_BITS:  # the table is too full to tell enough anchors apart
+        listed = listed.join(again.select("anchor"), "anchor", "left_semi")
     root = scratch_path(spark, "substrings")
-    listed.join(again.select("anchor"), "anchor", "left_semi").drop("anchor").write.parquet(root)
-    shared.destroy()
-    heavy.destroy()
+    listed.select("doc_id", "tag", "start", "n", "passage").write.parquet(root)
     listed = spark.read.parquet(root)
 
-    first = listed.groupBy("passage", "route", "n").agg(F.min(F.struct("doc_id", "tag", "start")).alias("at"))
-    asked = first.groupBy("at.doc_id", "at.tag").agg(F.collect_list(F.struct("at.start", "n", "route", "passage")).alias("asked"))
-    chosen = rows.join(asked, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]).select("doc_id", "text", "asked")
-    words = map_arrow(chosen, _words_of(span), "route long, passage long, owner long, words binary")
-    total = listed.select("passage", "n").distinct().agg(F.sum(F.col("n") + span - 1)).first()[0] or 0
-    shards = total // SHARD_WORDS + 1
-    dealt = words.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
-    owners = dealt.groupBy("shard").applyInArrow(_match(span), "passage long, owners array<long>")
+    first = cut_lineage(listed.groupBy("passage").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
+    n_first, total = first.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("n") + span - 1), F.lit(0))).first()
+    chosen = spark.sparkContext.broadcast(bit_table(first.select(F.col("passage").bitwiseXOR(F.col("doc_id")).alias("hash")), n_first))
+    words = map_arrow(rows, _listed(span, k, shared, heavy, chosen), "route long, passage long, owner long, words binary")
+    shard = F.pmod(F.xxhash64("route"), F.lit(total // SHARD_WORDS + 1))
+    owners = words.groupBy(shard.alias("shard")).applyInArrow(_match(span), "passage long, owners array<long>")
 
     places = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("owners", i) < F.col("doc_id"))
     hits = listed.join(owners, "passage").withColumn("said", places).where(F.size("said") > 0)
