@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, line_templates, mixing, near_dups, neighbours, pii, quality, substrings, token_counts
+from . import decontaminate, langid, licenses, line_templates, mixing, near_dups, neighbours, pii, prefix_trie, quality, substrings, token_counts, whitening
 from .columns import learns, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,11 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(read(spark, sf_dir, "documents"))
@@ -91,3 +96,11 @@ def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_substrings"] = substrings.ORACLE
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_prefix_trie"] = prefix_trie.ORACLE
