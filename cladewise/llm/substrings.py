@@ -278,6 +278,21 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
 
+def _told_apart(bits):
+    """(doc_id, text, tag) of the rows whose key the bit table holds, and of the others."""
+
+    def split(batches, held: bool):
+        for batch in batches:
+            mark = _holds(np.frombuffer(bits.value, dtype=np.uint8), batch.column(3).to_numpy().view(np.uint64))
+            yield batch.select(["doc_id", "text", "tag"]).filter(pa.array(mark == held))
+
+    def whole(batches):
+        for batch in split(batches, False):
+            yield from _cut([pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(len(batch))], names=["doc_id", "text", "runs"])])
+
+    return lambda batches: split(batches, True), whole
+
+
 def remove_repeats(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """doc_id, n_words, n_removed and the text left (words joined by one space) of every row of ``docs``.
 
@@ -286,9 +301,15 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     neither smaller nor larger: nothing goes there and nothing goes because of it. Rows with one doc_id don't
     take from each other, so repeated rows give equal rows. Other columns are ignored. An empty table gives an empty result.
     """
+    runs = cut_lineage(covered(docs, span, k).withColumn("hash", F.xxhash64("doc_id", "tag")))
+    marked = docs.sparkSession.sparkContext.broadcast(bit_table(runs, runs.count()))
+    held, whole = _told_apart(marked)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.hash("text").alias("tag"))
-    joined = rows.join(covered(docs, span, k), ["doc_id", "tag"], "left").select("doc_id", "text", "runs")
-    return map_arrow(joined, _cut, "doc_id long, n_words long, n_removed long, text string")
+    rows = rows.select("*", F.xxhash64("doc_id", "tag").alias("hash"))
+    # Only texts that may lose words are moved to their runs; all others are written as they are read.
+    joined = map_arrow(rows, held, "doc_id long, text string, tag int").join(runs, ["doc_id", "tag"], "left").select("doc_id", "text", "runs")
+    schema = "doc_id long, n_words long, n_removed long, text string"
+    return map_arrow(joined, _cut, schema).unionByName(map_arrow(rows, whole, schema))
 
 
 ORACLE = r"""
