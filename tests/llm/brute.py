@@ -86,3 +86,51 @@ def personal(text):
 
 def spans(found):
     return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+
+
+def repeats(docs, span=13):
+    """(doc_id, n_words, n_removed, kept text): words of windows that also start in a document with a smaller id."""
+    split = [(d, (t or "").encode().split()) for d, t in docs]
+    least = {}
+    for d, w in split:
+        for i in range(len(w) - span + 1 if d is not None else 0):
+            key = tuple(w[i : i + span])
+            least[key] = min(d, least.get(key, d))
+    for d, w in split:
+        gone = {i + k for i in range(len(w) - span + 1) if d is not None and least[tuple(w[i : i + span])] < d for k in range(span)}
+        yield d, len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()
+
+
+def rebuild(rows, heads=6, group=100):
+    """conv_id -> turns (role, text) after the heads were exchanged."""
+    import zlib
+
+    own = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(v, key=lambda t: (t[0], t[1], t[2].encode(), t[3].encode()))] for c, v in own.items()}
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % heads
+        base = c - (abs(c) % group) * (1 if c >= 0 else -1)
+        out[c] = own.get(base, [])[:h] + turns[h:]
+    return out
+
+
+def trie(convs):
+    """Every prefix as (conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256)."""
+    members = collections.defaultdict(list)
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    below = collections.defaultdict(list)
+    for p in members:
+        for d in range(len(p) + 1):
+            below[p[:d]].append(p)
+    children = collections.Counter(p[:-1] for p in members if p)
+    for p, m in members.items():
+        ends = ",".join(map(str, sorted(c for c in m if len(convs[c]) == len(p))))
+        saved = sum((len(members[q]) - 1) * (len(q[-1][1]) if q else 0) for q in below[p])
+        leaves = sum(not children[q] for q in below[p])
+        yield min(m), len(p), min(members[p[:-1]]) if p else None, len(m), children[p], leaves, saved, hashlib.sha256(ends.encode()).hexdigest()
