@@ -62,57 +62,117 @@ def _(t):
     return al.column_entropy(cells(t)).withColumn("entropy", F.round("entropy", 6) + 0.0)
 
 
-def pairs_per_gene(t):
-    """Column pairs asked in every gene."""
-    p = t.part.select((C("p_size") * 7).cast("bigint").alias("i"), (C("p_size") * 7 + C("p_partkey") % 5 + 1).alias("j")).distinct()
-    return t.aln.select("gene").distinct().withColumn("_k", F.lit(1)).join(p.withColumn("_k", F.lit(1)), "_k").drop("_k")
+def drawn_sql(length: str, key: str, seed: str) -> str:
+    """Column pairs by the number a hash draws: i < j over a gene's whole length. ``key`` holds (gene, draw) and is joined to ``length``."""
+    return f"""
+SELECT gene, draw, CAST(r - j * (j - 1) // 2 AS BIGINT) AS i, CAST(j AS BIGINT) AS j FROM (SELECT gene, draw, r, g - CAST(g * (g - 1) // 2 > r AS BIGINT) + CAST(g * (g + 1) // 2 <= r AS BIGINT) AS j
+FROM (SELECT gene, draw, r, CAST(floor((1 + sqrt(1 + 8 * r)) / 2) AS BIGINT) AS g FROM (SELECT gene, draw, ('0x' || substr(md5(gene || '|' || draw || '|{seed}'), 1, 12))::BIGINT % (length * (length - 1) // 2) AS r
+FROM {key} JOIN {length} USING (gene) WHERE length > 1)))"""
 
 
-def sizes(t):
-    return t.aln.groupBy("gene").agg(F.count("*").alias("n_species"), F.max(F.length("seq")).cast("bigint").alias("length"))
+STATE = "CASE WHEN {0} IN ('A','C','D','E','F','G','H','I','K','L','M','N','P','Q','R','S','T','V','W','Y') THEN {0} ELSE '-' END"
 
 
-def _mi(t):
-    return al.mutual_information(cells(t).withColumn("col", C("col").cast("bigint")), pairs_per_gene(t), sizes(t))
+def mi_sql(aln: str, pairs: str, name: str = "mi") -> str:
+    """Views that end in ``name`` (gene, i, j, mi) over the distinct ``pairs`` of an alignment."""
+    n = name
+    return f"""{n}_p AS (SELECT DISTINCT gene, i, j FROM {pairs}), {n}_c AS (SELECT s.gene, i, j, substr(seq, CAST(i + 1 AS INT), 1) AS x, substr(seq, CAST(j + 1 AS INT), 1) AS y FROM {aln} s JOIN {n}_p p ON p.gene = s.gene),
+{n}_s AS (SELECT gene, i, j, {STATE.format('x')} AS a, {STATE.format('y')} AS b, count(*) AS n FROM {n}_c GROUP BY ALL),
+{n}_a AS (SELECT gene, i, j, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM (SELECT gene, i, j, a, sum(n) AS n FROM {n}_s GROUP BY ALL) GROUP BY ALL),
+{n}_b AS (SELECT gene, i, j, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM (SELECT gene, i, j, b, sum(n) AS n FROM {n}_s GROUP BY ALL) GROUP BY ALL),
+{n}_j AS (SELECT gene, i, j, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM {n}_s GROUP BY ALL),
+{n} AS (SELECT gene, i, j, greatest(0.0, x.h + y.h - z.h) AS mi FROM {n}_j z JOIN {n}_a x USING (gene, i, j) JOIN {n}_b y USING (gene, i, j))"""
 
 
-STATE = "CASE WHEN {0} IN ('A','C','D','E','F','G','H','I','K','L','M','N','P','Q','R','S','T','V','W','Y') THEN {0} ELSE '-' END"
-MI_SQL = f"""pp AS (SELECT DISTINCT p_size * 7 AS i, p_size * 7 + p_partkey % 5 + 1 AS j FROM part),
-pc AS (SELECT gene, i, j, substr(seq, CAST(i + 1 AS INT), 1) AS x, substr(seq, CAST(j + 1 AS INT), 1) AS y FROM prx_aln, pp),
-js AS (SELECT gene, i, j, {STATE.format('x')} AS a, {STATE.format('y')} AS b, count(*) AS n FROM pc GROUP BY ALL),
-ha AS (SELECT gene, i, j, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM (SELECT gene, i, j, a, sum(n) AS n FROM js GROUP BY ALL) GROUP BY ALL),
-hb AS (SELECT gene, i, j, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM (SELECT gene, i, j, b, sum(n) AS n FROM js GROUP BY ALL) GROUP BY ALL),
-hj AS (SELECT gene, i, j, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM js GROUP BY ALL),
-mi AS (SELECT gene, i, j, greatest(0.0, ha.h + hb.h - hj.h) AS mi FROM hj JOIN ha USING (gene, i, j) JOIN hb USING (gene, i, j))"""
+LENGTH_SQL = "ln AS (SELECT gene, max(length(seq)) AS length FROM prx_aln GROUP BY 1)"
+#: A pair of columns for every supplier, in one of the four genes, anywhere in it.
+ASKED_SQL = f"""{LENGTH_SQL}, ak AS (SELECT ['en', 'de', 'fr', 'es'][CAST(1 + s_suppkey % 4 AS INT)] AS gene, s_suppkey AS draw FROM supplier), ask AS ({drawn_sql('ln', 'ak', 'asked')})"""
+#: Five thousand drawn pairs a gene, and a background of five hundred, both over the genes' whole length.
+MEANS_SQL = f"md AS (SELECT gene, unnest(range(5000)) AS draw FROM ln), mp AS ({drawn_sql('ln', 'md', 'means')})"
+BACKGROUND_SQL = f"bd AS (SELECT gene, unnest(range(500)) AS draw FROM ln), bk AS ({drawn_sql('ln', 'bd', 'background')})"
 
 
-@query("m07_mutual_information", f"WITH {MI_SQL} SELECT gene, i, j, round(mi, 6) AS mi FROM mi")
+def draws(t, n):
+    return al.lengths(t.aln).select("gene", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
+
+
+def asked(t):
+    """A column pair for every supplier, in one of the four genes."""
+    langs = F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")])
+    keys = t.supplier.select(F.element_at(langs, (C("s_suppkey") % 4 + 1).cast("int")).alias("gene"), C("s_suppkey").alias("draw"))
+    return al.draw_pairs(al.lengths(t.aln), keys, "draw", "asked")
+
+
+@query("m07_mutual_information", f"WITH {ASKED_SQL}, {mi_sql('prx_aln', 'ask')} SELECT gene, i, j, round(mi, 6) AS mi FROM mi")
 def _(t):
-    return _mi(t).withColumn("mi", F.round("mi", 6))
+    return al.mutual_information(t.aln, asked(t)).withColumn("mi", F.round("mi", 6))
+
+
+def apc_sql(mi: str, name: str) -> str:
+    n = name
+    return f"{n}_e AS (SELECT gene, i AS col, mi FROM {mi} UNION ALL SELECT gene, j, mi FROM {mi}), {n}_r AS (SELECT gene, col, avg(mi) AS m FROM {n}_e GROUP BY 1, 2), {n}_g AS (SELECT gene, avg(mi) AS gm FROM {mi} GROUP BY 1)"
+
 
+#: Every column pair of the short alignments: names, brands and types of parts, and addresses of pages.
+EVERY_SQL = f"""wl AS (SELECT gene, max(length(seq)) AS length FROM prx_word GROUP BY 1), wi AS (SELECT gene, length, unnest(range(length)) AS i FROM wl), wp AS (SELECT gene, i, unnest(range(i + 1, length)) AS j FROM wi),
+{mi_sql('prx_word', 'wp', 'wm')}, {apc_sql('wm', 'wa')}"""
 
-APC_SQL = "e AS (SELECT gene, i AS col, mi FROM mi UNION ALL SELECT gene, j, mi FROM mi), r AS (SELECT gene, col, avg(mi) AS m FROM e GROUP BY 1, 2), g AS (SELECT gene, avg(mi) AS gm FROM mi GROUP BY 1)"
+
+@query("m08_apc_stats", f"WITH {EVERY_SQL} SELECT gene, col, round(m, 6) AS mean_mi, round(gm, 6) AS grand_mean FROM wa_r JOIN wa_g USING (gene)")
+def _(t):
+    row_means, grand = al.apc_stats(cut_lineage(al.all_information(t.word)))
+    return row_means.join(grand, "gene").select("gene", "col", F.round("mean_mi", 6).alias("mean_mi"), F.round("grand_mean", 6).alias("grand_mean"))
 
 
-@query("m08_apc_stats", f"WITH {MI_SQL}, {APC_SQL} SELECT gene, col, round(m, 6) AS mean_mi, round(gm, 6) AS grand_mean FROM r JOIN g USING (gene)")
+@query("m08b_apc_stats_drawn", f"WITH {LENGTH_SQL}, {MEANS_SQL}, {mi_sql('prx_aln', 'mp')}, {apc_sql('mi', 'ma')} SELECT gene, col, round(m, 6) AS mean_mi, round(gm, 6) AS grand_mean FROM ma_r JOIN ma_g USING (gene)")
 def _(t):
-    row_means, grand = al.apc_stats(cut_lineage(_mi(t)))
+    row_means, grand = al.apc_stats(cut_lineage(_drawn(t)))
     return row_means.join(grand, "gene").select("gene", "col", F.round("mean_mi", 6).alias("mean_mi"), F.round("grand_mean", 6).alias("grand_mean"))
 
 
+def _drawn(t):
+    return al.mutual_information(t.aln, al.draw_pairs(al.lengths(t.aln), draws(t, 5000), "draw", "means"))
+
+
 @query("m09_apc_correct", f"""
-WITH {MI_SQL}, e AS (SELECT gene, i AS col, mi FROM mi UNION ALL SELECT gene, j, mi FROM mi), r AS (SELECT gene, col, avg(mi) AS m FROM e GROUP BY 1, 2), g AS (SELECT gene, avg(mi) AS gm FROM mi GROUP BY 1)
-SELECT mi.gene, i, j, round(CASE WHEN gm = 0 THEN mi ELSE mi - r1.m * r2.m / gm END, 6) AS mi_apc FROM mi JOIN g USING (gene) JOIN r r1 ON r1.gene = mi.gene AND r1.col = i JOIN r r2 ON r2.gene = mi.gene AND r2.col = j""")
+WITH {EVERY_SQL} SELECT wm.gene, i, j, round(CASE WHEN gm = 0 THEN mi ELSE mi - r1.m * r2.m / gm END, 6) + 0.0 AS mi_apc FROM wm JOIN wa_g USING (gene) JOIN wa_r r1 ON r1.gene = wm.gene AND r1.col = i JOIN wa_r r2 ON r2.gene = wm.gene AND r2.col = j""")
 def _(t):
-    mi = cut_lineage(_mi(t))
-    return al.apc_correct(mi, *al.apc_stats(mi)).select("gene", "i", "j", F.round("mi_apc", 6).alias("mi_apc"))
+    mi = cut_lineage(al.all_information(t.word))
+    return al.apc_correct(mi, *al.apc_stats(mi)).select("gene", "i", "j", (F.round("mi_apc", 6) + 0.0).alias("mi_apc"))
 
 
-@query("m10_background_mi", f"""
-WITH {MI_SQL}, v AS (SELECT gene, i, j, round(mi, 9) AS v FROM mi) SELECT gene, i, j, round(100.0::DOUBLE * (rank() OVER (PARTITION BY gene ORDER BY v) - 1) / count(*) OVER (PARTITION BY gene), 6) AS percentile FROM v""")
+#: Every column of a part's name against every column of its brand and its type.
+BETWEEN_SQL = f"""{EVERY_SQL}, xp AS (SELECT a.gene, a.i, b.gene AS gene_b, b.i AS j FROM wi a JOIN wi b ON a.gene = 'name' AND b.gene IN ('brand', 'type')),
+xc AS (SELECT xp.*, {STATE.format('substr(s.seq, CAST(xp.i + 1 AS INT), 1)')} AS a, {STATE.format('substr(z.seq, CAST(xp.j + 1 AS INT), 1)')} AS b FROM xp JOIN prx_word s ON s.gene = xp.gene JOIN prx_word z ON z.gene = xp.gene_b AND z.species = s.species),
+xs AS (SELECT gene, i, gene_b, j, a, b, count(*) AS n FROM xc GROUP BY ALL),
+xa AS (SELECT gene, i, gene_b, j, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM (SELECT gene, i, gene_b, j, a, sum(n) AS n FROM xs GROUP BY ALL) GROUP BY ALL),
+xb AS (SELECT gene, i, gene_b, j, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM (SELECT gene, i, gene_b, j, b, sum(n) AS n FROM xs GROUP BY ALL) GROUP BY ALL),
+xj AS (SELECT gene, i, gene_b, j, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM xs GROUP BY ALL),
+xm AS (SELECT gene, i, gene_b, j, greatest(0.0, xa.h + xb.h - xj.h) AS mi FROM xj JOIN xa USING (gene, i, gene_b, j) JOIN xb USING (gene, i, gene_b, j))"""
+
+
+@query("m09b_apc_correct_between", f"""
+WITH {BETWEEN_SQL} SELECT xm.gene, xm.i, gene_b, xm.j, round(mi, 6) + 0.0 AS mi, round(CASE WHEN g1.gm + g2.gm = 0 THEN mi ELSE mi - r1.m * r2.m / ((g1.gm + g2.gm) / 2) END, 6) + 0.0 AS mi_apc
+FROM xm JOIN wa_g g1 ON g1.gene = xm.gene JOIN wa_g g2 ON g2.gene = gene_b JOIN wa_r r1 ON r1.gene = xm.gene AND r1.col = xm.i JOIN wa_r r2 ON r2.gene = gene_b AND r2.col = xm.j""")
 def _(t):
-    asked = cut_lineage(_mi(t).withColumn("mi", F.round("mi", 9)))
-    return ranking.percentile_strict(asked, "mi", asked, "mi", ["gene"]).select("gene", "i", "j", F.round("percentile", 6).alias("percentile"))
+    cols = al.lengths(t.word).select("gene", F.explode(F.sequence(F.lit(0).cast("bigint"), C("length") - 1)).alias("col"))
+    other = cols.where("gene IN ('brand', 'type')").select(F.lit("name").alias("gene"), C("gene").alias("gene_b"), C("col").alias("j"))
+    pairs = cols.where("gene = 'name'").withColumnRenamed("col", "i").join(other, "gene")
+    mi = al.mutual_information_between(t.word, pairs)
+    out = al.apc_correct(mi, *al.apc_stats(cut_lineage(al.all_information(t.word))))
+    return out.select("gene", "i", "gene_b", "j", *[(F.round(c, 6) + 0.0).alias(c) for c in ("mi", "mi_apc")])
+
+
+@query("m10_background_mi", f"""
+WITH {ASKED_SQL}, {BACKGROUND_SQL}, {mi_sql('prx_aln', 'ask')}, {mi_sql('prx_aln', 'bk', 'bm')}, v AS (SELECT gene, i, j, round(mi, 9) AS v FROM mi), w AS (SELECT gene, round(mi, 9) AS v FROM bk JOIN bm USING (gene, i, j))
+SELECT v.gene, v.i, v.j, round(100.0::DOUBLE * count(*) FILTER (w.v < v.v) / count(*), 6) AS percentile FROM v JOIN w ON w.gene = v.gene GROUP BY ALL""")
+def _(t):
+    """Asked pairs ranked among a drawn background, which counts repeated draws as often as they come."""
+    drawn = al.draw_pairs(al.lengths(t.aln), draws(t, 500), "draw", "background")
+    value = F.round("mi", 9).alias("mi")
+    ask, back = (cut_lineage(al.mutual_information(t.aln, p).select("gene", "i", "j", value)) for p in (asked(t), drawn))
+    every = drawn.join(back, ["gene", "i", "j"])
+    return ranking.percentile_strict(ask, "mi", every, "mi", ["gene"]).select("gene", "i", "j", F.round("percentile", 6).alias("percentile"))
 
 
 BENCH_SQL = """bt AS (SELECT item_id AS s, regexp_replace(text, '[^A-Za-z]', '-', 'g') AS q FROM benchmark),

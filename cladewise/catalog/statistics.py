@@ -91,6 +91,19 @@ def _(t):
     return out.select("l_returnflag", "n1", "n2", F.round("u", 3).alias("u"), F.round("p_value", 6).alias("p_value"))
 
 
+#: Every order's lines: few rows a side, so the null distribution of U is spelled out by choosing the first side's ranks in all ways.
+SMALL_SQL = f"""{mw_sql("SELECT l_orderkey, l_returnflag = 'N' AS g, l_extendedprice AS v FROM lineitem", ['l_orderkey'], 'two-sided').replace('>= 3', '>= 2')},
+sz AS (SELECT DISTINCT n1, n2 FROM mp), ch AS (SELECT n1, n2, unnest(range(1 << CAST(n1 + n2 AS INT))) AS m FROM sz),
+rk AS (SELECT n1, n2, list_filter(range(CAST(n1 + n2 AS BIGINT)), lambda i: (m >> i) & 1 = 1) AS s FROM ch), nu AS (SELECT n1, n2, list_sum(s) + n1 - n1 * (n1 + 1) / 2 AS w, count(*)::DOUBLE AS k FROM rk WHERE len(s) = n1 GROUP BY ALL),
+ex AS (SELECT l_orderkey, sum(k) FILTER (w >= greatest(u, n1 * n2 - u)) / sum(k) AS tail FROM mp JOIN nu USING (n1, n2) GROUP BY l_orderkey)"""
+
+
+@query("t05b_mann_whitney_exact", f"WITH {SMALL_SQL} SELECT l_orderkey, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(u, 3) AS u, round(CASE WHEN ties = 0 THEN least(1.0, 2 * tail) ELSE p_value END, 6) AS p_value FROM mp JOIN ex USING (l_orderkey)")
+def _(t):
+    out = inference.mann_whitney(t.lineitem, "l_extendedprice", C("l_returnflag") == "N", ["l_orderkey"], min_n=2).where("p_value is not null")
+    return out.select("l_orderkey", "n1", "n2", F.round("u", 3).alias("u"), F.round("p_value", 6).alias("p_value"))
+
+
 @query("t06_spearman", """
 WITH s AS (SELECT l_returnflag AS g, l_quantity AS x, l_extendedprice AS y FROM lineitem),
 r AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2.0::DOUBLE AS ry FROM s)

@@ -47,6 +47,9 @@ SELECT gene, species, source, header, is_ref, translate(seq, '{UPPER}', '{TO_BAS
     "prx_cell": """
 SELECT gene, species, is_ref, unnest(range(length(seq))) AS col, unnest(string_split(seq, '')) AS ch FROM prx_aln
 WHERE length(seq) > 0""",
+    "prx_word": """
+SELECT 'name' AS gene, p_partkey AS species, upper(p_name) AS seq FROM part UNION ALL SELECT 'brand', p_partkey, upper(p_brand) FROM part UNION ALL SELECT 'type', p_partkey, upper(p_type) FROM part
+UNION ALL SELECT 'url', page_id, upper(url) FROM pages""",
     "prx_interval": """
 SELECT p_brand AS gene, p_size * 100 AS start_pos, p_size * 100 + 150 AS end_pos, min(p_partkey) AS ord
 FROM part GROUP BY 1, 2, 3""",
@@ -182,6 +185,15 @@ class Tables:
     def codon(self) -> DataFrame:
         return self.aln.withColumn("seq", F.translate("seq", UPPER, TO_BASE))
 
+    @cached_property
+    def word(self) -> DataFrame:
+        """Short alignments: names, brands and types of the same parts, and addresses of pages."""
+        def rows(df, gene, species, seq):
+            return df.select(F.lit(gene).alias("gene"), F.col(species).alias("species"), F.upper(seq).alias("seq"))
+
+        own = [rows(self.part, g, "p_partkey", f"p_{g}") for g in ("name", "brand", "type")]
+        return own[0].unionByName(own[1]).unionByName(own[2]).unionByName(rows(self.pages, "url", "page_id", "url"))
+
     @cached_property
     def interval(self) -> DataFrame:
         return self.part.groupBy(

@@ -6,14 +6,20 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.protein import RESIDUES
+from ..session import cut_lineage
 from .ranking import quantiles
 
 REFERENCE = "Homo_sapiens"
+#: Columns of a block and distinct rows of a chunk: a task holds their one-hot rows and the joint counts of two blocks.
+BLOCK_COLUMNS, CHUNK_ROWS = 24, 4096
+#: Asked pairs that are looked up in a row at once.
+SLICE_PAIRS = 4096
 
 
 def explode_alignment(aln: DataFrame, *keep: str) -> DataFrame:
@@ -126,52 +132,17 @@ def _entropy(counts: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     return agg.select(*keys, (F.log("_t") - F.col("_s") / F.col("_t")).alias(out))
 
 
-def mutual_information(cells: DataFrame, pairs: DataFrame, sizes: DataFrame, states: str = RESIDUES) -> DataFrame:
-    """Mutual information in nats of requested column pairs (gene, i, j) over 21 states.
+def mutual_information(aln: DataFrame, pairs: DataFrame, states: str = RESIDUES) -> DataFrame:
+    """Mutual information in nats of requested column pairs (gene, i, j), i <> j, over 21 states.
 
-    Any other character, and a row too short to reach the column, is the gap state. Only
-    cells of requested columns are joined; cells a short row lacks are never made up:
-    their counts follow from the column totals and ``sizes`` (gene, n_species).
+    Any other character, and a row too short to reach the column, is the gap state.
     """
-    st = F.when(F.col("ch").isin(*states), F.col("ch")).otherwise("-")
-    key, gap = ["gene", "i", "j"], F.lit("-")
-    one = pairs.select(*key).distinct()
-    cols = one.select("gene", F.explode(F.array("i", "j")).alias("col")).distinct()
-    used = cells.join(cols, ["gene", "col"]).select("gene", "species", "col", st.alias("st"))
-    left = used.select("gene", "species", F.col("col").alias("i"), F.col("st").alias("a"))
-    right = used.select("gene", "species", F.col("col").alias("j"), F.col("st").alias("b"))
-    both = one.join(left, ["gene", "i"]).join(right, ["gene", "species", "j"]).groupBy(*key, "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    per_col = used.groupBy("gene", "col", "st").agg(F.count(F.lit(1)).alias("n"))
-
-    def cell(a, b, n):
-        return F.struct(a.alias("a"), b.alias("b"), n.alias("n"))
-
-    def spread(df, *rows):
-        return df.select(*key, F.inline(F.array(*rows)))
-
-    n, a, b = F.col("n"), F.col("a"), F.col("b")
-    ends_i = one.join(per_col.select("gene", F.col("col").alias("i"), F.col("st").alias("a"), "n"), ["gene", "i"])
-    ends_j = one.join(per_col.select("gene", F.col("col").alias("j"), F.col("st").alias("b"), "n"), ["gene", "j"])
-    whole = one.join(sizes.select("gene", F.col("n_species").alias("n")), "gene")
-    # Rows present on one side only, and on neither, follow by subtraction.
-    joint = (
-        spread(both, cell(a, b, n), cell(a, gap, -n), cell(gap, b, -n), cell(gap, gap, n))
-        .unionByName(spread(ends_i, cell(a, gap, n), cell(gap, gap, -n)))
-        .unionByName(spread(ends_j, cell(gap, b, n), cell(gap, gap, -n)))
-        .unionByName(spread(whole, cell(gap, gap, n)))
-        .groupBy(*key, "a", "b").agg(F.sum("n").alias("n"))
-    )
-    h_ij = _entropy(joint, key, "h_ij")
-    column = (
-        per_col.select("gene", "col", "st", "n")
-        .unionByName(per_col.select("gene", "col", gap.alias("st"), (-n).alias("n")))
-        .unionByName(cols.join(sizes, "gene").select("gene", "col", gap.alias("st"), F.col("n_species").alias("n")))
-        .groupBy("gene", "col", "st").agg(F.sum("n").alias("n"))
-    )
-    h = _entropy(column, ["gene", "col"], "h")
-    out = h_ij.join(h.select("gene", F.col("col").alias("i"), F.col("h").alias("h_i")), ["gene", "i"]).join(
-        h.select("gene", F.col("col").alias("j"), F.col("h").alias("h_j")), ["gene", "j"])
-    return out.select(*key, F.greatest(F.lit(0.0), F.col("h_i") + F.col("h_j") - F.col("h_ij")).alias("mi"))
+    return pair_information(asked_counts(aln, pairs.where("i <> j"), states))
+
+
+def all_information(aln: DataFrame, block: int = BLOCK_COLUMNS, rows: int = CHUNK_ROWS, states: str = RESIDUES) -> DataFrame:
+    """Mutual information of every column pair (gene, i, j), i < j: the square of a gene's columns by definition."""
+    return pair_information(joint_counts(aln, block, rows, states))
 
 
 def apc_stats(mi: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -181,15 +152,110 @@ def apc_stats(mi: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def apc_correct(mi: DataFrame, row_means: DataFrame, grand: DataFrame) -> DataFrame:
-    """Product-corrected value; a column without a mean uses the grand mean, grand mean 0 keeps the raw one."""
-    gm = F.col("grand_mean")
+    """Product-corrected value; a column without a mean uses the grand mean, grand mean 0 keeps the raw one.
+
+    Pairs of two genes (a ``gene_b`` column) take each column's mean from its own gene and the mean of both grand means;
+    where either gene has no statistics the raw value stays.
+    """
+    other = "gene_b" if "gene_b" in mi.columns else "gene"
     out = (
-        mi.join(grand, ["gene"], "left")
+        mi.join(grand.select("gene", F.col("grand_mean").alias("_gi")), ["gene"], "left")
+        .join(grand.select(F.col("gene").alias(other), F.col("grand_mean").alias("_gj")), [other], "left")
         .join(row_means.select("gene", F.col("col").alias("i"), F.col("mean_mi").alias("_mi")), ["gene", "i"], "left")
-        .join(row_means.select("gene", F.col("col").alias("j"), F.col("mean_mi").alias("_mj")), ["gene", "j"], "left")
+        .join(row_means.select(F.col("gene").alias(other), F.col("col").alias("j"), F.col("mean_mi").alias("_mj")), [other, "j"], "left")
     )
+    gm = (F.col("_gi") + F.col("_gj")) / 2
     fixed = F.col("mi") - F.coalesce("_mi", gm) * F.coalesce("_mj", gm) / gm
-    return out.withColumn("mi_apc", F.when(gm.isNull() | (gm == 0), F.col("mi")).otherwise(fixed)).drop("_mi", "_mj", "grand_mean")
+    return out.withColumn("mi_apc", F.when(gm.isNull() | (gm == 0), F.col("mi")).otherwise(fixed)).select(*mi.columns, "mi_apc")
+
+
+def lengths(aln: DataFrame) -> DataFrame:
+    """(gene, n_species, length): rows of a gene and its longest row."""
+    return aln.groupBy("gene").agg(F.count(F.lit(1)).alias("n_species"), F.max(F.length("seq")).cast("bigint").alias("length"))
+
+
+def draw_pairs(sizes: DataFrame, draws: DataFrame, draw: str, seed: str) -> DataFrame:
+    """A seeded column pair (gene, <draw>, i, j), i < j, over the whole length of the gene for every row (gene, <draw>) of ``draws``.
+
+    All pairs of a gene have a number, pairs with a smaller j first; the draw is a hash of gene, draw and
+    seed over their count, and i and j follow from the number, so no table of pairs is made. Genes with fewer than two columns have none.
+    """
+    r, g = F.col("_r"), F.col("_g")
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", "gene", draw, F.lit(seed))), 1, 12), 16, 10).cast("bigint")
+    numbered = sizes.where("length > 1").join(draws.select("gene", draw), "gene").withColumn("_r", drawn % F.expr("length * (length - 1) div 2"))
+    rooted = numbered.withColumn("_g", F.floor((1 + F.sqrt(1 + 8 * r)) / 2))  # rounded: one off at most
+    at = rooted.withColumn("j", g - F.expr("cast(_g * (_g - 1) div 2 > _r as bigint)") + F.expr("cast(_g * (_g + 1) div 2 <= _r as bigint)"))
+    return at.select("gene", draw, (r - F.expr("j * (j - 1) div 2")).alias("i"), "j")
+
+
+def joint_counts(aln: DataFrame, block: int = BLOCK_COLUMNS, rows: int = CHUNK_ROWS, states: str = RESIDUES) -> DataFrame:
+    """(gene, i, j, ab, n): rows of a gene with state a in column i and b in column j, for all i <= j; ab = 21 a + b.
+
+    States are numbered from 1 in the order of ``states``; any other character, and a row too short for a column, is 0. Columns
+    are cut into blocks; equal pairs of pieces are one counted row, and a task takes a chunk of those. The counts of all its column
+    pairs are one product of one-hot rows. Chunks add up, so neither a gene's rows nor its columns come together in a task.
+    """
+    width = len(states) + 1
+    code = np.zeros(256, dtype=np.uint8)
+    code[np.frombuffer(states.encode(), dtype=np.uint8)] = np.arange(1, width)
+    clean = F.regexp_replace("seq", f"[^{states}]", "-")  # one byte a column
+    sized = aln.join(lengths(aln), "gene").where("length > 0").select("gene", "length", "n_species", clean.alias("seq"), F.ceil(F.col("length") / block).cast("int").alias("_nb"))
+    left = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("bi"))
+    both = left.select("*", F.explode(F.sequence("bi", F.col("_nb") - 1)).alias("bj"))
+    piece = [F.expr(f"substr(seq, {b} * {block} + 1, {block})").alias(f"p{b[1]}") for b in ("bi", "bj")]
+    pieces = both.select("gene", "length", "bi", "bj", *piece, F.ceil(F.col("n_species") / rows).alias("_nc"))
+    counted = pieces.groupBy("gene", "length", "bi", "bj", "pi", "pj", "_nc").agg(F.count(F.lit(1)).alias("n"))
+
+    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        gene, bi, bj = (key[k].as_py() for k in range(3))
+        length, n = table.column("length")[0].as_py(), table.column("n").to_numpy()
+
+        def one_hot(column: str, at: int) -> tuple[np.ndarray, int]:
+            size = min(block, length - at * block)
+            text = "".join(s[:size].ljust(size, "-") for s in table.column(column).to_pylist())
+            codes = code[np.frombuffer(text.encode(), dtype=np.uint8)].reshape(len(n), size)
+            return (codes[:, :, None] == np.arange(width)).reshape(len(n), size * width).astype(np.float64), size
+
+        (x, wide), (y, tall) = one_hot("pi", bi), one_hot("pj", bj)
+        joint = ((x * n[:, None]).T @ y).reshape(wide, width, tall, width)
+        i, a, j, b = np.nonzero(joint)
+        use = bi * block + i <= bj * block + j
+        i, a, j, b = i[use], a[use], j[use], b[use]
+        return pa.table({"gene": pa.array([gene] * len(i), pa.string()), "i": pa.array(bi * block + i, pa.int64()), "j": pa.array(bj * block + j, pa.int64()),
+                         "ab": pa.array(a * width + b, pa.int32()), "n": pa.array(joint[i, a, j, b].astype(np.int64))})
+
+    chunk = F.pmod(F.xxhash64("pi", "pj"), F.col("_nc")).alias("chunk")
+    found = counted.groupBy("gene", "bi", "bj", chunk).applyInArrow(count, "gene string, i long, j long, ab int, n long")
+    return found.groupBy("gene", "i", "j", "ab").agg(F.sum("n").alias("n"))
+
+
+def asked_counts(aln: DataFrame, pairs: DataFrame, states: str = RESIDUES) -> DataFrame:
+    """(gene, i, j, ab, n) as ``joint_counts`` has them, for asked pairs and, as pairs (c, c), for their columns.
+
+    A gene's asked pairs come to each of its rows as arrays of bounded length, and the row's characters are taken by place: no row a
+    character, and no text is shuffled.
+    """
+    one = cut_lineage(pairs.select("gene", "i", "j").distinct())
+    asked = one.unionByName(one.select("gene", F.explode(F.array("i", "j")).alias("i")).select("gene", "i", F.col("i").alias("j"))).distinct()
+    size = asked.groupBy("gene").agg(F.count(F.lit(1)).alias("_n"))
+    piece = F.pmod(F.xxhash64("i", "j"), F.ceil(F.col("_n") / SLICE_PAIRS))
+    slices = asked.join(size, "gene").groupBy("gene", piece.alias("_s")).agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("_asked"))
+    # Exploding an array of one keeps the split text a column of its own; otherwise it would be split anew for each pair.
+    rows = aln.join(slices, "gene").select("gene", "_asked", F.explode(F.array(F.split("seq", ""))).alias("_c"))
+
+    def state(at: Column) -> Column:
+        return F.coalesce(F.instr(F.lit(states), F.get("_c", at.cast("int"))), F.lit(0))
+
+    seen = F.transform("_asked", lambda p: F.struct(p.i.alias("i"), p.j.alias("j"), (state(p.i) * (len(states) + 1) + state(p.j)).alias("ab")))
+    return rows.select("gene", F.inline(seen)).groupBy("gene", "i", "j", "ab").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pair_information(counts: DataFrame) -> DataFrame:
+    """Mutual information in nats of each pair i <> j of ``counts``: H(i) + H(j) - H(i, j), not below 0."""
+    h = cut_lineage(_entropy(counts, ["gene", "i", "j"], "h"))
+    own = h.where("i = j")
+    out = h.where("i <> j").join(own.select("gene", "i", F.col("h").alias("h_i")), ["gene", "i"]).join(own.select("gene", "j", F.col("h").alias("h_j")), ["gene", "j"])
+    return out.select("gene", "i", "j", F.greatest(F.lit(0.0), F.col("h_i") + F.col("h_j") - F.col("h")).alias("mi"))
 
 
 def _block_pairs(aln: DataFrame, block: int) -> DataFrame:
@@ -351,14 +417,24 @@ def carriers(variants: DataFrame, cells: DataFrame, codons: DataFrame | None = N
     return out.join(clean, ["gene", "species", "col"]).select("vid", "species", (F.col("codon") == F.col("mut_codon")).alias("same_codon"))
 
 
-def mutual_information_between(cells: DataFrame, pairs: DataFrame, states: str = RESIDUES) -> DataFrame:
+def asked_cells(aln: DataFrame, asked: DataFrame, *keep: str) -> DataFrame:
+    """(gene, species, col, ch) of asked (gene, col) only, taken by place inside each row; ch is null where a row is too short."""
+    wanted = asked.select("gene", "col").distinct()
+    cols = wanted.groupBy("gene", F.floor(F.col("col") / SLICE_PAIRS).alias("_s")).agg(F.array_sort(F.collect_list("col")).alias("_cols"))
+    rows = aln.join(cols, "gene").select("gene", "species", *keep, "_cols", F.explode(F.array(F.split("seq", ""))).alias("_c"))
+    picked = F.transform("_cols", lambda c: F.struct(c.alias("col"), F.get("_c", c.cast("int")).alias("ch")))
+    return rows.select("gene", "species", *keep, F.inline(picked))
+
+
+def mutual_information_between(aln: DataFrame, pairs: DataFrame, states: str = RESIDUES) -> DataFrame:
     """Mutual information of columns of two genes (gene, i, gene_b, j) over their common species."""
-    st = F.when(F.col("ch").isin(*states), F.col("ch")).otherwise("-")
-    left = cells.select("gene", "species", F.col("col").alias("i"), st.alias("a"))
-    right = cells.select(F.col("gene").alias("gene_b"), "species", F.col("col").alias("j"), st.alias("b"))
     key = ["gene", "i", "gene_b", "j"]
-    joint = pairs.select(*key).distinct().join(left, ["gene", "i"]).join(right, ["gene_b", "species", "j"]).groupBy(*key, "a", "b").agg(
-        F.count(F.lit(1)).alias("n"))
+    one = pairs.select(*key).distinct()
+    asked = one.select("gene", F.col("i").alias("col")).unionByName(one.select(F.col("gene_b").alias("gene"), F.col("j").alias("col")))
+    st = asked_cells(aln, asked).withColumn("st", F.when(F.col("ch").isin(*states), F.col("ch")).otherwise("-"))
+    left = st.select("gene", "species", F.col("col").alias("i"), F.col("st").alias("a"))
+    right = st.select(F.col("gene").alias("gene_b"), "species", F.col("col").alias("j"), F.col("st").alias("b"))
+    joint = one.join(left, ["gene", "i"]).join(right, ["gene_b", "species", "j"]).groupBy(*key, "a", "b").agg(F.count(F.lit(1)).alias("n"))
     h = [_entropy(joint, key, "h_ij"), *[_entropy(joint.groupBy(*key, c).agg(F.sum("n").alias("n")), key, f"h_{c}") for c in "ab"]]
     mi = F.greatest(F.lit(0.0), F.col("h_a") + F.col("h_b") - F.col("h_ij"))
     return h[0].join(h[1], key).join(h[2], key).select(*key, mi.alias("mi"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,11 +69,57 @@ def chi_square(cells: DataFrame, row: str, col: str, n: str, keys: Sequence[str]
     ).withColumn("p_value", F.when(F.col("dof") == 0, 1.0).otherwise(chi2_sf("chi2", F.greatest(F.col("dof"), F.lit(1)))))
 
 
+#: The rank-sum test is exact if the smaller side has at most so many rows, no value is tied, and n1 n2 is within the second bound:
+#: beyond it the exact table of U would be too long, and the normal form takes over.
+EXACT_ROWS, EXACT_PRODUCT = 8, 2_000_000
+
+
+def exact_tail() -> Callable[..., Column]:
+    """P(U >= u) for sides of n1 and n2 rows without ties, as a function of the columns n1, n2, u (whole numbers).
+
+    The numbers of ways to reach each U are the coefficients of a Gaussian binomial: a product of m
+    factors (1 - q^(n + i)) / (1 - q^i), in whole numbers of any size; one half of the symmetric table is made, once for each pair of sizes in a batch.
+    """
+    from functools import lru_cache
+    from math import comb
+
+    def table(m: int, n: int) -> np.ndarray:
+        size = m * n // 2 + 1
+        ways = np.zeros(size, dtype=np.int64 if comb(m + n, m) < 1 << 62 else object)
+        ways[0] = 1
+        for i in range(1, m + 1):
+            for start in range(min(i, size)):
+                ways[start::i] = np.add.accumulate(ways[start::i])
+        for i in range(1, m + 1):
+            if n + i < size:
+                ways[n + i :] = ways[n + i :] - ways[: size - n - i].copy()
+        return np.add.accumulate(ways)
+
+    def tails(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
+        below = lru_cache(maxsize=64)(table)
+
+        def tail(a, b, x) -> float | None:
+            if pd.isna(a) or pd.isna(b) or pd.isna(x):
+                return None
+            m, n, x = int(min(a, b)), int(max(a, b)), int(x)
+            ways, every = below(m, n), comb(m + n, m)
+            if x <= 0:
+                return 1.0
+            if m * n - x < len(ways):
+                return int(ways[m * n - x]) / every
+            return (every - int(ways[x - 1])) / every
+
+        return pd.Series([tail(*row) for row in zip(n1, n2, u, strict=True)], dtype="float64")
+
+    return F.pandas_udf(tails, "double")
+
+
 def mann_whitney(df: DataFrame, value: str, group: Column, keys: Sequence[str] = (), side: str = "two-sided",
                  min_n: int = 3) -> DataFrame:
     """Rank-sum test of rows where ``group`` is true against the others.
 
-    Average ranks, tie and continuity correction; null below ``min_n`` rows a side.
+    Exact where one side has at most ``EXACT_ROWS`` rows and no value is tied; otherwise average ranks and the normal form with
+    tie and continuity correction. Null below ``min_n`` rows a side.
     """
     keys = list(keys)
     d = distribution(df, value, keys, g1=F.count_if(group))
@@ -83,17 +131,22 @@ def mann_whitney(df: DataFrame, value: str, group: Column, keys: Sequence[str] =
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
-    u = F.col("r1") - n1 * (n1 + 1) / 2
+    agg = agg.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2)
+    u, other = F.col("u"), n1 * n2 - F.col("u")
     sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     shift = u - n1 * n2 / 2
     if side == "greater":
-        p = normal_sf((shift - 0.5) / sigma)
+        p, at = normal_sf((shift - 0.5) / sigma), u
     elif side == "less":
-        p = normal_sf((-shift - 0.5) / sigma)
+        p, at = normal_sf((-shift - 0.5) / sigma), other
     else:
-        p = F.least(2 * normal_sf((F.abs(shift) - 0.5) / sigma), F.lit(1.0))
+        p, at = F.least(2 * normal_sf((F.abs(shift) - 0.5) / sigma), F.lit(1.0)), F.greatest(u, other)
     enough = (F.col("n1") >= min_n) & (F.col("n2") >= min_n)
-    return agg.select(*keys, "n1", "n2", u.alias("u"), F.when(enough & (sigma > 0), p).when(enough, 1.0).alias("p_value"))
+    few = enough & (F.col("ties") == 0) & (F.least("n1", "n2") <= EXACT_ROWS) & (F.col("n1") * F.col("n2") <= EXACT_PRODUCT)
+    # Only tests that are exact pass their numbers on; the others pass nulls.
+    tail = exact_tail()(F.when(few, F.col("n1")), F.when(few, F.col("n2")), F.when(few, at))
+    exact = F.least(2 * tail, F.lit(1.0)) if side == "two-sided" else tail
+    return agg.select(*keys, "n1", "n2", "u", F.when(few, exact).when(enough & (sigma > 0), p).when(enough, 1.0).alias("p_value"))
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -1,9 +1,8 @@
 """Ranks, quantiles and false-discovery control without a single-task sort.
 
-Everything here starts from the counted distinct values. A value falls in a
-part whose bounds are quantiles of those values, the running sums are taken inside a
-part, and the parts' totals (a thousand a group at most) carry the offsets. A group, or the whole
-table, is thus never sorted in one task, and equal values never meet in one row
+Everything here starts from the counted distinct values. They are dealt to parts by sampled bounds and written once, so
+that the parts stay as they are; running sums are taken inside a part, and the parts' totals carry the offsets. A
+group, or the whole table, is thus never sorted in one task, and equal values never meet in one row
 list: they are one counted row.
 """
 
@@ -18,25 +17,9 @@ from pyspark.sql.window import Window as W
 from ..session import cut_lineage
 
 
-#: Parts of a distribution; their bounds are quantiles of the counted values, so each holds about one of so many.
-PARTS = 1000
-
-
-def with_part(counted: DataFrame, value: str) -> DataFrame:
-    """Adds ``_b``, the part of a value: a whole number that grows with it, from bounds that follow the data."""
-    number = F.col(value).cast("double")
-    shares = [i / PARTS for i in range(1, PARTS)]
-    found = counted.agg(F.array_distinct(F.percentile_approx(number, shares, 10 * PARTS)).alias("bounds")).scalar()
-    bounds = F.col("_bounds")
-
-    def halve(s, _):
-        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
-        above = F.get(bounds, middle) < number
-        return F.when(s["low"] >= s["high"], s).when(above, F.struct((middle + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), middle.alias("high")))
-
-    steps = F.sequence(F.lit(1), F.lit(PARTS.bit_length() + 1))
-    part = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.coalesce(F.size(bounds), F.lit(0)).alias("high")), halve, lambda s: s["low"])
-    return counted.withColumn("_bounds", found).withColumn("_b", part).drop("_bounds")
+def in_parts(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """Rows dealt by sampled bounds of the order and written once, with ``_part``, a number that grows with it."""
+    return cut_lineage(rows.repartitionByRange(*order)).withColumn("_part", F.spark_partition_id())
 
 
 def positions(df: DataFrame, *order: Column, out: str = "place") -> DataFrame:
@@ -45,7 +28,7 @@ def positions(df: DataFrame, *order: Column, out: str = "place") -> DataFrame:
     Rows are dealt by sampled bounds of the order and written once, so that the parts stay as they are; the rows of
     a part are numbered in it, and the parts' sizes carry the offsets.
     """
-    dealt = cut_lineage(df.repartitionByRange(*order)).withColumn("_part", F.spark_partition_id())
+    dealt = in_parts(df, *order)
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -53,13 +36,8 @@ def positions(df: DataFrame, *order: Column, out: str = "place") -> DataFrame:
     return own.join(offsets, "_part").withColumn(out, F.col("_rn") + F.col("_off")).drop("_part", "_rn", "_off")
 
 
-def distribution(df: DataFrame, value: str, keys: Sequence[str] = (), weight: str | None = None, **extra: Column) -> DataFrame:
-    """One row per distinct value of a group.
-
-    Adds n_eq (rows with the value), n_below (rows of the group with a smaller one)
-    and n (rows of the group). Nulls are left out. ``weight`` is the row count a row
-    stands for (default one); ``extra`` names further aggregates.
-    """
+def _dealt_distribution(df: DataFrame, value: str, keys: Sequence[str] = (), weight: str | None = None, **extra: Column) -> DataFrame:
+    """``distribution`` with the part (``_part``) of each value."""
     keys = list(keys)
     counted = (
         df.where(F.col(value).isNotNull())
@@ -68,27 +46,37 @@ def distribution(df: DataFrame, value: str, keys: Sequence[str] = (), weight: st
             (F.sum(weight) if weight else F.count(F.lit(1))).alias("n_eq"), *[c.alias(k) for k, c in extra.items()]
         )
     )
-    counted = with_part(counted, value)
+    dealt = in_parts(counted, *keys, value)
     every = W.partitionBy(*(keys or [F.lit(0)]))
     offsets = (
-        counted.groupBy(*keys, "_b")
-        .agg(F.sum("n_eq").alias("_nb"))
+        dealt.groupBy(*keys, "_part")
+        .agg(F.sum("n_eq").alias("_np"))
         .select(
             *keys,
-            "_b",
-            F.coalesce(F.sum("_nb").over(every.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(
+            "_part",
+            F.coalesce(F.sum("_np").over(every.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(
                 "_before"
             ),
-            F.sum("_nb").over(every).alias("n"),
+            F.sum("_np").over(every).alias("n"),
         )
     )
-    inside = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    run = counted.withColumn("_run", F.coalesce(F.sum("n_eq").over(inside), F.lit(0)))
-    return run.join(offsets, [*keys, "_b"]).select(
-        *keys, value, "n_eq", (F.col("_before") + F.col("_run")).alias("n_below"), "n", *extra
+    inside = W.partitionBy(*keys, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    run = dealt.withColumn("_run", F.coalesce(F.sum("n_eq").over(inside), F.lit(0)))
+    return run.join(offsets, [*keys, "_part"]).select(
+        *keys, value, "n_eq", (F.col("_before") + F.col("_run")).alias("n_below"), "n", "_part", *extra
     )
 
 
+def distribution(df: DataFrame, value: str, keys: Sequence[str] = (), weight: str | None = None, **extra: Column) -> DataFrame:
+    """One row per distinct value of a group.
+
+    Adds n_eq (rows with the value), n_below (rows of the group with a smaller one)
+    and n (rows of the group). Nulls are left out. ``weight`` is the row count a row
+    stands for (default one); ``extra`` names further aggregates.
+    """
+    return _dealt_distribution(df, value, keys, weight, **extra).drop("_part")
+
+
 def attach(df: DataFrame, stats: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Give every row the statistics of its value; rows with a null value get nulls."""
     return df.join(stats, [*keys, value], "left")
@@ -144,17 +132,17 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence
 def bh_fdr(df: DataFrame, p: str, out: str = "fdr", keys: Sequence[str] = ()) -> DataFrame:
     """Benjamini-Hochberg values over all non-null p of a group (default: the whole table)."""
     keys = list(keys)
-    d = with_part(distribution(df, p, keys), p).select(*keys, p, (F.col(p) * F.col("n") / (F.col("n_below") + F.col("n_eq"))).alias("_raw"), "_b")
-    every = W.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("_b").desc())
+    d = _dealt_distribution(df, p, keys).select(*keys, p, (F.col(p) * F.col("n") / (F.col("n_below") + F.col("n_eq"))).alias("_raw"), "_part")
+    every = W.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("_part").desc())
     later = (
-        d.groupBy(*keys, "_b")
-        .agg(F.min("_raw").alias("_mb"))
-        .select(*keys, "_b", F.min("_mb").over(every.rowsBetween(W.unboundedPreceding, -1)).alias("_later"))
+        d.groupBy(*keys, "_part")
+        .agg(F.min("_raw").alias("_mp"))
+        .select(*keys, "_part", F.min("_mp").over(every.rowsBetween(W.unboundedPreceding, -1)).alias("_later"))
     )
-    inside = W.partitionBy(*keys, "_b").orderBy(F.col(p).desc()).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*keys, "_part").orderBy(F.col(p).desc()).rowsBetween(W.unboundedPreceding, 0)
     stats = (
         d.withColumn("_run", F.min("_raw").over(inside))
-        .join(later, [*keys, "_b"])
+        .join(later, [*keys, "_part"])
         .select(*keys, p, F.least(F.col("_run"), F.col("_later"), F.lit(1.0)).alias(out))
     )
     return attach(df, stats, p, keys)

@@ -16,7 +16,6 @@ def score_pairs(pairs: DataFrame, aln: DataFrame, di: DataFrame, m_eff: DataFram
     """``pairs``: (pair_id, gene, pos, gene_b, pos_b, genome, genome_b); ``di``: (gene, i, j, score), i < j;
     ``m_eff``: (gene, m_eff). ``stats`` are (row means, grand mean) for the product correction.
     """
-    cells = al.explode_alignment(aln).withColumn("col", C("col").cast("bigint"))
     pmap = al.position_map(al.reference_row(aln), "-X!*").select("gene", "pos", C("col").cast("bigint").alias("col"))
     size = aln.groupBy("gene").agg(F.count(F.lit(1)).alias("n_species"))
     ref = pmap.select("gene").distinct()
@@ -27,17 +26,19 @@ def score_pairs(pairs: DataFrame, aln: DataFrame, di: DataFrame, m_eff: DataFram
         .join(ref.withColumn("_r", F.lit(True)), ["gene"], "left").join(ref.select(C("gene").alias("gene_b"), F.lit(True).alias("_rb")), ["gene_b"], "left")
     )
     x = cut_lineage(x.withColumns({"inter": C("gene") != C("gene_b"), "i": F.least("ci", "cj"), "j": F.greatest("ci", "cj")}))
-    entropy = al.column_entropy(cells.join(x.select("gene", F.explode(F.array("ci", "cj")).alias("col")).distinct(), ["gene", "col"], "left_semi")).drop("n_residues")
+    cols = x.select("gene", C("ci").alias("col")).unionByName(x.select(C("gene_b").alias("gene"), C("cj").alias("col"))).where("col is not null").distinct()
+    entropy = al.column_entropy(al.asked_cells(aln, cols).where("ch is not null")).drop("n_residues")
     usable = x.where("ci is not null and cj is not null")
-    mi = cut_lineage(al.mutual_information(cells, usable.where("not inter and ci <> cj").select("gene", "i", "j"), size))
+    mi = cut_lineage(al.mutual_information(aln, usable.where("not inter and ci <> cj").select("gene", "i", "j")))
     mi = al.apc_correct(mi, *stats) if stats else mi.withColumn("mi_apc", C("mi"))
-    between = al.mutual_information_between(cells, usable.where("inter").select("gene", C("ci").alias("i"), "gene_b", C("cj").alias("j")))
+    between = al.mutual_information_between(aln, usable.where("inter").select("gene", C("ci").alias("i"), "gene_b", C("cj").alias("j")))
+    between = al.apc_correct(between, *stats) if stats else between.withColumn("mi_apc", C("mi"))
     scored = percentile_strict(di, "score", di, "score", ["gene"], "di_percentile")
     out = (
         x.join(entropy.select("gene", C("col").alias("ci"), C("entropy").alias("dar_entropy")), ["gene", "ci"], "left")
         .join(entropy.select(C("gene").alias("gene_b"), C("col").alias("cj"), C("entropy").alias("contact_entropy")), ["gene_b", "cj"], "left")
         .join(mi.withColumn("inter", F.lit(False)), ["gene", "i", "j", "inter"], "left")
-        .join(between.select("gene", C("i").alias("ci"), "gene_b", C("j").alias("cj"), C("mi").alias("_mb")), ["gene", "ci", "gene_b", "cj"], "left")
+        .join(between.select("gene", C("i").alias("ci"), "gene_b", C("j").alias("cj"), C("mi").alias("_mb"), C("mi_apc").alias("_ab")), ["gene", "ci", "gene_b", "cj"], "left")
         .join(scored.withColumn("inter", F.lit(False)), ["gene", "i", "j", "inter"], "left")
         .join(m_eff, ["gene"], "left").join(di.select("gene").distinct().withColumn("_di", F.lit(True)), ["gene"], "left")
     )
@@ -52,4 +53,4 @@ def score_pairs(pairs: DataFrame, aln: DataFrame, di: DataFrame, m_eff: DataFram
         F.when(intra & ~no_result & C("score").isNull(), "pair_not_scored"), F.when(intra & ~no_result & (C("m_eff") < C("n_species")), "insufficient_meff")))
     note = F.coalesce(alone, F.array_join(parts, ","))
     return out.select("pair_id", "gene", "pos", "gene_b", "pos_b", "inter", "dar_entropy", "contact_entropy", F.coalesce("mi", "_mb").alias("mi_raw"),
-                      F.coalesce("mi_apc", "_mb").alias("mi_apc"), C("score").alias("di"), "di_percentile", "m_eff", note.alias("note"))
+                      F.coalesce("mi_apc", "_ab").alias("mi_apc"), C("score").alias("di"), "di_percentile", "m_eff", note.alias("note"))
