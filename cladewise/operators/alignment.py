@@ -229,25 +229,36 @@ def joint_counts(aln: DataFrame, block: int = BLOCK_COLUMNS, rows: int = CHUNK_R
     return found.groupBy("gene", "i", "j", "ab").agg(F.sum("n").alias("n"))
 
 
-def asked_counts(aln: DataFrame, pairs: DataFrame, states: str = RESIDUES) -> DataFrame:
-    """(gene, i, j, ab, n) as ``joint_counts`` has them, for asked pairs and, as pairs (c, c), for their columns.
+def slices(items: DataFrame, *fields: str) -> DataFrame:
+    """(gene, _s, _asked): a gene's items as sorted arrays of bounded length, for looking them up inside its rows."""
+    size = items.groupBy("gene").agg(F.count(F.lit(1)).alias("_n"))
+    piece = F.pmod(F.xxhash64(*fields), F.ceil(F.col("_n") / SLICE_PAIRS))
+    return items.join(size, "gene").groupBy("gene", piece.alias("_s")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_asked"))
+
 
-    A gene's asked pairs come to each of its rows as arrays of bounded length, and the row's characters are taken by place: no row a
-    character, and no text is shuffled.
+def gather(aln: DataFrame, sliced: DataFrame, *keep: str) -> DataFrame:
+    """Rows of ``aln`` with a slice of their gene's items and ``_c``, their characters as an array. No text is shuffled, no row a character made.
+
+    The array is exploded out of an array of one, which keeps it a column of its own; inside an expression it would be split anew for each item.
     """
+    return aln.join(sliced, "gene").select("gene", *keep, "_s", "_asked", F.explode(F.array(F.split("seq", ""))).alias("_c"))
+
+
+def char_at(column: Column) -> Column:
+    return F.get("_c", column.cast("int"))
+
+
+def asked_counts(aln: DataFrame, pairs: DataFrame, states: str = RESIDUES) -> DataFrame:
+    """(gene, i, j, ab, n) as ``joint_counts`` has them, for asked pairs and, as pairs (c, c), for their columns."""
     one = cut_lineage(pairs.select("gene", "i", "j").distinct())
     asked = one.unionByName(one.select("gene", F.explode(F.array("i", "j")).alias("i")).select("gene", "i", F.col("i").alias("j"))).distinct()
-    size = asked.groupBy("gene").agg(F.count(F.lit(1)).alias("_n"))
-    piece = F.pmod(F.xxhash64("i", "j"), F.ceil(F.col("_n") / SLICE_PAIRS))
-    slices = asked.join(size, "gene").groupBy("gene", piece.alias("_s")).agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("_asked"))
-    # Exploding an array of one keeps the split text a column of its own; otherwise it would be split anew for each pair.
-    rows = aln.join(slices, "gene").select("gene", "_asked", F.explode(F.array(F.split("seq", ""))).alias("_c"))
 
     def state(at: Column) -> Column:
-        return F.coalesce(F.instr(F.lit(states), F.get("_c", at.cast("int"))), F.lit(0))
+        return F.coalesce(F.instr(F.lit(states), char_at(at)), F.lit(0))
 
     seen = F.transform("_asked", lambda p: F.struct(p.i.alias("i"), p.j.alias("j"), (state(p.i) * (len(states) + 1) + state(p.j)).alias("ab")))
-    return rows.select("gene", F.inline(seen)).groupBy("gene", "i", "j", "ab").agg(F.count(F.lit(1)).alias("n"))
+    rows = gather(aln, slices(asked, "i", "j")).select("gene", F.inline(seen))
+    return rows.groupBy("gene", "i", "j", "ab").agg(F.count(F.lit(1)).alias("n"))
 
 
 def pair_information(counts: DataFrame) -> DataFrame:
@@ -419,11 +430,8 @@ def carriers(variants: DataFrame, cells: DataFrame, codons: DataFrame | None = N
 
 def asked_cells(aln: DataFrame, asked: DataFrame, *keep: str) -> DataFrame:
     """(gene, species, col, ch) of asked (gene, col) only, taken by place inside each row; ch is null where a row is too short."""
-    wanted = asked.select("gene", "col").distinct()
-    cols = wanted.groupBy("gene", F.floor(F.col("col") / SLICE_PAIRS).alias("_s")).agg(F.array_sort(F.collect_list("col")).alias("_cols"))
-    rows = aln.join(cols, "gene").select("gene", "species", *keep, "_cols", F.explode(F.array(F.split("seq", ""))).alias("_c"))
-    picked = F.transform("_cols", lambda c: F.struct(c.alias("col"), F.get("_c", c.cast("int")).alias("ch")))
-    return rows.select("gene", "species", *keep, F.inline(picked))
+    picked = F.transform("_asked", lambda x: F.struct(x.col.alias("col"), char_at(x.col).alias("ch")))
+    return gather(aln, slices(asked.select("gene", "col").distinct(), "col"), "species", *keep).select("gene", "species", *keep, F.inline(picked))
 
 
 def mutual_information_between(aln: DataFrame, pairs: DataFrame, states: str = RESIDUES) -> DataFrame:
@@ -440,15 +448,32 @@ def mutual_information_between(aln: DataFrame, pairs: DataFrame, states: str = R
     return h[0].join(h[1], key).join(h[2], key).select(*key, mi.alias("mi"))
 
 
-def codon_cells(nt_cells: DataFrame, nt_map: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gene, species, codon_no, codon) at the columns of the reference codons asked for.
+def codon_columns(nt_map: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(gene, codon_no, c0, c1, c2): columns of the bases of the reference codons asked for (gene, codon_no from 1), whole codons only.
 
-    ``nt_map`` is the position map of the reference bases; ``wanted`` holds (gene, codon_no),
-    numbered from 1. Only codons with all three reference bases have a row.
+    ``nt_map`` is the position map of the reference bases.
     """
     n = F.floor((F.col("pos") - 1) / 3) + 1
-    at = nt_map.select("gene", "col", n.alias("codon_no"), ((F.col("pos") - 1) % 3).alias("_o")).join(wanted.distinct(), ["gene", "codon_no"])
-    hit = nt_cells.join(at, ["gene", "col"])
-    parts = [F.max(F.when(F.col("_o") == i, F.col("ch"))).alias(f"_{i}") for i in range(3)]
-    whole = hit.groupBy("gene", "species", "codon_no").agg(*parts)
-    return whole.where("_0 is not null and _1 is not null and _2 is not null").select("gene", "species", "codon_no", F.concat("_0", "_1", "_2").alias("codon"))
+    at = nt_map.select("gene", "col", n.alias("codon_no"), ((F.col("pos") - 1) % 3).alias("_o")).join(wanted.select("gene", "codon_no").distinct(), ["gene", "codon_no"])
+    parts = [F.max(F.when(F.col("_o") == i, F.col("col"))).alias(f"c{i}") for i in range(3)]
+    return at.groupBy("gene", "codon_no").agg(*parts).where("c0 is not null and c1 is not null and c2 is not null")
+
+
+def asked_codons(nt_aln: DataFrame, columns: DataFrame, *keep: str) -> DataFrame:
+    """(gene, species, codon_no, codon) of the codons in ``columns``; rows that end before a codon have none."""
+    picked = F.transform("_asked", lambda x: F.struct(x.codon_no.alias("codon_no"), F.concat(char_at(x.c0), char_at(x.c1), char_at(x.c2)).alias("codon")))
+    return gather(nt_aln, slices(columns, "codon_no", "c0", "c1", "c2"), "species", *keep).select("gene", "species", *keep, F.inline(picked)).where("codon is not null")
+
+
+def residues_with_codons(aa_aln: DataFrame, nt_aln: DataFrame, asked: DataFrame, columns: DataFrame) -> DataFrame:
+    """(gene, species, col, codon_no, ch, codon) of asked (gene, col, codon_no), from the two alignments of the same species.
+
+    Each row's residues, and each row's codons, are taken as one array in the same order; the arrays meet by gene, species and slice.
+    """
+    items = asked.select("gene", "col", "codon_no").distinct().join(columns, ["gene", "codon_no"])
+    sliced = cut_lineage(slices(items, "col", "codon_no", "c0", "c1", "c2"))
+    residues = gather(aa_aln, sliced, "species").select("gene", "species", "_s", F.transform("_asked", lambda x: F.struct(x.col.alias("col"), x.codon_no.alias("codon_no"), char_at(x.col).alias("ch"))).alias("_r"))
+    codons = gather(nt_aln, sliced, "species").select("gene", "species", "_s", F.transform("_asked", lambda x: F.concat(char_at(x.c0), char_at(x.c1), char_at(x.c2))).alias("_k"))
+    both = residues.join(codons, ["gene", "species", "_s"])
+    zipped = F.zip_with("_r", "_k", lambda r, k: F.struct(r.col.alias("col"), r.codon_no.alias("codon_no"), r.ch.alias("ch"), k.alias("codon")))
+    return both.select("gene", "species", F.inline(zipped))
