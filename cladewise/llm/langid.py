@@ -220,7 +220,7 @@ def identify(docs: DataFrame, labelled: DataFrame, vocabulary_name: str = "piece
                     scores = np.concatenate((scores, forward(new, vocabulary(vocabulary_name), shared.value)))
                     known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
                 for words in found:
-                    if not words:
+                    if not any(any(map(str.isalpha, w)) for w in words):  # other numerals stand in words, too
                         preds.append("und")
                         best.append(0.0)
                         continue

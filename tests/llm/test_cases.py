@@ -355,3 +355,9 @@ def test_arrow_chunks_cover_slices():
     texts = pa.array(["drop", "a b c d e f", None, "a b c d e f", ""]).slice(1)
     one, none, two, empty = near_dups.shingle_sets(texts)
     assert list(one) == list(two) and not len(none) and not len(empty)
+
+
+def test_numerals_are_no_language(spark):
+    docs = spark.createDataFrame([(1, prose(60, 1), "xx"), (2, "² ½ Ⅷ", None), (3, "12 _ 7", None), (4, "½ a", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, docs).collect()}
+    assert got[2] == got[3] == ("und", 0.0) and got[1][0] == got[4][0] == "xx"
