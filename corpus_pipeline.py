@@ -29,8 +29,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    return near_dups.keep_one(docs.select(*COLUMNS))
+    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) stays: the one with the smallest id."""
+    return near_dups.keep_one(docs.select(*COLUMNS), percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
