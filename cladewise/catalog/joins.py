@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lookup, ranges, spatial
+from .alignments import ASKED_SQL, asked
 from .registry import query
 
 C = F.col
@@ -263,14 +264,9 @@ def _(t):
     return _models(t).select("vid", "l_partkey", "l_suppkey", "l_linenumber", "model_status")
 
 
-@query("j26_pair_column_join", """
-WITH p AS (SELECT DISTINCT p_size * 7 AS i, p_size * 7 + p_partkey % 5 + 1 AS j FROM part)
-SELECT gene, i, j, substr(seq, CAST(i + 1 AS INT), 1) AS a, substr(seq, CAST(j + 1 AS INT), 1) AS b, count(*) AS n FROM prx_aln JOIN p ON j < length(seq) GROUP BY ALL""")
+@query("j26_pair_column_join", f"""
+WITH {ASKED_SQL}, p AS (SELECT DISTINCT gene, i, j FROM ask) SELECT p.gene, i, j, substr(seq, CAST(i + 1 AS INT), 1) AS a, substr(seq, CAST(j + 1 AS INT), 1) AS b, count(*) AS n FROM prx_aln s JOIN p ON p.gene = s.gene AND j < length(seq) GROUP BY ALL""")
 def _(t):
-    from ..operators.alignment import explode_alignment
+    from ..operators.alignment import pair_columns
 
-    cells = explode_alignment(t.aln)
-    p = t.part.select((C("p_size") * 7).cast("bigint").alias("i"), (C("p_size") * 7 + C("p_partkey") % 5 + 1).alias("j")).distinct()
-    left = cells.select("gene", "species", C("col").cast("bigint").alias("i"), C("ch").alias("a"))
-    right = cells.select("gene", "species", C("col").cast("bigint").alias("j"), C("ch").alias("b"))
-    return left.join(p, "i").join(right, ["gene", "species", "j"]).groupBy("gene", "i", "j", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return pair_columns(t.aln, asked(t))

@@ -261,6 +261,13 @@ def asked_counts(aln: DataFrame, pairs: DataFrame, states: str = RESIDUES) -> Da
     return rows.groupBy("gene", "i", "j", "ab").agg(F.count(F.lit(1)).alias("n"))
 
 
+def pair_columns(aln: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(gene, i, j, a, b, n): rows of a gene by their characters in two asked columns; rows that end before either column don't count."""
+    seen = F.transform("_asked", lambda p: F.struct(p.i.alias("i"), p.j.alias("j"), char_at(p.i).alias("a"), char_at(p.j).alias("b")))
+    rows = gather(aln, slices(pairs.select("gene", "i", "j").distinct(), "i", "j")).select("gene", F.inline(seen)).where("a is not null and b is not null")
+    return rows.groupBy("gene", "i", "j", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
 def pair_information(counts: DataFrame) -> DataFrame:
     """Mutual information in nats of each pair i <> j of ``counts``: H(i) + H(j) - H(i, j), not below 0."""
     h = cut_lineage(_entropy(counts, ["gene", "i", "j"], "h"))

@@ -251,3 +251,32 @@ def branch_cooccurrence(matched_a: DataFrame, matched_b: DataFrame, keys: Sequen
     b = matched_b.groupBy(*keys).agg(F.count_if(~F.col("matched")).alias("b"))
     out = a.join(b, list(keys), "left").fillna(0, ["b"]).withColumn("d", F.col("c"))
     return out.withColumn("branch_p", F.when(F.col("a") == 0, 1.0).otherwise(fisher_exact("a", "b", "c", "d")))
+
+
+def branch_evidence(pairs: DataFrame, origins: DataFrame, leaves: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Branch test of every pair (pair, tree, pos, alt, contact_tree, contact_pos, contact_alt): (pair, a, b, c, d, branch_p).
+
+    ``origins`` holds (tree, pos, alt, node), the nodes above which a residue arose; ``leaves`` (tree, node, leaf). An origin of the
+    variant and one of the contact are the same branch if their clades share more than ``threshold`` of the larger. Only clades with an
+    origin are compared, each two of them once, however many pairs they stand in. Pairs without an origin of the variant have no row.
+    """
+    own = origins.distinct()
+    first = pairs.select("pair", "tree", "pos", "alt").join(own, ["tree", "pos", "alt"]).select("pair", F.col("tree").alias("tree_a"), F.col("node").alias("node_a")).distinct()
+    second = pairs.select("pair", F.col("contact_tree").alias("tree"), F.col("contact_pos").alias("pos"), F.col("contact_alt").alias("alt")).join(own, ["tree", "pos", "alt"])
+    second = second.select("pair", F.col("tree").alias("tree_b"), F.col("node").alias("node_b")).distinct()
+
+    def clades(nodes: DataFrame, side: str) -> DataFrame:
+        named = leaves.select(F.col("tree").alias(f"tree_{side}"), F.col("node").alias(f"node_{side}"), "leaf")
+        return named.join(nodes.select(f"tree_{side}", f"node_{side}").distinct(), [f"tree_{side}", f"node_{side}"], "left_semi")
+
+    a, b = clades(first, "a"), clades(second, "b")
+    sizes = [x.groupBy(f"tree_{s}", f"node_{s}").agg(F.count(F.lit(1)).alias(f"size_{s}")) for x, s in ((a, "a"), (b, "b"))]
+    shared = a.join(b, "leaf").groupBy("tree_a", "node_a", "tree_b", "node_b").agg(F.count(F.lit(1)).alias("shared"))
+    same = shared.join(sizes[0], ["tree_a", "node_a"]).join(sizes[1], ["tree_b", "node_b"]).where(F.col("shared") / F.greatest("size_a", "size_b") > threshold)
+    met = first.join(same, ["tree_a", "node_a"]).join(second, ["pair", "tree_b", "node_b"]).select("pair", "tree_a", "node_a", "tree_b", "node_b")
+
+    def matched(rows: DataFrame, side: str) -> DataFrame:
+        key = ["pair", f"tree_{side}", f"node_{side}"]
+        return rows.join(met.select(*key).distinct().withColumn("matched", F.lit(True)), key, "left").select("pair", F.coalesce("matched", F.lit(False)).alias("matched"))
+
+    return branch_cooccurrence(matched(first, "a"), matched(second, "b"), ["pair"])
