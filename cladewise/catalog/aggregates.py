@@ -326,8 +326,8 @@ def _(t):
 
 
 @query("a33_shift_diagnosis", """
-WITH r AS (SELECT gene, replace(seq, '-', '') AS seq FROM prx_codon WHERE is_ref), v AS (SELECT vid, pos, ref, ['en', 'de', 'fr', 'es'][CAST(1 + pkey % 4 AS INT)] AS gene FROM prx_variant WHERE length(alt) = 1)
-SELECT CASE WHEN pos > length(seq) THEN 'out_of_bounds' WHEN substr(seq, pos, 1) = ref THEN 'match' WHEN pos > 1 AND substr(seq, pos - 1, 1) = ref THEN 'shift_minus_1' WHEN pos < length(seq) AND substr(seq, pos + 1, 1) = ref THEN 'shift_plus_1' ELSE 'none' END AS shift, count(*) AS n FROM v JOIN r USING (gene) GROUP BY 1""")
+WITH r AS (SELECT gene, replace(seq, '-', '') AS seq FROM prx_codon WHERE is_ref), v AS (SELECT vid, pos, ref, ['en', 'de', 'fr', 'es'][CAST(1 + pkey % 4 AS INT)] AS gene FROM prx_variant)
+SELECT CASE WHEN pos > length(seq) THEN 'out_of_bounds' WHEN substr(seq, pos, length(ref)) = ref THEN 'match' WHEN pos > 1 AND substr(seq, pos - 1, length(ref)) = ref THEN 'shift_minus_1' WHEN pos < length(seq) AND substr(seq, pos + 1, length(ref)) = ref THEN 'shift_plus_1' ELSE 'none' END AS shift, count(*) AS n FROM v JOIN r USING (gene) GROUP BY 1""")
 def _(t):
     from .scalars import _on_reference
 

@@ -212,9 +212,9 @@ def _(t):
     return lookup.anti_update(old, new, ["o_orderkey"])
 
 
-@query("j19_resume_todo", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j19_resume_todo", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
 def _(t):
-    return lookup.resume_todo(t.customer.select("c_custkey"), t.orders.select(C("o_custkey").alias("c_custkey")), "c_custkey")
+    return lookup.resume_todo(t.customer.select("c_custkey"), t.orders.where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(C("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("j20_taxid_match", """

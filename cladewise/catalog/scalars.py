@@ -343,26 +343,26 @@ def _(t):
 
 @query("p26_mutate_codon", """
 WITH r AS (SELECT gene, replace(seq, '-', '') AS seq FROM prx_codon WHERE is_ref),
-v AS (SELECT vid, pos, alt, ['en', 'de', 'fr', 'es'][CAST(1 + pkey % 4 AS INT)] AS gene, pos - (pos - 1) % 3 AS st FROM prx_variant WHERE length(alt) = 1)
-SELECT vid, CASE WHEN st + 2 <= length(seq) THEN substr(seq, st, pos - st) || alt || substr(seq, pos + 1, st + 2 - pos) END AS codon FROM v JOIN r USING (gene)""")
+v AS (SELECT vid, pos, alt, ['en', 'de', 'fr', 'es'][CAST(1 + pkey % 4 AS INT)] AS gene, pos - (pos - 1) % 3 AS st FROM prx_variant)
+SELECT vid, CASE WHEN length(alt) = 1 AND st + 2 <= length(seq) THEN substr(seq, st, pos - st) || alt || substr(seq, pos + 1, st + 2 - pos) END AS codon FROM v JOIN r USING (gene)""")
 def _(t):
     return _on_reference(t).select("vid", protein.mutate_codon("seq", "pos", "alt").alias("codon"))
 
 
 def _on_reference(t):
-    """Single-base variants beside the ungapped reference sequence of one of four genes."""
+    """Variants beside the ungapped reference sequence of one of four genes."""
     ref = t.codon.where("is_ref").select(C("gene").alias("aln_gene"), F.translate("seq", "-", "").alias("seq"))
     langs = F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")])
-    v = t.variant.where(F.length("alt") == 1).withColumn("aln_gene", F.element_at(langs, (C("pkey") % 4 + 1).cast("int")))
+    v = t.variant.withColumn("aln_gene", F.element_at(langs, (C("pkey") % 4 + 1).cast("int")))
     return v.join(ref, "aln_gene")
 
 
 @query("p27_frame_consequence", f"""
 WITH r AS (SELECT gene, replace(seq, '-', '') AS seq FROM prx_codon WHERE is_ref),
-v AS (SELECT vid, pos, alt, ['en', 'de', 'fr', 'es'][CAST(1 + pkey % 4 AS INT)] AS gene, linestatus FROM prx_variant WHERE length(alt) = 1),
+v AS (SELECT vid, pos, alt, ['en', 'de', 'fr', 'es'][CAST(1 + pkey % 4 AS INT)] AS gene, linestatus FROM prx_variant),
 c AS (SELECT *, pos BETWEEN 100 AND 1500 AS inside, CASE WHEN linestatus = 'O' THEN pos - 100 + 1 ELSE 1500 - pos + 1 END AS cds FROM v JOIN r USING (gene)),
 d AS (SELECT *, cds - (cds - 1) % 3 AS st FROM c),
-e AS (SELECT *, CASE WHEN NOT inside THEN 'position_outside_gene' WHEN cds > length(seq) THEN 'position_outside_sequence' WHEN st + 2 > length(seq) THEN 'partial_terminal_codon' END AS bad,
+e AS (SELECT *, CASE WHEN length(alt) <> 1 THEN 'not_single_base' WHEN NOT inside THEN 'position_outside_gene' WHEN cds > length(seq) THEN 'position_outside_sequence' WHEN st + 2 > length(seq) THEN 'partial_terminal_codon' END AS bad,
  substr(seq, st, 3) AS rc, substr(seq, st, cds - st) || alt || substr(seq, cds + 1, st + 2 - cds) AS ac FROM d),
 f AS (SELECT *, CASE WHEN bad IS NULL THEN COALESCE({codon_map_sql(2)}[rc], 'X') ELSE '' END AS ref_aa, CASE WHEN bad IS NULL THEN COALESCE({codon_map_sql(2)}[ac], 'X') ELSE '' END AS alt_aa FROM e)
 SELECT vid, COALESCE(bad, CASE WHEN ref_aa = 'X' OR alt_aa = 'X' THEN 'translation_failed' ELSE 'resolved' END) AS status,
@@ -615,14 +615,15 @@ def _(t):
 
 
 @query("p49_sanitize_sequence", """
-SELECT species, md5(translate(seq, 'XZQ', '---')) AS clean_md5, CASE WHEN is_ref THEN 'Homo_sapiens|9606|hs | ' || gene ELSE source || '|UNKNOWN|' || species || ' | ' || gene END AS new_header FROM prx_aln""")
+SELECT species, md5(translate(seq, 'XZQ', '---')) AS clean_md5, CASE WHEN is_ref THEN 'Homo_sapiens|9606|hs | ' || gene ELSE source || '|' || COALESCE(n_name, 'UNKNOWN') || '|' || species || ' | ' || gene END AS new_header
+FROM prx_aln LEFT JOIN nation ON source = 'src' || n_nationkey AND n_nationkey % 3 <> 1""")
 def _(t):
     from ..operators.alignment import rewrite_header
 
-    no_ids = t.nation.select(C("n_name").alias("species"), C("n_nationkey").cast("string").alias("taxid"))
+    ids = t.nation.where("n_nationkey % 3 <> 1").select(F.concat(F.lit("src"), "n_nationkey").alias("species"), C("n_name").alias("taxid"))
     src = t.aln.withColumns({"acc": F.when(C("is_ref"), "hs").otherwise(C("species").cast("string")), "seq_id": C("species"),
                              "species": F.when(C("is_ref"), "Homo_sapiens").otherwise(C("source"))})
-    return rewrite_header(src, no_ids).select(C("seq_id").alias("species"), F.md5(text.sanitize_sequence("seq", "XZQ")).alias("clean_md5"), "new_header")
+    return rewrite_header(src, ids).select(C("seq_id").alias("species"), F.md5(text.sanitize_sequence("seq", "XZQ")).alias("clean_md5"), "new_header")
 
 
 @query("p50_first_non_null", """

@@ -25,10 +25,8 @@ def _text(df, path, **options):
 def _(t):
     root = scratch_path(t.spark, "dated")
     for status, day in (("F", "2024-01-01"), ("O", "2024-02-01"), ("P", "2024-03-01")):
-        _tsv(t.orders.where(C("o_orderstatus") == status).select("o_orderkey", "o_orderpriority").coalesce(1), f"{root}/orders_{day}.tsv")
-    df = readers.read_tsv_dated(t.spark, f"{root}/orders_*.tsv/part-*", by_date=False, schema="o_orderkey long, o_orderpriority string")
-    # The date stands in the folder name here, as Spark writes a folder per table.
-    return df.withColumn("source_version", F.regexp_extract(F.col("_metadata.file_path"), r"orders_(\d{4}-\d{2}-\d{2})", 1))
+        _tsv(t.orders.where(C("o_orderstatus") == status).select("o_orderkey", "o_orderpriority"), f"{root}/orders_{day}.tsv")
+    return readers.read_tsv_dated(t.spark, f"{root}/orders_*.tsv/part-*", by_date=True, schema="o_orderkey long, o_orderpriority string")
 
 
 @query("s02_read_lenient_tsv", "SELECT CAST(c_custkey AS VARCHAR) AS key, c_name || ' ' || chr(233) AS name, CASE WHEN c_custkey % 5 <> 1 THEN c_mktsegment END AS segment FROM customer WHERE c_custkey % 7 <> 0")
@@ -132,7 +130,7 @@ SELECT count(*) AS n, round(sum(s_acctbal), 2) AS total_c1, round(sum(s_suppkey
 def _(t):
     k = C("s_suppkey")
     line = F.when(k % 10 == 3, "Pdb\tSD\ttotal energy").otherwise(F.concat_ws("\t", "s_name", C("s_acctbal").cast("string"), (k / 2.0).cast("string")))
-    path = _text(t.supplier.select(line.alias("value")).coalesce(1), scratch_path(t.spark, "fxout"))
+    path = _text(t.supplier.select(line.alias("value")), scratch_path(t.spark, "fxout"))
     out = readers.read_summaries(t.spark, path, named="total energy")
     return out.agg(F.count("*").alias("n"), F.round(F.sum("c1"), 2).alias("total_c1"), F.round(F.sum("c2"), 2).alias("total_c2"), F.round(F.sum("named"), 2).alias("total_named"))
 
@@ -192,42 +190,76 @@ def _(t):
     return files.upsert_manifest(man("o_orderstatus <> 'P'"), man("o_orderstatus = 'P'"))
 
 
-def _parts(t):
-    path = scratch_path(t.spark, "parts")
-    t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice").repartition(4, "o_orderkey").write.csv(f"{path}/orders_2024-05-01", sep="\t", header=True)
-    return f"{path}/orders_2024-05-01/part-*.csv"
+def _by_priority(t, name):
+    """The orders' keys and states as sorted lines, one text file a priority."""
+    root = scratch_path(t.spark, name)
+    line = F.concat_ws("\t", "o_orderkey", "o_orderstatus")
+    rows = t.orders.select(line.alias("value"), C("o_orderpriority").alias("p"), "o_orderkey").repartition("p").sortWithinPartitions("p", "o_orderkey").drop("o_orderkey")
+    rows.write.partitionBy("p").text(root)
+    return root
 
 
-@query("s19_register_files")
-def _(t):
-    return files.register_files(t.spark, _parts(t)).select("size", "sha256", "kind")
+def _part():
+    return F.url_decode(F.regexp_extract("path", "p=([^/]+)/", 1)).alias("part")
 
 
-@query("s20_validate_files")
+@query("s19_register_files", """
+SELECT o_orderpriority AS part, sum(length(l))::BIGINT AS size, sha256(string_agg(l, '' ORDER BY o_orderkey)) AS sha256, 'txt' AS kind, '' AS date FROM (SELECT o_orderpriority, o_orderkey, o_orderkey || chr(9) || o_orderstatus || chr(10) AS l FROM orders) GROUP BY 1""")
 def _(t):
-    path = scratch_path(t.spark, "validate")
-    t.events.select("props").repartition(2).write.text(f"{path}/a")
-    t.orders.repartition(2).write.parquet(f"{path}/b")
-    found = files.validate_files(t.spark, f"{path}/[ab]/part-*")
-    return found.groupBy("kind", "status").agg(F.count("*").alias("n"))
+    return files.register_files(t.spark, f"{_by_priority(t, 'register')}/p=*/part-*").select(_part(), "size", "sha256", "kind", "date")
 
 
-@query("s21_check_freeze")
+@query("s20_validate_files", """
+WITH p AS (SELECT DISTINCT o_orderpriority AS part FROM orders), n AS (SELECT DISTINCT 'n' || n_nationkey AS part, n_nationkey % 3 AS r FROM nation)
+SELECT part, 'txt' AS kind, 'ok' AS status FROM p UNION ALL SELECT part, 'gz', 'invalid:not a gzip file' FROM p UNION ALL SELECT part, 'parquet', 'invalid:not a parquet file' FROM p UNION ALL SELECT part, 'zip', 'invalid:not a zip file' FROM p
+UNION ALL SELECT part, 'json', CASE WHEN r = 2 THEN 'invalid:not JSON' ELSE 'ok' END FROM n UNION ALL SELECT 'compressed', 'gz', 'ok' FROM region UNION ALL SELECT 'columns', 'parquet', 'ok' FROM region""")
+def _(t):
+    """Files of every kind, whole ones and ones of another kind than they say."""
+    root = _by_priority(t, "validate")
+    text = [files.validate_files(t.spark, f"{root}/p=*/part-*", kind) for kind in (None, "gz", "parquet", "zip")]
+    k, other = C("n_nationkey"), scratch_path(t.spark, "validate")
+    doc = F.to_json(F.array(F.struct("n_nationkey", "n_name", F.array(F.lit(1.5), F.lit(None)).alias("x"), (k > 3).alias("y"))))
+    shape = F.when(k % 3 == 1, F.concat(F.lit(' {"a" : '), doc, F.lit(' , "b\\n": {} }'))).when(k % 3 == 2, F.concat(doc, F.lit(","))).otherwise(doc)
+    t.nation.select(shape.alias("value"), F.concat(F.lit("n"), k).alias("p")).repartition("p").write.partitionBy("p").text(f"{other}/json")
+    t.region.repartition("r_regionkey").write.option("maxRecordsPerFile", 1).csv(f"{other}/gz", compression="gzip")
+    t.region.repartition("r_regionkey").write.option("maxRecordsPerFile", 1).parquet(f"{other}/pq")
+    out = files.validate_files(t.spark, f"{other}/json/p=*/part-*", "json")
+    for found in text:
+        out = out.unionByName(found)
+    rest = files.validate_files(t.spark, f"{other}/gz/part-*.gz").select(F.lit("compressed").alias("part"), "kind", "status").unionByName(
+        files.validate_files(t.spark, f"{other}/pq/part-*.parquet").select(F.lit("columns").alias("part"), "kind", "status"))
+    return out.select(_part(), "kind", "status").unionByName(rest)
+
+
+@query("s21_check_freeze", """
+WITH k(kind, status, failures, warnings) AS (VALUES ('as it was', 'pass', '', ''), ('gone', 'fail', 'missing artifact', ''), ('longer', 'fail', 'byte_size', ''), ('other', 'fail', 'sha256 differs', ''), ('rows', 'fail', 'row_count', ''), ('uncounted', 'pass', '', 'row_count not checked'))
+SELECT o_orderpriority AS part, kind, status, failures, warnings, n_rows FROM k, (SELECT o_orderpriority, count(*) AS n_rows FROM orders GROUP BY 1)""")
 def _(t):
-    glob = _parts(t)
+    """Files of the orders, one folder a priority, registered as they are and altered in every way the check knows."""
+    root = scratch_path(t.spark, "freeze")
+    t.orders.repartition("o_orderpriority").select("o_orderkey", "o_orderpriority", C("o_orderpriority").alias("p")).write.partitionBy("p").csv(root, sep="\t", header=True)
+    glob = f"{root}/p=*/part-*.csv"
     seen = files.register_files(t.spark, glob).join(files.count_lines(t.spark, glob), "path")
-    reg = seen.select(F.lit("s1").alias("stage_id"), "path", F.lit("true").alias("frozen"), C("size").alias("byte_size"), "sha256", (C("n_rows") + 1).cast("string").alias("row_count"))
-    return files.check_freeze(reg, seen).groupBy("status").agg(F.count("*").alias("n"))
+    kinds = {"as it was": {}, "gone": {"path": F.concat("path", F.lit(".gone"))}, "longer": {"byte_size": C("byte_size") + 1}, "other": {"sha256": F.sha2(C("sha256").cast("binary"), 256)},
+             "rows": {"row_count": (C("n_rows") + 1).cast("string")}, "uncounted": {}}
+    own = seen.select(F.lit("true").alias("frozen"), "path", C("size").alias("byte_size"), "sha256", C("n_rows").cast("string").alias("row_count"), "n_rows", _part())
+    out = None
+    for kind, change in kinds.items():
+        found = seen.withColumn("n_rows", F.lit(None).cast("bigint")) if kind == "uncounted" else seen
+        reg = own.withColumns(change).withColumn("stage_id", F.concat_ws("|", "part", F.lit(kind), C("n_rows").cast("string"))).drop("n_rows", "part")
+        part = files.check_freeze(reg, found).select(F.split("stage_id", r"\|").alias("s"), "status", "failures", "warnings")
+        out = part if out is None else out.unionByName(part)
+    named = F.regexp_replace("failures", r"(byte_size|row_count) .*", "$1")
+    return out.select(C("s")[0].alias("part"), C("s")[1].alias("kind"), "status", named.alias("failures"), "warnings", C("s")[2].cast("bigint").alias("n_rows"))
 
 
 @query("s22_read_transcript_select", "SELECT 'G' || o_custkey AS gene, 'NM_' || max(o_orderkey) AS transcript FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1")
 def _(t):
     k = C("o_orderkey").cast("string")
     line = F.concat_ws("\t", F.lit("#a"), F.lit("b"), F.lit("c"), F.concat(F.lit("G"), C("o_custkey").cast("string")), F.lit("e"),
-                       F.when(C("o_orderstatus") == "O", F.concat(F.lit("NR_"), k)).otherwise(F.concat(F.lit("NM_"), k, F.lit(".3"))), F.lit("g"), F.lit("ENST1.2"))
-    # Sorted and written as one file, so that the last row of a gene is its newest order.
-    src = t.orders.orderBy("o_orderkey").coalesce(1).select(line.alias("value"))
-    return readers.read_transcript_select(t.spark, _text(src, scratch_path(t.spark, "select"), compression="gzip"))[0]
+                       F.when(C("o_orderstatus") == "O", F.concat(F.lit("NR_"), k)).otherwise(F.concat(F.lit("NM_"), k, F.lit(".3"))), F.lit("g"), F.lit("ENST1.2"), k)
+    path = _text(t.orders.select(line.alias("value")), scratch_path(t.spark, "select"), compression="gzip")
+    return readers.read_transcript_select(t.spark, path, order_field=8)[0]
 
 
 @query("s23_read_gene_coords", """

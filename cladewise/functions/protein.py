@@ -55,13 +55,13 @@ def codon_start(pos) -> Column:
 def mutate_codon(seq, pos, alt) -> Column:
     """The codon around a 1-based position with the new base put in.
 
-    Null where the position or any of the three bases lies outside the sequence.
+    Null where the position or any of the three bases lies outside the sequence, and where ``alt`` is not one base.
     """
     seq, pos = _col(seq), _col(pos).cast("int")
     start = codon_start(pos)
     codon = F.substring(seq, start, F.lit(3))
     mutated = F.overlay(codon, F.upper(_col(alt)), ((pos - 1) % 3 + 1).cast("int"), F.lit(1))
-    return F.when((pos >= 1) & (start + 2 <= F.length(seq)), mutated)
+    return F.when((pos >= 1) & (start + 2 <= F.length(seq)) & (F.length(_col(alt)) == 1), mutated)
 
 
 def genomic_to_cds(pos, start, end, strand) -> Column:
@@ -85,7 +85,8 @@ def frame_consequence(seq, pos, start, end, strand, alt, table: int = 2) -> Colu
     first = codon_start(cds)
     ref_codon = F.substring(seq, first.cast("int"), F.lit(3))
     bad = (
-        F.when(~inside, "position_outside_gene")
+        F.when(~F.coalesce(F.length(alt) == 1, F.lit(False)), "not_single_base")
+        .when(~inside, "position_outside_gene")
         .when(cds > F.length(seq), "position_outside_sequence")
         .when(first + 2 > F.length(seq), "partial_terminal_codon")
     )

@@ -94,7 +94,7 @@ def qc_check(name: str, df: DataFrame, failed: Column, ident: str, examples: int
 def exception_audit(df: DataFrame, status: str, subset: str, keys: Sequence[str]) -> DataFrame:
     """Unresolved and warning rows counted per key; null keys keep their row."""
     chosen = df.where((C(status) == "unresolved") | (C(subset) == "classified_warning"))
-    return chosen.groupBy(*keys).agg(F.count("*").alias("n_rows")).orderBy(C("n_rows").desc(), *keys)
+    return chosen.groupBy(*keys).agg(F.count("*").alias("n_rows"))
 
 
 def mismatch_summary(df: DataFrame, kind: str, kinds: Sequence[str]) -> DataFrame:
@@ -133,7 +133,7 @@ def model_support_summary(df: DataFrame, key: str, role: str, status: str, flags
 
 
 def composite_key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(C("n").desc(), *keys)
+    return df.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
 def mapping_rate(df: DataFrame, ident: str, eligible: Column, mapped: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -319,11 +319,11 @@ def source_stats(df: DataFrame, dims: Sequence[str], top: int | None = None) ->
 
 
 def shift_diagnosis(df: DataFrame, seq: str, pos: str, base: str) -> DataFrame:
-    """Where the expected base is found: at the position, one before, one after, nowhere."""
+    """Where the expected bases (one or more) are found: at the position, one before, one after, nowhere."""
     s, p = C(seq), C(pos).cast("int")
 
     def at(i):
-        return F.when((p + i >= 1) & (p + i <= F.length(s)), F.substring(s, p + i, F.lit(1))) == C(base)
+        return F.when((p + i >= 1) & (p + i <= F.length(s)), F.substring(s, p + i, F.length(base))) == C(base)
 
     cls = (
         F.when((p < 1) | (p > F.length(s)), "out_of_bounds").when(at(0), "match").when(at(-1), "shift_minus_1").when(at(1), "shift_plus_1").otherwise("none")

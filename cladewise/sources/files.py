@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,29 +18,159 @@ def upsert_manifest(old: DataFrame, new: DataFrame, resource: str = "resource",
     return both.join(newest, resource).withColumn("active", F.col(path) == F.col("_p")).drop("_p")
 
 
+#: Bytes of a file that a task holds at once.
+CHUNK = 1 << 20
+
+
+def _listed(spark: SparkSession, glob: str) -> DataFrame:
+    """(path, size) of the files of a glob, and of the folders it names; contents are not read. Spark's own file sources leave out empty files."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = list(system.globStatus(pattern) or [])
+    found = [f for s in found for f in (system.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    rows = [(f.getPath().toString(), f.getLen()) for f in found if f.isFile()]
+    return spark.createDataFrame(rows, "path string, size long")
+
+
+def _file_reader(work: Callable[..., list], columns: list[str]):
+    """A mapInPandas function over (path, size[, kind]): ``work(opened, *rest)`` for each file, one value a column.
+
+    ``opened()`` gives the file as a seekable stream. All that the tasks need is inside, so that it travels with the plan.
+    """
+
+    def opener(path: str):
+        from pyarrow import fs
+
+        if path.startswith("file:"):
+            return lambda: fs.LocalFileSystem().open_input_file("/" + path[5:].lstrip("/"))
+        system, inner = fs.FileSystem.from_uri(path)
+        return lambda: system.open_input_file(inner)
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = [(*row, *work(opener(row[0]), *row[2:])) for row in frame.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=[*frame.columns, *columns])
+
+    return run
+
+
 def register_files(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, name, size, sha256, date, kind) of every file of a glob."""
-    files = spark.read.format("binaryFile").load(glob)
+    """(path, name, size, sha256, date, kind) of every file of a glob. A file of any size is hashed in chunks by one task."""
+    chunk = CHUNK
+
+    def digest(opened) -> list:
+        import hashlib
+
+        found = hashlib.sha256()
+        with opened() as stream:
+            while part := stream.read(chunk):
+                found.update(part)
+        return [found.hexdigest()]
+
+    files = _listed(spark, glob).mapInPandas(_file_reader(digest, ["sha256"]), "path string, size long, sha256 string")
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.when(name.rlike(r"\.t(sv|xt)\.gz$"), "tsv.gz").otherwise(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    return files.select("path", name.alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"),
-                        file_date(name).alias("date"), kind.alias("kind"))
-
-
-def validate_files(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, kind, status): ok, or invalid: and the reason, by kind of file."""
-    files = spark.read.format("binaryFile").load(glob)
-    kind = F.regexp_extract("path", r"\.([^.]+)$", 1)
-    magic = F.hex(F.substring("content", 1, 4))
-    text = F.decode("content", "UTF-8")
-    bad = (
-        F.when((kind == "gz") & ~magic.startswith("1F8B"), "not a gzip file")
-        .when((kind == "zip") & ~magic.isin("504B0304", "504B0506"), "not a zip file")
-        .when(kind.isin("tsv", "csv", "txt") & (F.col("length") == 0), "empty file")
-        .when((kind == "json") & F.try_parse_json(text).isNull(), "not JSON")
-        .when((kind == "parquet") & (magic != "50415231"), "not a parquet file")
-    )
-    return files.select("path", kind.alias("kind"), F.coalesce(F.concat(F.lit("invalid:"), bad), F.lit("ok")).alias("status"))
+    return files.select("path", name.alias("name"), "size", "sha256", file_date(name).alias("date"), kind.alias("kind"))
+
+
+def validate_files(spark: SparkSession, glob: str, kind: str | None = None) -> DataFrame:
+    """(path, kind, status): ok, or invalid: and the reason, by kind of file (its suffix unless ``kind`` is given).
+
+    Files are read in chunks: gzip files are inflated to their end, members of a zip file are tested one by one, JSON is
+    checked token by token, parquet files at both ends, text files for a first byte.
+    """
+    chunk = CHUNK
+
+    def check(opened, kind: str) -> list:
+        import re
+        import zipfile
+        import zlib
+
+        def chunks(stream):
+            while part := stream.read(chunk):
+                yield part
+
+        def gzip(stream):
+            inflate, any_byte = zlib.decompressobj(31), False
+            try:
+                for part in chunks(stream):
+                    any_byte = True
+                    while part:
+                        inflate.decompress(part)
+                        part = inflate.unused_data
+                        if inflate.eof and part:
+                            inflate = zlib.decompressobj(31)
+            except zlib.error:
+                return "not a gzip file"
+            return None if any_byte and inflate.eof else "truncated gzip file"
+
+        def json(stream):
+            """Tokens against a stack of open brackets; ``want`` says what may come next."""
+            token = re.compile(r'\s*("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|[\[\]{},:])')
+            decode, rest, stack, want, ended = __import__("codecs").getincrementaldecoder("utf-8")(), "", [], "value", False
+            while not ended:
+                part = stream.read(chunk)
+                ended = not part
+                try:
+                    rest += decode.decode(part, ended)
+                except UnicodeDecodeError:
+                    return "not JSON"
+                at = 0
+                while found := token.match(rest, at):
+                    t = found[1]
+                    if not ended and t not in "[]{},:" and found.end() > len(rest) - 8:
+                        break  # a number may go on in the next chunk
+                    at = found.end()
+                    if t in "]}" and stack and stack[-1] + t in ("[]", "{}") and (want == "next" or want == "first"):
+                        stack.pop()
+                        want = "next" if stack else "end"
+                    elif t == "," and want == "next":
+                        want = "value" if stack[-1] == "[" else "key"
+                    elif t == ":" and want == "colon":
+                        want = "value"
+                    elif t[0] == '"' and (want == "key" or (want == "first" and stack[-1] == "{")):
+                        want = "colon"
+                    elif t not in "]},:" and (want == "value" or (want == "first" and stack[-1] == "[")):
+                        if t in "[{":
+                            stack.append(t)
+                            want = "first"
+                        else:
+                            want = "next" if stack else "end"
+                    else:
+                        return "not JSON"
+                rest = rest[at:]
+                if len(rest) > 64 * chunk:
+                    return "not JSON"
+            return None if want == "end" and not rest.strip() else "not JSON"
+
+        def parquet(stream):
+            size = stream.size()
+            head = stream.read(4)
+            stream.seek(max(size - 4, 0))
+            return None if size >= 12 and head == stream.read(4) == b"PAR1" else "not a parquet file"
+
+        def archive(stream):
+            try:
+                with zipfile.ZipFile(stream) as members:
+                    return "damaged zip member" if members.testzip() else None
+            except (zipfile.BadZipFile, ValueError):  # a stream too short to seek in
+                return "not a zip file"
+
+        def lines(stream):
+            return None if stream.read(1) else "empty file"
+
+        checks = {"gz": gzip, "json": json, "parquet": parquet, "zip": archive, "tsv": lines, "csv": lines, "txt": lines}
+        if kind not in checks:
+            return ["ok"]
+        with opened() as stream:
+            bad = checks[kind](stream)
+        return [f"invalid:{bad}" if bad else "ok"]
+
+    suffix = F.regexp_extract("path", r"\.([^.]+)$", 1) if kind is None else F.lit(kind)
+    rows = _listed(spark, glob).withColumn("kind", suffix)
+    return rows.mapInPandas(_file_reader(check, ["status"]), "path string, size long, kind string, status string").select("path", "kind", "status")
 
 
 def check_freeze(registry: DataFrame, observed: DataFrame, stages: list[str] | None = None) -> DataFrame:
@@ -66,5 +198,6 @@ def check_freeze(registry: DataFrame, observed: DataFrame, stages: list[str] | N
 
 def count_lines(spark: SparkSession, glob: str, header: bool = True) -> DataFrame:
     """(path, n_rows) of line files, less the header line."""
-    lines = spark.read.text(glob).select(F.col("_metadata.file_path").alias("path"))
+    # The path of a text row is URL-encoded, that of a listing is not.
+    lines = spark.read.text(glob).select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"))
     return lines.groupBy("path").agg(F.greatest(F.count(F.lit(1)) - (1 if header else 0), F.lit(0)).alias("n_rows"))

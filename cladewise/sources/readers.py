@@ -30,8 +30,9 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 def newest_file(files: DataFrame, by_date: bool = False) -> DataFrame:
     """One row: the newest file of a listing and the date in its name."""
-    order = F.struct(file_date("path"), "modificationTime", "path") if by_date else F.struct("modificationTime", "path")
-    return files.agg(F.max_by("path", order).alias("path")).withColumn("version", file_date("path"))
+    table = F.regexp_replace("path", "/part-[^/]*$", "")  # the parts of a folder that Spark wrote are one file
+    order = F.struct(file_date(table), "modificationTime", table.alias("t")) if by_date else F.struct("modificationTime", table.alias("t"))
+    return files.agg(F.max_by(table, order).alias("path")).withColumn("version", file_date("path"))
 
 
 def read_tsv_dated(spark: SparkSession, glob: str, by_date: bool = False, **options) -> DataFrame:
@@ -288,10 +289,14 @@ def read_pair_scores(spark: SparkSession, path: str, genes: DataFrame, aliases:
         "asked_gene", "gene", *[c for c in scores.columns if c != "gene"])
 
 
-def read_transcript_select(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(gene → transcript) and (transcript → transcript) of a selection file; last row wins."""
-    raw = spark.read.text(path).select(
-        F.transform(F.split(F.regexp_replace("value", "^#+", ""), "\t"), lambda t: F.trim(t)).alias("c"), line_order().alias("o"))
+def read_transcript_select(spark: SparkSession, path: str, order_field: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(gene → transcript) and (transcript → transcript) of a selection file; last row wins.
+
+    Rows are ordered by their place in the file, or by a numeric field where the rows stand in several files.
+    """
+    cells = F.transform(F.split(F.regexp_replace("value", "^#+", ""), "\t"), lambda t: F.trim(t))
+    order = line_order() if order_field is None else F.get(cells, F.lit(order_field)).try_cast("bigint")
+    raw = spark.read.text(path).select(cells.alias("c"), order.alias("o"))
 
     def f(i):
         return F.get("c", F.lit(i))
