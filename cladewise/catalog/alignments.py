@@ -175,26 +175,34 @@ def _(t):
     return ranking.percentile_strict(ask, "mi", every, "mi", ["gene"]).select("gene", "i", "j", F.round("percentile", 6).alias("percentile"))
 
 
-BENCH_SQL = """bt AS (SELECT item_id AS s, regexp_replace(text, '[^A-Za-z]', '-', 'g') AS q FROM benchmark),
-bp AS (SELECT a.s AS s1, b.s AS s2, a.q AS q1, b.q AS q2, unnest(range(1, least(length(a.q), length(b.q)) + 1)) AS k FROM bt a JOIN bt b ON a.s < b.s),
-bi AS (SELECT s1, s2, COALESCE(sum(CASE WHEN x = y THEN 1 ELSE 0 END)::DOUBLE / nullif(count(*), 0), 0) AS pid FROM (SELECT s1, s2, substr(q1, k, 1) AS x, substr(q2, k, 1) AS y FROM bp) WHERE x <> '-' AND y <> '-' GROUP BY 1, 2)"""
+#: Every pair of rows of the short alignments, by distinct rows with their copies.
+PAIRS_SQL = """wq AS (SELECT gene, translate(seq, '0123456789#:/.?=&_', '------------------') AS seq FROM prx_word), wd AS (SELECT gene, seq, count(*) AS c, row_number() OVER (PARTITION BY gene ORDER BY seq) AS s FROM wq GROUP BY 1, 2),
+bp AS (SELECT a.gene, a.s AS s1, b.s AS s2, a.c AS c1, b.c AS c2, a.seq AS q1, b.seq AS q2, unnest(range(1, least(length(a.seq), length(b.seq)) + 1)) AS k FROM wd a JOIN wd b ON a.gene = b.gene AND a.s < b.s),
+bx AS (SELECT gene, s1, s2, c1, c2, substr(q1, CAST(k AS INT), 1) AS x, substr(q2, CAST(k AS INT), 1) AS y FROM bp),
+bi AS (SELECT gene, s1, s2, c1, c2, COALESCE((count(*) FILTER (x = y AND x <> '-' AND y <> '-'))::DOUBLE / nullif(count(*) FILTER (x <> '-' AND y <> '-'), 0), 0) AS pid FROM bx GROUP BY ALL)"""
 
 
-def _bench(t):
-    return t.benchmark.select(F.lit("bench").alias("gene"), C("item_id").alias("species"), F.regexp_replace("text", "[^A-Za-z]", "-").alias("seq"))
+def _short(t):
+    """The short alignments with digits and punctuation as gaps."""
+    return t.word.withColumn("seq", F.translate("seq", "0123456789#:/.?=&_", "-" * 18))
 
 
 @query("m11_pairwise_identity", f"""
-WITH {BENCH_SQL} SELECT 'bench' AS gene, count(*) AS n, round(avg(pid), 6) AS mean, round(quantile_cont(pid, 0.05), 6) AS p5, round(quantile_cont(pid, 0.25), 6) AS p25, round(quantile_cont(pid, 0.5), 6) AS median, round(quantile_cont(pid, 0.75), 6) AS p75, round(quantile_cont(pid, 0.95), 6) AS p95 FROM bi""")
+WITH {PAIRS_SQL}, h AS (SELECT gene, pid, sum(c1 * c2)::BIGINT AS w FROM bi GROUP BY 1, 2 UNION ALL SELECT gene, CASE WHEN replace(seq, '-', '') = '' THEN 0.0 ELSE 1.0 END, c * (c - 1) // 2 FROM wd WHERE c > 1),
+g AS (SELECT gene, pid, sum(w)::BIGINT AS w FROM h GROUP BY 1, 2), r AS (SELECT *, sum(w) OVER (PARTITION BY gene ORDER BY pid) AS hi, sum(w) OVER (PARTITION BY gene) AS n FROM g),
+q AS (SELECT gene, n, p, (n - 1) * p AS spot FROM (SELECT DISTINCT gene, n FROM r), (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS p)),
+v AS (SELECT q.gene, q.n, p, spot, min(pid) FILTER (hi > floor(spot)) AS low, min(pid) FILTER (hi > ceil(spot)) AS up FROM q JOIN r ON r.gene = q.gene GROUP BY ALL), z AS (SELECT gene, n, p, low + (up - low) * (spot - floor(spot)) AS v FROM v), m AS (SELECT gene, sum(pid * w) / sum(w) AS mean FROM g GROUP BY 1)
+SELECT gene, n::BIGINT AS n, round(any_value(mean), 6) AS mean, round(max(v) FILTER (p = 0.05), 6) AS p5, round(max(v) FILTER (p = 0.25), 6) AS p25, round(max(v) FILTER (p = 0.5), 6) AS median, round(max(v) FILTER (p = 0.75), 6) AS p75, round(max(v) FILTER (p = 0.95), 6) AS p95 FROM z JOIN m USING (gene) GROUP BY 1, 2""")
 def _(t):
-    return al.pairwise_identity(_bench(t), block=16).select("gene", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p5", "p25", "median", "p75", "p95")])
+    return al.pairwise_identity(_short(t)).select("gene", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p5", "p25", "median", "p75", "p95")])
 
 
 @query("m12_effective_count", f"""
-WITH {BENCH_SQL}, t AS (SELECT unnest([0.04, 0.06, 0.08, 0.1])::DOUBLE AS threshold), e AS (SELECT s1 AS s, pid FROM bi UNION ALL SELECT s2, pid FROM bi), w AS (SELECT bt.s, threshold, 1 + count(e.pid) AS k FROM bt CROSS JOIN t LEFT JOIN e ON e.s = bt.s AND e.pid >= threshold GROUP BY 1, 2)
-SELECT 'bench' AS gene, threshold, round(sum(1.0::DOUBLE / k), 6) AS m_eff, count(*) AS n_rows FROM w GROUP BY 2""")
+WITH {PAIRS_SQL}, t AS (SELECT unnest([0.2, 0.5, 0.8, 0.9, 0.95])::DOUBLE AS threshold), e AS (SELECT gene, s1 AS s, pid, c2 AS c FROM bi UNION ALL SELECT gene, s2, pid, c1 FROM bi),
+w AS (SELECT wd.gene, wd.s, wd.c, threshold, CASE WHEN replace(any_value(seq), '-', '') = '' THEN 1 ELSE wd.c END + COALESCE(sum(e.c) FILTER (e.pid >= threshold), 0) AS k FROM wd CROSS JOIN t LEFT JOIN e ON e.gene = wd.gene AND e.s = wd.s GROUP BY 1, 2, 3, 4)
+SELECT gene, threshold, round(sum(c::DOUBLE / k), 6) AS m_eff, sum(c)::BIGINT AS n_rows FROM w GROUP BY 1, 2""")
 def _(t):
-    return al.effective_count(_bench(t), [0.04, 0.06, 0.08, 0.1], block=16).select("gene", "threshold", F.round("m_eff", 6).alias("m_eff"), "n_rows")
+    return al.effective_count(_short(t), [0.2, 0.5, 0.8, 0.9, 0.95]).select("gene", "threshold", F.round("m_eff", 6).alias("m_eff"), "n_rows")
 
 
 @query("m12b_effective_count_documents")

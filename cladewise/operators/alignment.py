@@ -316,21 +316,36 @@ def _identities(pdf: pd.DataFrame, gaps: bytes):
         yield sa, sb[use], ((mb == ra) & ok).sum(axis=1)[use], ok.sum(axis=1)[use]
 
 
+def _distinct_rows(aln: DataFrame) -> DataFrame:
+    """Equal rows as one counted row, named by their smallest species."""
+    return aln.groupBy("gene", "seq").agg(F.min("species").alias("species"), F.count(F.lit(1)).alias("copies"))
+
+
 def pairwise_identity(aln: DataFrame, gaps: str = "-", block: int = 128) -> DataFrame:
     """Distribution of identity over all row pairs of a gene: mean and five quantiles.
 
-    Every pair is compared, so the work is the square of a gene's rows; tasks return counts per identity value.
+    Equal rows are one counted row, so the work is the square of a gene's distinct rows; tasks return counts per identity value.
     """
-    rows = aln.select("gene", "species", "seq")
+    uniq = _distinct_rows(aln)
     gap_bytes = gaps.encode()
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.where(n > 0, m / np.maximum(n, 1), 0.0) for _, _, m, n in _identities(pdf, gap_bytes)]
-        values, counts = np.unique(np.concatenate(parts) if parts else np.array([]), return_counts=True)
-        return pd.DataFrame({"gene": pdf["gene"].iat[0], "identity": values, "w": counts.astype("int64")})
+        copies = dict(zip(pdf["species"], pdf["copies"]))
+        values, weights = [np.zeros(0)], [np.zeros(0, dtype=np.int64)]
+        for sa, sb, m, n in _identities(pdf, gap_bytes):
+            values.append(np.where(n > 0, m / np.maximum(n, 1), 0.0))
+            weights.append(copies[sa] * np.array([copies[s] for s in sb], dtype=np.int64))
+        found, at = np.unique(np.concatenate(values), return_inverse=True)
+        total = np.zeros(len(found), dtype=np.int64)
+        np.add.at(total, at, np.concatenate(weights))
+        return pd.DataFrame({"gene": pdf["gene"].iat[0], "identity": found, "w": total})
 
-    schema = "gene string, identity double, w bigint"
-    hist = _block_pairs(rows, block).groupBy("gene", "bi", "bj").applyInPandas(count, schema)
+    blocks = _block_pairs(uniq.select("gene", "species", "seq"), block).join(uniq.select("gene", "species", "copies"), ["gene", "species"])
+    across = blocks.groupBy("gene", "bi", "bj").applyInPandas(count, "gene string, identity double, w bigint")
+    # Copies of a row agree in all they have; rows all of gaps have nothing to agree in.
+    some = F.length(F.translate("seq", gaps, "")) > 0
+    within = uniq.where("copies > 1").select("gene", F.when(some, 1.0).otherwise(0.0).alias("identity"), F.expr("copies * (copies - 1) div 2").alias("w"))
+    hist = cut_lineage(across.unionByName(within).groupBy("gene", "identity").agg(F.sum("w").alias("w")))
     probs = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
     mean = hist.groupBy("gene").agg((F.sum(F.col("identity") * F.col("w")) / F.sum("w")).alias("mean"))
     return quantiles(hist, "identity", probs, ["gene"], weight="w").join(mean, "gene")
@@ -342,7 +357,7 @@ def effective_count(aln: DataFrame, thresholds: Sequence[float], strict: bool =
     Equal rows are one counted row; the comparison is spread over block pairs, which
     return one count per row and threshold.
     """
-    uniq = aln.groupBy("gene", "seq").agg(F.min("species").alias("species"), F.count(F.lit(1)).alias("copies"))
+    uniq = _distinct_rows(aln)
     gap_bytes, cuts = gaps.encode(), [float(t) for t in thresholds]
     # A row all of gaps has identity 0 with every row, also with its copies and itself.
     empty = F.length(F.translate("seq", gaps, "")) == 0
