@@ -101,13 +101,20 @@ def _(t):
     return out.select("chain", "resnum", "atom", "element", *[(C(c) + 0.0).alias(c) for c in "xyz"])
 
 
-@query("s09_read_annotation_json", "SELECT CAST(event_id AS VARCHAR) AS _id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type <> 'error'")
+@query("s09_read_annotation_json", """
+SELECT unnest(['lines', 'array']) AS mode, CAST(event_id AS VARCHAR) AS _id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type <> 'error'""")
 def _(t):
-    rec = t.events.select(C("event_id").cast("string").alias("_id"), F.when(C("event_type") == "error", True).alias("notfound"), F.from_json("props", "k bigint").alias("dbnsfp"))
-    path = scratch_path(t.spark, "json")
-    rec.write.json(path)
-    out = readers.read_annotation_json(t.spark, path, arrays=False)
-    return out.select("_id", F.variant_get("doc", "$.dbnsfp.k", "bigint").alias("k"))
+    """Records as lines, and as one array a file (a file for each kind of event), which several tasks read."""
+    rec = t.events.select(C("event_id").cast("string").alias("_id"), F.when(C("event_type") == "error", True).alias("notfound"), F.from_json("props", "k bigint").alias("dbnsfp"),
+                          F.lit('a "[{\\').alias("note"), C("event_type").alias("p"))
+    lines, arrays = scratch_path(t.spark, "json"), scratch_path(t.spark, "json")
+    rec.drop("p").write.json(lines)
+    body = rec.select("p", F.lit(1).alias("o"), F.concat(F.to_json(F.struct("_id", "notfound", "dbnsfp", "note")), F.lit(",")).alias("value"))
+    ends = rec.select("p").distinct().select("p", F.inline(F.array(F.struct(F.lit(0).alias("o"), F.lit("[").alias("value")), F.struct(F.lit(2).alias("o"), F.lit("null]").alias("value")))))
+    body.unionByName(ends).repartition("p").sortWithinPartitions("p", "o").drop("o").write.partitionBy("p").text(arrays)
+    read = {"lines": readers.read_annotation_json(t.spark, lines, arrays=False), "array": readers.read_annotation_json(t.spark, f"{arrays}/p=*/part-*", size=1 << 16)}
+    out = [d.select(F.lit(m).alias("mode"), "_id", F.variant_get("doc", "$.dbnsfp.k", "bigint").alias("k")) for m, d in read.items()]
+    return out[0].unionByName(out[1])
 
 
 @query("s10_marker_tokens", r"""

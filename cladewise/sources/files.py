@@ -22,7 +22,7 @@ def upsert_manifest(old: DataFrame, new: DataFrame, resource: str = "resource",
 CHUNK = 1 << 20
 
 
-def _listed(spark: SparkSession, glob: str) -> DataFrame:
+def listed(spark: SparkSession, glob: str) -> DataFrame:
     """(path, size) of the files of a glob, and of the folders it names; contents are not read. Spark's own file sources leave out empty files."""
     pattern = spark._jvm.org.apache.hadoop.fs.Path(glob)
     system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -32,13 +32,10 @@ def _listed(spark: SparkSession, glob: str) -> DataFrame:
     return spark.createDataFrame(rows, "path string, size long")
 
 
-def _file_reader(work: Callable[..., list], columns: list[str]):
-    """A mapInPandas function over (path, size[, kind]): ``work(opened, *rest)`` for each file, one value a column.
-
-    ``opened()`` gives the file as a seekable stream. All that the tasks need is inside, so that it travels with the plan.
-    """
+def opener():
+    """A function from a path to a function that opens the file as a seekable stream; closed over nothing, so that it travels with a plan."""
 
-    def opener(path: str):
+    def find(path: str):
         from pyarrow import fs
 
         if path.startswith("file:"):
@@ -46,11 +43,18 @@ def _file_reader(work: Callable[..., list], columns: list[str]):
         system, inner = fs.FileSystem.from_uri(path)
         return lambda: system.open_input_file(inner)
 
+    return find
+
+
+def _file_reader(work: Callable[..., list], columns: list[str]):
+    """A mapInPandas function over (path, size[, kind]): ``work(opened, *rest)`` for each file, one value a column."""
+    find = opener()
+
     def run(frames):
         import pandas as pd
 
         for frame in frames:
-            rows = [(*row, *work(opener(row[0]), *row[2:])) for row in frame.itertuples(index=False)]
+            rows = [(*row, *work(find(row[0]), *row[2:])) for row in frame.itertuples(index=False)]
             yield pd.DataFrame(rows, columns=[*frame.columns, *columns])
 
     return run
@@ -69,7 +73,7 @@ def register_files(spark: SparkSession, glob: str) -> DataFrame:
                 found.update(part)
         return [found.hexdigest()]
 
-    files = _listed(spark, glob).mapInPandas(_file_reader(digest, ["sha256"]), "path string, size long, sha256 string")
+    files = listed(spark, glob).mapInPandas(_file_reader(digest, ["sha256"]), "path string, size long, sha256 string")
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.when(name.rlike(r"\.t(sv|xt)\.gz$"), "tsv.gz").otherwise(F.regexp_extract(name, r"\.([^.]+)$", 1))
     return files.select("path", name.alias("name"), "size", "sha256", file_date(name).alias("date"), kind.alias("kind"))
@@ -169,7 +173,7 @@ def validate_files(spark: SparkSession, glob: str, kind: str | None = None) -> D
         return [f"invalid:{bad}" if bad else "ok"]
 
     suffix = F.regexp_extract("path", r"\.([^.]+)$", 1) if kind is None else F.lit(kind)
-    rows = _listed(spark, glob).withColumn("kind", suffix)
+    rows = listed(spark, glob).withColumn("kind", suffix)
     return rows.mapInPandas(_file_reader(check, ["status"]), "path string, size long, kind string, status string").select("path", "kind", "status")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import NULL_WORDS, blank_to_null, file_date, strip_version
+from .arrays import RANGE, read_array_records
 
 
 def line_order() -> Column:
@@ -203,12 +204,13 @@ def beta_atoms(atoms: DataFrame, residue: str = "resname", glycine: str = "GLY")
     return atoms.where(F.col("atom") == F.when(F.col(residue) == glycine, "CA").otherwise("CB"))
 
 
-def read_annotation_json(spark: SparkSession, path: str, key: str = "_id", arrays: bool = True) -> DataFrame:
+def read_annotation_json(spark: SparkSession, path: str, key: str = "_id", arrays: bool = True, size: int = RANGE) -> DataFrame:
     """(key, doc): records as variants, without those marked as not found.
 
-    A file is one JSON array, or with ``arrays`` off one record per line (splittable).
+    A file is a JSON array of records, read in ranges of ``size`` bytes, or with ``arrays`` off one record per line.
     """
-    df = spark.read.option("singleVariantColumn", "doc").json(path, multiLine=arrays)
+    texts = read_array_records(spark, path, size) if arrays else spark.read.text(path).select(F.col("value").alias("record"))
+    df = texts.where(F.trim("record") != "").select(F.parse_json("record").alias("doc"))
     lost = F.coalesce(F.try_variant_get("doc", "$.notfound", "boolean"), F.lit(False))
     return df.where(~lost).select(F.variant_get("doc", f"$.{key}", "string").alias(key), "doc")
 

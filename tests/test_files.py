@@ -67,3 +67,18 @@ def test_json_tokens(spark, folder, monkeypatch):
                 return "invalid:not JSON"
 
         assert got == {**{i: whole(t) for i, t in enumerate(DOCUMENTS)}, len(DOCUMENTS): "invalid:not JSON"}
+
+
+def test_array_records_at_every_border(spark, folder):
+    """Ranges of every small size cut texts, escapes, nested records and characters in two."""
+    from cladewise.sources.arrays import read_array_records
+
+    records = [{"a": 'x{[" }], \\', "b": {"c": [1, {"d": "é]"}]}}, {}, {"q": '\\\\"', "r": [[], {}]}, {"long": "y" * 90}, {"z": "] [ \n"}]
+    put(folder, "one.arr", json.dumps(records, ensure_ascii=False).encode())
+    put(folder, "two.arr", b" [ \n" + b" ,\n".join(json.dumps(r).encode() for r in records[:3]) + b" , null, 3 ]\n")
+    put(folder, "none.arr", b"[]")
+    put(folder, "empty.arr", b"")
+    want = sorted(json.dumps(r) for r in records + records[:3])
+    for size in (1, 2, 3, 7, 50, 1 << 20):
+        got = [json.loads(r.record) for r in read_array_records(spark, f"{folder}/*.arr", size).collect()]
+        assert sorted(map(json.dumps, got)) == want, size
