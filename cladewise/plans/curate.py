@@ -9,6 +9,7 @@ from ..functions import protein, rules, text
 from ..operators.lookup import alias_lookup
 from ..operators.ranges import overlap_expand
 from ..operators.summaries import duplicate_status, link_duplicates
+from ..session import cut_lineage
 
 C = F.col
 MASTER = ["variant_id", "source_group_id", "record_id", "source_db", "genome", "gene", "genomic_pos", "ref_nt", "alt_nt", "genomic_ref", "genomic_alt",
@@ -34,7 +35,8 @@ def curate_mito(rows: DataFrame, intervals: DataFrame, sequences: DataFrame, min
     framed = C("is_overlap") & C("seq").isNotNull()
     f = F.when(framed, protein.frame_consequence("seq", "_pos", "_s", "_e", "strand", "alt_nt"))
     flags = rules.variant_flags("genomic_ref", "genomic_alt", "aa_text")
-    x = x.withColumns({"_f": f, "_v": flags, "_p": text.parse_aa_change("aa_text")})
+    # Written once: its fields are read many times, by the master and by the groups of duplicates.
+    x = cut_lineage(x.withColumns({"_f": f, "_v": flags, "_p": text.parse_aa_change("aa_text")}).drop("seq"))
     missense = F.when(C("_f").isNotNull(), F.coalesce(C("_f.is_missense"), F.lit(False))).otherwise(C("_v.is_missense"))
     failure = F.when(C("is_overlap") & ~F.coalesce(C("_f.status") == "resolved", F.lit(False)), "unresolved_overlap_translation").otherwise("")
     x = x.withColumn("_v", C("_v").withField("is_missense", missense)).withColumn("reason", rules.exclusion_reason("_v", failure))
