@@ -109,10 +109,16 @@ def frame_consequence(seq, pos, start, end, strand, alt, table: int = 2) -> Colu
             F.when(done, (x["ref"] != x["alt"]) & (x["alt"] != "*")).alias("is_missense"),
         )
 
-    parts = F.struct(
-        bad.alias("bad"), (F.floor((cds - 1) / 3) + 1).alias("index"), letter(F.upper(ref_codon)).alias("ref"),
-        letter(F.upper(mutate_codon(seq, cds, alt))).alias("alt"),
+    # The codons are cut out of the long sequence once, before they are looked at several times.
+    codons = F.struct(
+        bad.alias("bad"), (F.floor((cds - 1) / 3) + 1).alias("index"), F.upper(ref_codon).alias("ref"),
+        F.upper(mutate_codon(seq, cds, alt)).alias("alt"),
     )
+
+    def read(x):
+        return F.struct(x["bad"].alias("bad"), x["index"].alias("index"), letter(x["ref"]).alias("ref"), letter(x["alt"]).alias("alt"))
+
+    parts = let(codons, read)
     return let(parts, finish)
 
 
