@@ -50,9 +50,10 @@ def map_variants(variants: DataFrame, models: DataFrame, residue_map: DataFrame,
     keyed = residue_map.withColumnRenamed("gene", "lookup").withColumn("place", place)
     ref = keyed.select(C("place").alias("gene"), "pos", "aa")
     near = anchor_search_nearest(tried.withColumn("place", place), ref, "place", "pos", "ref_aa", diagnostic, "near")
-    policy = anchor_policy(chains.select("gene").distinct(), registry).select(C("gene").alias("lookup"), "max_offset") if registry is not None else None
-    near = near.join(policy, ["lookup"], "left") if policy is not None else near.withColumn("max_offset", F.lit(window))
-    near = cut_lineage(near.withColumn("max_offset", F.greatest(F.coalesce("max_offset", F.lit(window)), F.lit(window))))
+    policy = anchor_policy(chains.select("gene").distinct(), registry).select(C("gene").alias("lookup"), "allow_extended", "max_offset") if registry is not None else None
+    near = near.join(policy, ["lookup"], "left") if policy is not None else near.withColumns({"allow_extended": F.lit(False), "max_offset": F.lit(window)})
+    near = near.withColumn("max_offset", F.greatest(F.coalesce("max_offset", F.lit(window)), F.lit(window)))
+    near = cut_lineage(near.withColumn("reach", F.when(C("allow_extended"), C("max_offset")).otherwise(F.lit(window))))
     off = F.abs(C("near") - C("pos"))
     here = keyed.select("place", "pos", C("aa").alias("found_aa"))
     gap = nearest_positions(near.where("near is null").select("place", "pos").distinct(), ref, "place", "pos", 1).select(
@@ -62,7 +63,7 @@ def map_variants(variants: DataFrame, models: DataFrame, residue_map: DataFrame,
     y = near.join(here, ["place", "pos"], "left").join(gap, ["place", "pos"], "left").join(at, ["place", "near"], "left")
     plain = F.when(off <= window, C("near"))
     failure = rules.anchor_failure_class("pos", "ref_aa", "found_aa", C("found_aa").isNotNull(), plain, "near", "gap", C("max_offset"))
-    used = C("near").isNotNull() & (off <= C("max_offset"))
+    used = C("near").isNotNull() & (off <= C("reach"))
     detail = F.when(C("near").isNotNull(), "extended_window").when(C("found_aa").isNull(), F.when(C("gap") <= C("max_offset"), "nearest_mapped_gap").otherwise("position_absent_from_pos_map")).otherwise("residue_not_in_window")
     y = y.select(*key, "near", "resnum", off.alias("off"), (used & C("agrees")).alias("mapped"), F.when(~used, failure).alias("failure"), detail.alias("detail"))
     best = F.min_by(F.when(C("mapped"), F.struct("chain", "near", "resnum", "off")), F.when(C("mapped"), F.struct("off", "chain")))
