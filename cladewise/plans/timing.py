@@ -35,10 +35,14 @@ def annotate_timing(pairs: DataFrame, edges: DataFrame, states: DataFrame, obser
     lost = g.losses(ch, asked).withColumn("confidence", F.lit("high_confidence"))
     key = ["tree", "pos", "alt"]
     events = high.join(call.where(~C("is_ancestral")), key, "left_semi").unionByName(lost.join(call.where("is_ancestral"), key, "left_semi"))
-    branches = pairs.select("pair_id", *key, "contact_pos", "contact_alt").join(events, key)
+    # Pairs that ask the same share their branches and counts, so branches meet distinct questions, not pairs.
+    question = [*key, "contact_pos", "contact_alt"]
+    branches = pairs.select(*question).distinct().join(events, key)
     timed = g.timing_same_labels(branches, node_states, cs)
-    counts = g.timing_counts(timed, ["pair_id", "confidence"])
-    out = pairs.join(call, key, "left").join(counts, ["pair_id"], "left")
+    counts = g.timing_counts(timed, [*question, "confidence"])
+    same = [C(k) == C(f"_{k}") for k in key] + [C(k).eqNullSafe(C(f"_{k}")) for k in question[len(key):]]
+    counts = counts.withColumnsRenamed({k: f"_{k}" for k in question})
+    out = pairs.join(call, key, "left").join(counts, same, "left").drop(*[f"_{k}" for k in question])
     names = [f"n_{t}" for t in g.TIMINGS]
     out = out.fillna(0, names)
     direction = rules.directional_class("is_ancestral", *names)
