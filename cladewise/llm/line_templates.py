@@ -10,6 +10,9 @@ Copies of a whole document are not boilerplate: their records recur together, so
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +37,18 @@ def records(text: Column) -> Column:
 
 def parsed(rows: DataFrame) -> DataFrame:
     """(_key, i, size, doc_size, n, leaf, form, masked) of each record; leaf is 0 for one with too few tokens."""
-    cut = rows.select("_key", F.length("text").alias("doc_size"), F.posexplode(records(F.col("text"))).alias("i", "unit"))
-    bare = F.trim(F.col("unit"), F.lit(" \n\t\r\f"))
-    masked = F.when(bare.rlike("[0-9]"), F.regexp_replace(bare, r"\S*[0-9]\S*", MASK)).otherwise(bare)
-    cut = cut.select("_key", "doc_size", "i", F.length("unit").alias("size"), masked.alias("masked"))
-    cut = cut.select("*", F.split("masked", r"\s+").alias("tokens"))
+    text = F.col("text")
+    # Whole texts tell which records need a pattern: without runs of blanks and blanks other than a space, a split at single spaces says the same.
+    odd = reduce(or_, [F.contains(text, F.lit(blank)) for blank in ("  ", "\t", "\x0b", "\f", "\r")])
+    # Computed in front of the explode, which else carries the text along and reads it once a record.
+    whole = rows.select("_key", F.length("text").alias("doc_size"), odd.alias("odd"), text.rlike("[0-9]").alias("digits"), records(text).alias("units"))
+    # A text has a record at least. The outer form spares the filter on that, which would split every text once more.
+    cut = whole.select("_key", "doc_size", "odd", "digits", F.posexplode_outer("units").alias("i", "unit"))
+    bare = F.when(F.col("odd"), F.trim(F.col("unit"), F.lit(" \n\t\r\f"))).otherwise(F.trim(F.replace("unit", F.lit("\n"), F.lit(""))))
+    cut = cut.select("_key", "doc_size", "odd", "digits", "i", F.length("unit").alias("size"), bare.alias("bare"))
+    masked = F.when(F.col("digits") & F.col("bare").rlike("[0-9]"), F.regexp_replace("bare", r"\S*[0-9]\S*", MASK)).otherwise(F.col("bare"))
+    cut = cut.select("_key", "doc_size", "odd", "i", "size", masked.alias("masked"))
+    cut = cut.select("*", F.when(F.col("odd"), F.split("masked", r"\s+")).otherwise(F.split("masked", " ")).alias("tokens"))
     leaf = F.when(F.size("tokens") >= MIN_TOKENS, F.xxhash64(F.size("tokens"), F.array_join(F.slice("tokens", 1, DEPTH), " "))).otherwise(F.lit(0).cast("long"))
     return cut.select("_key", "i", "size", "doc_size", F.size("tokens").alias("n"), leaf.alias("leaf"), F.xxhash64("masked").alias("form"), "masked")
 
@@ -55,11 +65,19 @@ def templates(held: DataFrame, min_docs: int = MIN_DOCS, wild: float = WILD) ->
     return made.where(F.col("gaps") <= wild * F.col("n")).select("leaf", "form", F.xxhash64("leaf", F.array_join(F.col("line.token"), " ")).alias("template"))
 
 
+def crowded(cut: DataFrame, min_docs: int) -> DataFrame:
+    """The leaves of at least ``min_docs`` records.
+
+    Leaf 0 is left out by the count: a filter on the leaf would be moved below it, where it cuts every record once more.
+    """
+    return cut.groupBy("leaf").agg(F.count(F.when(F.col("leaf") != 0, 1)).alias("c")).where(F.col("c") >= min_docs).select("leaf")
+
+
 def dropped(rows: DataFrame, min_docs: int = MIN_DOCS, repeated: float = REPEATED) -> DataFrame:
     """(_key, drop): the indices of the records that go, for each text that loses any. ``rows`` has _key and text."""
     cut = parsed(rows)
     # A leaf with fewer records than that can hold no recurring template; most of the text goes no further.
-    leaves = cut_lineage(cut.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).where((F.col("c") >= min_docs) & (F.col("leaf") != 0)).select("leaf"))
+    leaves = cut_lineage(crowded(cut, min_docs))
     held = cut_lineage(cut.join(guarded(leaves), "leaf"))
     places = cut_lineage(held.drop("masked").join(templates(held, min_docs), ["leaf", "form"]).select("_key", "i", "size", "doc_size", "template"))
     docs = places.select("_key", "template").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"))
@@ -77,9 +95,9 @@ def strip_templates(docs: DataFrame, *keep: str, min_docs: int = MIN_DOCS, repea
     """
     rows = keyed(docs, *keep)
     drops = guarded(cut_lineage(dropped(rows.select("_key", "text"), min_docs, repeated)))
-    cut = rows.select("doc_id", *keep, "_key", records(F.col("text")).alias("_units")).join(drops, "_key", "left")
+    cut = rows.select("doc_id", *keep, "_key", "text", records(F.col("text")).alias("_units")).join(drops, "_key", "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("_units") - 1), F.coalesce("drop", F.array().cast("array<int>")))
-    text = F.when(F.col("drop").isNull(), F.array_join("_units", "")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at("_units", i + 1)), ""))
+    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at("_units", i + 1)), ""))
     return cut.select("doc_id", *keep, text.alias("text"), F.size("_units").cast("long").alias("n_records"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
 
 

@@ -1,7 +1,9 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns, and what each method promises."""
 
+import collections
 import itertools
 import random
+import re
 
 import brute
 import numpy as np
@@ -361,3 +363,18 @@ def test_numerals_are_no_language(spark):
     docs = spark.createDataFrame([(1, prose(60, 1), "xx"), (2, "² ½ Ⅷ", None), (3, "12 _ 7", None), (4, "½ a", None)], "doc_id long, text string, lang string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, docs).collect()}
     assert got[2] == got[3] == ("und", 0.0) and got[1][0] == got[4][0] == "xx"
+
+
+def test_records_cut_once_and_with_any_blank(spark):
+    """Tabs, runs of blanks and blanks at the ends give the tokens that a pattern gives; no record is cut a second time to leave out leaf 0."""
+    texts = ["a b c d e f7 g. h i j k l m n", "a  b c d e f g", "a\tb c d e f\rg", " \x0ba b c d e f ", "a b c d e f g \n h\n", "\f", "x 1", "", "a b c d\x01 e f 2\n3 g. h"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_key long, text string")
+    cut = line_templates.parsed(docs)
+    want = collections.Counter()
+    for key, text in enumerate(texts):
+        for i, unit in enumerate(re.split(line_templates.ENDS, text)):
+            bare = re.sub(r"\S*[0-9]\S*", line_templates.MASK, unit.strip(" \n\t\r\f"))
+            want[key, i, len(unit), len(text), len(re.split(r"[ \t\n\x0b\f\r]+", bare)), bare] += 1
+    assert collections.Counter(map(tuple, cut.select("_key", "i", "size", "doc_size", "n", "masked").collect())) == want
+    plan = line_templates.crowded(cut, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and ("split" in line or "posexplode" in line)]
