@@ -8,7 +8,7 @@ tried against a pivot (the class whose values are most common), which links a gr
 one try a member. The classes of lists that still hold several components are posted again, under the rarest
 of all their shingles: so few that the bound is exact, and with their places, which bound what two classes
 can share beyond them. There each class outside a list's largest component is tried against the other
-components, if the places allow a link. After that every pair that may be linked is in one component or was tried,
+components, if the places allow a link: the likeliest pairs first, and of the others those that have not joined by then. After that every pair that may be linked is in one component or was tried,
 so no link is lost and no group is spelled out as pairs. A try is first an estimate from the union's sketch, then the exact Jaccard of the full sets.
 """
 
@@ -70,6 +70,8 @@ def _sketch(words: int, k: int):
     return run
 
 
+#: Tries of a class in the first round against the components it is not in; the second has its square, the third the rest.
+TURNS = 8
 #: Pairs whose texts are hashed at once.
 TRY_ROWS = 400
 
@@ -104,8 +106,11 @@ def estimate_passes(a: Column, b: Column, na: Column, nb: Column, k: int, percen
 
 def _tried(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that are linked."""
-    left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    # Few classes are in a pair: only their sketches travel.
+    asked = cut_lineage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    some = classes.join(guarded(asked), "id", "left_semi")
+    left = some.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = some.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     likely = pairs.join(right, "b").join(left, "a").where(estimate_passes(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), k, percent)).select("a", "b")
     likely = cut_lineage(likely)
     wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -143,6 +148,13 @@ def _exact_postings(open_ids: DataFrame, classes: DataFrame, texts: DataFrame, w
     return posted.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1).select("v", "id", "root", "n", "at")
 
 
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) whose classes are not in one component."""
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}")), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    return pairs.where("_a <> _b").drop("_a", "_b")
+
+
 def links(classes: DataFrame, texts: DataFrame, words: int = WORDS, k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Links between classes (a, b), enough to connect every linked pair, and their components (node, root).
 
@@ -162,6 +174,7 @@ def links(classes: DataFrame, texts: DataFrame, words: int = WORDS, k: int = K,
     posted = cut_lineage(posted)
     pivots = posted.groupBy("v").agg(F.max_by("id", F.struct("typical", "id")).alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
     stars = posted.join(pivots, "v").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    stars = cut_lineage(stars)
     found = cut_lineage(_tried(stars, classes, texts, words, k, percent))
     roots = components(found)
 
@@ -178,11 +191,19 @@ def links(classes: DataFrame, texts: DataFrame, words: int = WORDS, k: int = K,
     # If v is the first value that both hold, no more than this can be shared; at the pair's first common value it must do.
     most = F.least(F.col("n") - F.col("at"), F.col("nb") - F.col("at_b")) + 1
     may = (most * (100 + percent) >= percent * (F.col("n") + F.col("nb"))) & (F.col("root") != F.col("other")) & ((F.col("root") == F.col("main")) | (F.col("id") < F.col("b")))
-    rest = lists.alias("l").join(outside.alias("o"), (F.col("l.v") == F.col("o.v")) & may).select(F.col("id").alias("a"), "b").distinct()
+    close = (most * (100 + percent) - percent * (F.col("n") + F.col("nb"))).alias("close")
+    met = lists.alias("l").join(outside.alias("o"), (F.col("l.v") == F.col("o.v")) & may).select(F.col("id").alias("a"), "b", close)
     tried = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = cut_lineage(_tried(rest.join(tried, ["a", "b"], "left_anti"), classes, texts, words, k, percent))
-    every = found.unionByName(more)
-    return every, (components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)) if more.take(1) else roots)
+    rest = cut_lineage(met.groupBy("a", "b").agg(F.max("close").alias("close")).join(tried, ["a", "b"], "left_anti"))
+    # The pairs that may share most come first; one link spares a class its other tries against the same component.
+    lined = rest.withColumn("_r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("close"), "a")))
+    for turn in (F.col("_r") <= TURNS, F.col("_r").between(TURNS + 1, TURNS**2), F.col("_r") > TURNS**2):
+        pairs = cut_lineage(apart(lined.where(turn).select("a", "b"), roots))
+        if pairs.take(1):
+            more = cut_lineage(_tried(pairs, classes, texts, words, k, percent))
+            found = found.unionByName(more)
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)) if more.take(1) else roots
+    return found, roots
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, k: int = K, percent: int = PERCENT) -> DataFrame:

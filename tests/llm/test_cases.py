@@ -378,3 +378,22 @@ def test_records_cut_once_and_with_any_blank(spark):
     assert collections.Counter(map(tuple, cut.select("_key", "i", "size", "doc_size", "n", "masked").collect())) == want
     plan = line_templates.crowded(cut, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and ("split" in line or "posexplode" in line)]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_group_of_near_copies_takes_few_tries(spark, monkeypatch, percent):
+    """A hundred and fifty altered copies of one text, most of which only link through others: far fewer tries than pairs, no link lost."""
+    r = random.Random(9)
+    base = prose(90, 21).split()
+    docs = []
+    for i in range(150):
+        w = list(base)
+        for at in r.sample(range(90), r.randint(1, 3)):
+            w[at] = f"{r.choice(VOCABULARY)}{r.randint(0, 5)}"
+        docs.append((i, " ".join(w)))
+    seen, plain = [], near_dups._tried
+    monkeypatch.setattr(near_dups, "_tried", lambda pairs, *rest: seen.append(pairs.count()) or plain(pairs, *rest))
+    got = near_dups.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=percent).drop("_key")
+    assert sorted(map(tuple, got.collect())) == sorted(brute.near_duplicates(docs, percent))
+    print(seen)
+    assert sum(seen) < 10 * len(docs)
