@@ -12,6 +12,7 @@ from ..operators.alignment import asked_cells
 from ..operators.inference import significance_view
 from ..operators.ranking import bh_fdr
 from ..operators.summaries import concordance_summary, contingency_alt, likely_incompatible
+from ..session import cut_lineage
 
 C = F.col
 
@@ -35,10 +36,11 @@ def find_partners(pairs: DataFrame, readable: DataFrame, carriers: DataFrame, al
     out = table.join(pairs.drop("human_aa"), ["pair"]).join(n_test, ["vid"])
     out = out.withColumns({"low_power": C("n_species") < min_species, "fisher_p": fisher_exact("a", "b", "c", "d"),
                            "likely_incompatible": likely_incompatible("contact_class", "sensitivity", "specificity")})
-    out = bh_fdr(out, "fisher_p", "fisher_fdr")
+    # The correction reads its rows several times: without the cuts each time began at the texts.
+    out = cut_lineage(bh_fdr(cut_lineage(out), "fisher_p", "fisher_fdr"))
     if branches is None:
         return out.withColumns({"branch_p": F.lit(None).cast("double"), "branch_fdr": F.lit(None).cast("double")})
-    return bh_fdr(out.join(branches.select("pair", "alt", "branch_p"), ["pair", "alt"], "left"), "branch_p", "branch_fdr")
+    return bh_fdr(cut_lineage(out.join(branches.select("pair", "alt", "branch_p"), ["pair", "alt"], "left")), "branch_p", "branch_fdr")
 
 
 def significant(tested: DataFrame, cutoff: float = 0.10) -> DataFrame:
