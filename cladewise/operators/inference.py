@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import chi2_sf, fisher_exact, normal_sf, odds_ratio_ci, t_two_sided
 from .ranking import average_rank, distribution
+from .tree import sized
 
 
 def two_by_two(df: DataFrame, exposed: Column, hit: Column, keys: Sequence[str] = ()) -> DataFrame:
@@ -266,13 +267,13 @@ def branch_evidence(pairs: DataFrame, origins: DataFrame, leaves: DataFrame, thr
     second = second.select("pair", F.col("tree").alias("tree_b"), F.col("node").alias("node_b")).distinct()
 
     def clades(nodes: DataFrame, side: str) -> DataFrame:
-        named = leaves.select(F.col("tree").alias(f"tree_{side}"), F.col("node").alias(f"node_{side}"), "leaf")
-        return named.join(nodes.select(f"tree_{side}", f"node_{side}").distinct(), [f"tree_{side}", f"node_{side}"], "left_semi")
+        return sized(leaves, side, ["tree", "node"], nodes.select(F.col(f"tree_{side}").alias("tree"), F.col(f"node_{side}").alias("node")).distinct())
 
-    a, b = clades(first, "a"), clades(second, "b")
-    sizes = [x.groupBy(f"tree_{s}", f"node_{s}").agg(F.count(F.lit(1)).alias(f"size_{s}")) for x, s in ((a, "a"), (b, "b"))]
-    shared = a.join(b, "leaf").groupBy("tree_a", "node_a", "tree_b", "node_b").agg(F.count(F.lit(1)).alias("shared"))
-    same = shared.join(sizes[0], ["tree_a", "node_a"]).join(sizes[1], ["tree_b", "node_b"]).where(F.col("shared") / F.greatest("size_a", "size_b") > threshold)
+    # Clades whose sizes alone rule a match out do not meet.
+    least, most = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    both = clades(first, "a").join(clades(second, "b"), "leaf").where(least / most > threshold)
+    shared = both.groupBy("tree_a", "node_a", "tree_b", "node_b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("shared"))
+    same = shared.where(F.col("shared") / most > threshold)
     met = first.join(same, ["tree_a", "node_a"]).join(second, ["pair", "tree_b", "node_b"]).select("pair", "tree_a", "node_a", "tree_b", "node_b")
 
     def matched(rows: DataFrame, side: str) -> DataFrame:
