@@ -96,6 +96,5 @@ def map_structure(variants: DataFrame, models: DataFrame, residue_map: DataFrame
     mapped = cut_lineage(map_variants(variants, models, residue_map, registry, proxies, window))
     placed = mapped.where("resnum is not null").select("pdb", "chain", "resnum").distinct()
     targets = beta.join(placed, ["pdb", "chain", "resnum"], "left_semi")
-    near3d = cut_lineage(spatial_contacts(targets, beta, radius))
-    contacts = near3d.join(classify_contact(near3d.drop("distance"), atoms), ["pdb", "a_chain", "a_resnum", "b_chain", "b_resnum"])
+    contacts = classify_contact(spatial_contacts(targets, beta, radius), atoms, "distance")
     return mapped, contacts
