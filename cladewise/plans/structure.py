@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators.lookup import model_priority_loop
 from ..operators.ranges import anchor_search_nearest, nearest_positions
-from ..operators.spatial import classify_contact, spatial_contacts
+from ..operators.spatial import classified_contacts
 from ..operators.summaries import anchor_policy
 from ..session import cut_lineage
 
@@ -96,5 +96,5 @@ def map_structure(variants: DataFrame, models: DataFrame, residue_map: DataFrame
     mapped = cut_lineage(map_variants(variants, models, residue_map, registry, proxies, window))
     placed = mapped.where("resnum is not null").select("pdb", "chain", "resnum").distinct()
     targets = beta.join(placed, ["pdb", "chain", "resnum"], "left_semi")
-    contacts = classify_contact(spatial_contacts(targets, beta, radius), atoms, "distance")
+    contacts = classified_contacts(targets, beta, atoms, radius)
     return mapped, contacts
